@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import ordered_history
@@ -37,105 +37,124 @@ def entity_history(
     trailing ``W`` seconds; ``uniq_<c>_<W>`` for each partner column in ``distinct``;
     ``prev_<c>`` for ``last``; ``first_ts`` (own second included) when asked.
 
-    ``block`` cuts rows of one second into ranges that follow ``seq``; the default uses the leading
-    sequence number, 65,536 per block.
+    Rows are first collapsed to one total per (key, second); everything that reaches across
+    seconds works on those totals, cut by day. The rows themselves shuffle once, on (key, second).
+    ``block`` cuts the rows of one second further, for clocks so coarse that a second (or a
+    date-only midnight) may hold millions of one key's rows; it must not fall as ``seq`` rises,
+    e.g. ``shiftright(seq, 16)``.
     """
     distinct = {c: list(w) for c, w in (distinct or {}).items()}
     seq = list(seq)
-    block = block if block is not None else F.shiftright(F.col(seq[0]).cast("long"), 16)
-    base = rows.select("*", F.lit(1).cast("long").alias("_n"), _day(F.col(ts)).alias("_day"), block.alias("_blk"))
-    measures = ["_n", *sums]
-
-    opens, closes, marks, ends = [], [], None, None
-    for partner, spans in distinct.items():
-        mark, end = _stays(base, key, partner, ts, seq, spans)
-        marks = mark if marks is None else marks.unionByName(mark, allowMissingColumns=True)
-        ends = end if ends is None else ends.unionByName(end, allowMissingColumns=True)
-        opens += [f"_open_{partner}_{w}" for w in spans]
-        closes += [f"_close_{partner}_{w}" for w in spans]
+    # Measures get names of their own: a sequence column may double as a measure.
+    base = rows.select(
+        "*", F.lit(1).cast("long").alias("_n"), *[F.col(s).alias(f"_s_{s}") for s in sums],
+        *([block.alias("_blk")] if block is not None else []),
+    )
+    measures = ["_n", *[f"_s_{s}" for s in sums]]
+    opens = [f"_open_{c}_{w}" for c, spans in distinct.items() for w in spans]
+    closes = [f"_close_{c}_{w}" for c, spans in distinct.items() for w in spans]
+    stays = [_stays(base, key, c, ts, seq, spans, block is not None) for c, spans in distinct.items()]
 
+    seconds = _second_totals(base, stays, key, ts, seq, measures, opens, windows, closes, last, first_seen)
     scan = base.withColumn("_kind", F.lit(0))
-    if marks is not None:
-        scan = scan.unionByName(marks.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    probes = _probes(base, ends, key, ts, measures, windows, closes)
-    out = ordered_history(
-        scan, [key], ["_day", ts, "_blk"], [*seq, "_kind"], sums=measures + opens,
-        mins=[ts] if first_seen else [], last=last, last_where=F.col("_kind") == 0,
-        attach={2: probes} if probes is not None else {},
+    for mark, _ in stays:
+        scan = scan.unionByName(mark.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    inside = ordered_history(
+        scan, [key, ts], ["_blk"] if block is not None else [], [*seq, "_kind"],
+        sums=measures + opens, last=last, last_where=F.col("_kind") == 0,
     ).where("_kind = 0")
+    out = inside.join(seconds, [key, ts], "left")
 
-    own = [F.col(c) for c in rows.columns]
-    made = [F.col("before__n").alias("n_before")]
-    made += [F.col(f"before_{s}").alias(f"{s}_before") for s in sums]
+    before = lambda m: F.col(f"before_{m}") + F.col(f"_up_{m}")
+    made = [before("_n").alias("n_before")]
+    made += [before(f"_s_{s}").alias(f"{s}_before") for s in sums]
     for w in windows:
-        made.append((F.col("before__n") - F.col(f"_at__n_{w}")).alias(f"n_{w}"))
-        made += [(F.col(f"before_{s}") - F.col(f"_at_{s}_{w}")).alias(f"{s}_{w}") for s in sums]
-    for partner, spans in distinct.items():
-        made += [
-            (F.col(f"before__open_{partner}_{w}") - F.col(f"_at__close_{partner}_{w}")).cast("long")
-            .alias(f"uniq_{partner}_{w}") for w in spans
-        ]
-    made += [F.col(f"prev_{c}") for c in last]
+        made.append((before("_n") - F.col(f"_at__n_{w}")).alias(f"n_{w}"))
+        made += [(before(f"_s_{s}") - F.col(f"_at__s_{s}_{w}")).alias(f"{s}_{w}") for s in sums]
+    made += [
+        (before(f"_open_{c}_{w}") - F.col(f"_at__close_{c}_{w}")).cast("long").alias(f"uniq_{c}_{w}")
+        for c, spans in distinct.items() for w in spans
+    ]
+    made += [
+        F.when(F.col("before__n") > 0, F.col(f"prev_{c}")).otherwise(F.col("_prior")[c]).alias(f"prev_{c}") for c in last
+    ]
     if first_seen:
-        made.append(F.least(F.col(f"low_{ts}"), F.col(ts)).alias("first_ts"))
-    return out.select(*own, *made)
+        made.append("first_ts")
+    return out.select(*[F.col(c) for c in rows.columns], *made)
 
 
 def _day(ts: Column) -> Column:
     return F.floor(ts / F.lit(DAY)).cast("long")
 
 
-def _stays(base, key, partner, ts, seq, spans):
+def _stays(base, key, partner, ts, seq, spans, blocked):
     """Marks where a partner enters and leaves the trailing window of ``key``.
 
     Rows are first collapsed to one per (key, partner, second). A second opens a stay when the
     pair was not seen in the W seconds before it, and ends one when the pair is not seen in the W
     seconds after it; the partner then drops out at ``ts + W + 1``.
     """
-    ticks = base.groupBy(key, partner, "_day", ts).agg(F.min(F.struct(*seq, "_blk")).alias("_first"))
-    seen = ordered_history(ticks, [key, partner], ["_day"], [ts], last=[ts])
-    after = ordered_history(
-        ticks.select(key, partner, (-F.col("_day")).alias("_day"), (-F.col(ts)).alias("_neg")),
-        [key, partner], ["_day"], ["_neg"], last=["_neg"],
-    ).select(key, partner, (-F.col("_neg")).alias(ts), (-F.col("prev__neg")).alias("_next"))
-    both = seen.join(after, [key, partner, ts])
-    opened = {
-        w: F.when(F.col(f"prev_{ts}").isNull() | (F.col(f"prev_{ts}") < F.col(ts) - w), 1).otherwise(0) for w in spans
-    }
+    first = F.min(F.struct(*seq, *(["_blk"] if blocked else [])))
+    ticks = base.groupBy(key, partner, ts).agg(first.alias("_first")).withColumn("_day", _day(F.col(ts)))
+    days = ticks.groupBy(key, partner, "_day").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    pair = Window.partitionBy(key, partner).orderBy("_day")
+    days = days.select(key, partner, "_day", F.lag("_hi").over(pair).alias("_hi"), F.lead("_lo").over(pair).alias("_lo"))
+    inday = Window.partitionBy(key, partner, "_day").orderBy(ts)
+    both = ticks.select("*", F.lag(ts).over(inday).alias("_p"), F.lead(ts).over(inday).alias("_q")).join(
+        days, [key, partner, "_day"]
+    ).select(key, ts, "_first", F.coalesce("_p", "_hi").alias("_prev"), F.coalesce("_q", "_lo").alias("_next"))
+    opened = {w: (F.col("_prev").isNull() | (F.col("_prev") < F.col(ts) - w)).cast("long") for w in spans}
     mark = both.select(
-        key, ts, "_day", *[F.col("_first")[s].alias(s) for s in [*seq, "_blk"]],
-        *[c.cast("long").alias(f"_open_{partner}_{w}") for w, c in opened.items()],
+        key, ts, *[F.col("_first")[s].alias(s) for s in [*seq, *(["_blk"] if blocked else [])]],
+        *[c.alias(f"_open_{partner}_{w}") for w, c in opened.items()],
     ).where(" + ".join(f"_open_{partner}_{w}" for w in spans) + " > 0")
-    end = None
-    for w in spans:
-        one = both.where(F.col("_next").isNull() | (F.col("_next") > F.col(ts) + w)).groupBy(
-            key, (F.col(ts) + F.lit(w + 1)).alias(ts)
-        ).agg(F.count(F.lit(1)).alias(f"_close_{partner}_{w}"))
-        end = one if end is None else end.unionByName(one, allowMissingColumns=True)
+    ended = F.array(*[
+        F.when(F.col("_next").isNull() | (F.col("_next") > F.col(ts) + w), F.lit(int(w))) for w in spans
+    ])
+    end = both.select(key, ts, F.explode(F.array_compact(ended)).alias("_w")).groupBy(
+        key, (F.col(ts) + F.col("_w") + 1).alias(ts)
+    ).agg(*[F.count(F.when(F.col("_w") == w, 1)).alias(f"_close_{partner}_{w}") for w in spans])
     return mark, end
 
 
-def _probes(base, ends, key, ts, measures, windows, closes):
-    """Running totals of ``key`` at ``t - W`` for each second ``t`` that has rows."""
-    if not windows and not closes:
-        return None
-    ticks = base.groupBy(key, ts).agg(*[F.sum(m).alias(m) for m in measures])
-    asks = F.array(*[F.struct(F.lit(int(w)).alias("w"), F.lit(0).alias("_kind")) for w in windows],
-                   *([F.struct(F.lit(0).alias("w"), F.lit(2).alias("_kind"))] if closes else []))
-    asked = ticks.select(key, F.col(ts).alias("_t"), F.explode(asks).alias("_a")).select(
-        key, "_t", F.col("_a.w").alias("_w"), F.col("_a._kind").alias("_kind"),
-        (F.col("_t") - F.col("_a.w")).alias(ts),
+def _second_totals(base, stays, key, ts, seq, measures, opens, windows, closes, last, first_seen):
+    """Per (key, second): totals before it, totals before ``t - W``, and stays ended by it.
+
+    One scan over the key's seconds, where each second also asks at ``t - W`` (before that second's
+    rows) and at ``t`` (after the stays that end there).
+    """
+    held = [F.max(F.struct(*seq, *[c for c in last if c not in seq and c != ts], ts)).alias("_held_row")] if last else []
+    seconds = base.groupBy(key, ts).agg(*[F.sum(m).alias(m) for m in measures], *held)
+    asks = [(0, 0), *[(int(w), 0) for w in windows], *([(0, 2)] if closes else [])]
+    asks = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w, k in asks])
+    asked = seconds.select(key, F.col(ts).alias("_t"), F.explode(asks).alias("_a")).select(
+        key, "_t", F.col("_a.w").alias("_w"), F.col("_a.k").alias("_kind"), (F.col("_t") - F.col("_a.w")).alias(ts)
     )
-    union = asked.unionByName(ticks.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    if ends is not None:
-        union = union.unionByName(ends.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    union = union.withColumn("_day", _day(F.col(ts)))
-    seen = ordered_history(union, [key], ["_day"], [ts, "_kind"], sums=[*measures, *closes]).where("_kind <> 1")
-    picks = [
-        F.max(F.when((F.col("_w") == w) & (F.col("_kind") == 0), F.col(f"before_{m}"))).alias(f"_at_{m}_{w}")
-        for w in windows for m in measures
-    ] + [F.max(F.when(F.col("_kind") == 2, F.col(f"before_{c}"))).alias(f"_at_{c}") for c in closes]
-    return seen.groupBy(key, F.col("_t").alias(ts)).agg(*picks).withColumn("_day", _day(F.col(ts)))
+    union = asked.unionByName(seconds.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    for mark, end in stays:
+        made = [c for c in mark.columns if c.startswith("_open_")]
+        per_second = mark.groupBy(key, ts).agg(*[F.sum(c).alias(c) for c in made])
+        union = union.unionByName(per_second.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+        union = union.unionByName(end.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    union = union.select("*", _day(F.col(ts)).alias("_day"), F.when(F.col("_kind") == 1, F.col(ts)).alias("_seen"))
+    seen = ordered_history(
+        union, [key], ["_day"], [ts, "_kind"], sums=[*measures, *opens, *closes],
+        mins=["_seen"] if first_seen else [], last=["_held_row"] if last else [],
+        last_where=F.col("_held_row").isNotNull() if last else None,
+    ).where("_kind <> 1")
+
+    def at(w, kind, column, name):
+        return F.max(F.when((F.col("_w") == w) & (F.col("_kind") == kind), F.col(column))).alias(name)
+
+    picks = [at(0, 0, f"before_{m}", f"_up_{m}") for m in [*measures, *opens]]
+    picks += [at(w, 0, f"before_{m}", f"_at_{m}_{w}") for w in windows for m in measures]
+    picks += [at(0, 2, f"before_{c}", f"_at_{c}") for c in closes]
+    if last:
+        picks.append(at(0, 0, "prev__held_row", "_prior"))
+    if first_seen:
+        picks.append(at(0, 0, "low__seen", "_first"))
+    out = seen.groupBy(key, F.col("_t").alias(ts)).agg(*picks)
+    return out.withColumn("first_ts", F.least("_first", ts)) if first_seen else out
 
 
 def cross_window_sum(

@@ -33,6 +33,22 @@ VIEWS = {
 }
 
 
+def _expand_rounding(sql: str) -> str:
+    """Spell ``R(x, n)`` as half-even rounding of the scaled double."""
+    while (at := sql.find("R(")) >= 0 and not sql[at - 1].isalnum():
+        depth, end, comma = 0, at + 1, at
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            if sql[end] == "," and depth == 1:
+                comma = end
+            if depth == 0:
+                break
+            end += 1
+        scale = f"1e{int(sql[comma + 1:end])}::DOUBLE"
+        sql = f"{sql[:at]}(round_even(({sql[at + 2:comma]})::DOUBLE * {scale}, 0) / {scale}){sql[end + 1:]}"
+    return sql
+
+
 def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     """Register ``fn(spark, sf_dir)``; ``sql`` may start from the named views."""
 
@@ -40,7 +56,7 @@ def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
         QUERIES[name] = fn
         if sql is not None:
             head = ",\n".join(f"{v} AS (\n{VIEWS[v]}\n)" for v in views)
-            body = sql.strip()
+            body = _expand_rounding(sql.strip())
             if not head:
                 ORACLES[name] = body
             elif body.lower().startswith("with "):
