@@ -92,7 +92,7 @@ def _stays(base, key, partner, ts, seq, spans, blocked):
 
     Rows are first collapsed to one per (key, partner, second). A second opens a stay when the
     pair was not seen in the W seconds before it, and ends one when the pair is not seen in the W
-    seconds after it; the partner then drops out at ``ts + W + 1``.
+    seconds after it; the partner then drops out once ``ts + W`` has passed.
     """
     first = F.min(F.struct(*seq, *(["_blk"] if blocked else [])))
     ticks = base.groupBy(key, partner, ts).agg(first.alias("_first")).withColumn("_day", _day(F.col(ts)))
@@ -112,7 +112,7 @@ def _stays(base, key, partner, ts, seq, spans, blocked):
         F.when(F.col("_next").isNull() | (F.col("_next") > F.col(ts) + w), F.lit(int(w))) for w in spans
     ])
     end = both.select(key, ts, F.explode(F.array_compact(ended)).alias("_w")).groupBy(
-        key, (F.col(ts) + F.col("_w") + 1).alias(ts)
+        key, (F.col(ts) + F.col("_w")).alias(ts)
     ).agg(*[F.count(F.when(F.col("_w") == w, 1)).alias(f"_close_{partner}_{w}") for w in spans])
     return mark, end
 
@@ -120,39 +120,40 @@ def _stays(base, key, partner, ts, seq, spans, blocked):
 def _second_totals(base, stays, key, ts, seq, measures, opens, windows, closes, last, first_seen):
     """Per (key, second): totals before it, totals before ``t - W``, and stays ended by it.
 
-    One scan over the key's seconds, where each second also asks at ``t - W`` (before that second's
-    rows) and at ``t`` (after the stays that end there).
+    One scan over the key's seconds. A second's own row (kind 1) sees all that precedes it; it also
+    asks at ``t - W`` (kind 0, before the rows of that second). Stays count from the second that
+    opens them and end after their last second (kind 2).
     """
     held = [F.max(F.struct(*seq, *[c for c in last if c not in seq and c != ts], ts)).alias("_held_row")] if last else []
     seconds = base.groupBy(key, ts).agg(*[F.sum(m).alias(m) for m in measures], *held)
-    asks = [(0, 0), *[(int(w), 0) for w in windows], *([(0, 2)] if closes else [])]
-    asks = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(k).alias("k")) for w, k in asks])
-    asked = seconds.select(key, F.col(ts).alias("_t"), F.explode(asks).alias("_a")).select(
-        key, "_t", F.col("_a.w").alias("_w"), F.col("_a.k").alias("_kind"), (F.col("_t") - F.col("_a.w")).alias(ts)
-    )
-    union = asked.unionByName(seconds.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    union = seconds.select("*", F.col(ts).alias("_t"), F.lit(0).alias("_w"), F.lit(1).alias("_kind"))
+    if windows:
+        asks = F.explode(F.array(*[F.lit(int(w)) for w in windows]))
+        asked = seconds.select(key, F.col(ts).alias("_t"), asks.alias("_w")).select(
+            key, "_t", "_w", F.lit(0).alias("_kind"), (F.col("_t") - F.col("_w")).alias(ts))
+        union = union.unionByName(asked, allowMissingColumns=True)
     for mark, end in stays:
         made = [c for c in mark.columns if c.startswith("_open_")]
         per_second = mark.groupBy(key, ts).agg(*[F.sum(c).alias(c) for c in made])
-        union = union.unionByName(per_second.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-        union = union.unionByName(end.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+        union = union.unionByName(per_second.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
+        union = union.unionByName(end.withColumn("_kind", F.lit(2)), allowMissingColumns=True)
     union = union.select("*", _day(F.col(ts)).alias("_day"), F.when(F.col("_kind") == 1, F.col(ts)).alias("_seen"))
     seen = ordered_history(
         union, [key], ["_day"], [ts, "_kind"], sums=[*measures, *opens, *closes],
         mins=["_seen"] if first_seen else [], last=["_held_row"] if last else [],
         last_where=F.col("_held_row").isNotNull() if last else None,
-    ).where("_kind <> 1")
+    ).where("_t IS NOT NULL")
 
-    def at(w, kind, column, name):
-        return F.max(F.when((F.col("_w") == w) & (F.col("_kind") == kind), F.col(column))).alias(name)
+    def at(w, column, name):
+        return F.max(F.when(F.col("_w") == w, F.col(column))).alias(name)
 
-    picks = [at(0, 0, f"before_{m}", f"_up_{m}") for m in [*measures, *opens]]
-    picks += [at(w, 0, f"before_{m}", f"_at_{m}_{w}") for w in windows for m in measures]
-    picks += [at(0, 2, f"before_{c}", f"_at_{c}") for c in closes]
+    picks = [at(0, f"before_{m}", f"_up_{m}") for m in [*measures, *opens]]
+    picks += [at(w, f"before_{m}", f"_at_{m}_{w}") for w in windows for m in measures]
+    picks += [at(0, f"before_{c}", f"_at_{c}") for c in closes]
     if last:
-        picks.append(at(0, 0, "prev__held_row", "_prior"))
+        picks.append(at(0, "prev__held_row", "_prior"))
     if first_seen:
-        picks.append(at(0, 0, "low__seen", "_first"))
+        picks.append(at(0, "low__seen", "_first"))
     out = seen.groupBy(key, F.col("_t").alias(ts)).agg(*picks)
     return out.withColumn("first_ts", F.least("_first", ts)) if first_seen else out
 

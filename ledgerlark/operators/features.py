@@ -219,12 +219,18 @@ def row_features(df: DataFrame) -> DataFrame:
     return df.select("*", *[c.alias(n) for n, c in made.items()])
 
 
-def build_features(df: DataFrame, seq: Sequence[str] = ("seq",), geo: tuple[str, str] | None = None) -> DataFrame:
-    """All ``f_`` columns; non-finite values become NULL."""
-    out = payer_features(df, seq, geo)
-    for builder in (payee_features, merchant_features, device_features):
-        out = builder(out, seq)
-    out = row_features(out)
+def build_features(
+    df: DataFrame, seq: Sequence[str] = ("seq",), geo: tuple[str, str] | None = None, key: str = "txn_id"
+) -> DataFrame:
+    """All ``f_`` columns; non-finite values become NULL.
+
+    Each entity works on the same input and the results meet on the payment id, so no entity's scan
+    is repeated inside another's. Cut the lineage of ``df`` first when it is costly to compute.
+    """
+    out = row_features(df)
+    made = [payer_features(df, seq, geo), payee_features(df, seq), merchant_features(df, seq), device_features(df, seq)]
+    for part in made:
+        out = out.join(part.select(key, *feature_columns(part)), key)
     doubles = {n for n, t in out.dtypes if t == "double" and n.startswith("f_")}
     return out.select(*[fx.finite(F.col(c)).alias(c) if c in doubles else F.col(c) for c in out.columns])
 
