@@ -172,7 +172,7 @@ def decile_lift(df: DataFrame, score: str, order: Sequence[str], bins: int = 10)
     """Near-equal chunks by descending score; the first ``rows % bins`` chunks hold one row more."""
     high, low = value_levels(-F.col(score))
     base = df.select("*", (-F.col(score)).alias("_x"), high.alias("_l1"), low.alias("_l2"),
-                     F.lit(1).cast("long").alias("_c"), F.pmod(F.xxhash64(*order), F.lit(1)).alias("_z"))
+                     F.lit(1).cast("long").alias("_c"))
     ranked = ordered_history(base, [], ["_l1", "_l2"], ["_x", *order], sums=["_c"])
     size = df.groupBy().agg(F.count(F.lit(1)).alias("_rows"), F.avg("is_fraud").alias("_base"))
     r = attach_totals(ranked, size, [])

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import windows, evaluation  # noqa: F401
+from . import audits, evaluation, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -281,12 +281,13 @@ NUMERIC = ["amount", "payee_account_age_days", "payee_added_minutes_ago", "payee
 
 @query("benign_baselines", f"""
 WITH long AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v FROM ledger WHERE is_fraud = 0" for c in NUMERIC)})
-SELECT col AS "column", count(*) AS n, round(avg(v), 4) AS mean, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.25) AS p25,
-  quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS p75, quantile_cont(v, 0.95) AS p95, avg(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS share_zero
+SELECT col AS "column", count(*) AS n, round(avg(v), 4) AS mean, round(quantile_cont(v, 0.05), 5) AS p05, round(quantile_cont(v, 0.25), 5) AS p25,
+  round(quantile_cont(v, 0.5), 5) AS median, round(quantile_cont(v, 0.75), 5) AS p75, round(quantile_cont(v, 0.95), 5) AS p95, avg(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS share_zero
 FROM long GROUP BY col
 """, ("ledger",))
 def benign_baselines(spark, sf_dir):
-    return evaluate.benign_baselines(ledger(spark, sf_dir, ["is_fraud", *NUMERIC]), NUMERIC)
+    found = evaluate.benign_baselines(ledger(spark, sf_dir, ["is_fraud", *NUMERIC]), NUMERIC)
+    return found.select(*[F.round(c, 5).alias(c) if c in ("p05", "p25", "median", "p75", "p95") else c for c in found.columns])
 
 
 @query("bootstrap_intervals")
