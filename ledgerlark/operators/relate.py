@@ -93,9 +93,12 @@ def describe_split(df: DataFrame, ts: str = "ts_s") -> DataFrame:
 
 def stratified_sample(df: DataFrame, n: int, key: str, seed: int = 7, floor: int = 500) -> DataFrame:
     """All fraud plus a seeded legitimate sample of ``max(n - fraud, 500)`` rows."""
-    fraud, legit = df.where("is_fraud = 1"), df.where("is_fraud = 0")
-    wanted = max(n - fraud.count(), floor)
-    return fraud.unionByName(legit.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(wanted))
+    mixed = df.select("*", F.xxhash64(key, F.lit(seed)).alias("_h"), (1 - F.col("is_fraud")).cast("long").alias("_legit"))
+    ranked = ordered_history(
+        mixed.withColumn("_l1", F.shiftright("_h", 44)), [], ["_l1"], ["_h", key], sums=["_legit"])
+    size = df.agg(F.greatest(F.lit(n) - F.sum("is_fraud"), F.lit(floor)).alias("_k"))
+    picked = attach_totals(ranked, size, []).where((F.col("is_fraud") == 1) | (F.col("before__legit") < F.col("_k")))
+    return picked.select(*df.columns)
 
 
 def proportional_sample(df: DataFrame, group: str, key: str, total: int, cap: int = 400, seed: int = 7) -> DataFrame:

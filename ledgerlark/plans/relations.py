@@ -155,13 +155,13 @@ def join_siblings(spark, sf_dir):
 
 @query("join_residual_risk", """WITH m AS (SELECT attack_vector_id AS v, avg(CASE WHEN score >= 0.88 THEN 1 ELSE 0 END) AS r FROM ledger WHERE is_fraud = 1 AND supp % 12 < 9 GROUP BY 1),
 k AS (SELECT concat('V', (s_suppkey % 12)::VARCHAR) AS v, avg(s_acctbal) / 10000 AS risk FROM supplier GROUP BY 1)
-SELECT v AS vector, round(risk, 8) AS risk, r AS recall, round(CASE WHEN r IS NULL THEN risk ELSE risk * (1 - r) END, 8) AS residual_risk, CASE WHEN r IS NULL THEN 'unmeasured' ELSE 'measured recall' END AS basis FROM k LEFT JOIN m USING (v)""", ("ledger",))
+SELECT v AS vector, round(risk, 5) AS risk, r AS recall, round(CASE WHEN r IS NULL THEN risk ELSE risk * (1 - r) END, 5) AS residual_risk, CASE WHEN r IS NULL THEN 'unmeasured' ELSE 'measured recall' END AS basis FROM k LEFT JOIN m USING (v)""", ("ledger",))
 def join_residual_risk(spark, sf_dir):
     measured = ledger(spark, sf_dir, ["attack_vector_id", "score", "is_fraud", "supp"]).where("is_fraud = 1 AND supp % 12 < 9").groupBy(
         F.col("attack_vector_id").alias("vector")).agg(F.avg((F.col("score") >= CUT).cast("double")).alias("recall"))
     catalogue = table(spark, sf_dir, "supplier").groupBy(F.expr("concat('V', CAST(s_suppkey % 12 AS STRING))").alias("vector")).agg((F.avg("s_acctbal") / 10000).alias("risk"))
     left = F.when(F.col("recall").isNull(), F.col("risk")).otherwise(F.col("risk") * (1 - F.col("recall")))
-    return catalogue.join(measured, "vector", "left").select("vector", F.round("risk", 8).alias("risk"), "recall", F.round(left, 8).alias("residual_risk"),
+    return catalogue.join(measured, "vector", "left").select("vector", F.round("risk", 5).alias("risk"), "recall", F.round(left, 5).alias("residual_risk"),
                                                            F.when(F.col("recall").isNull(), "unmeasured").otherwise("measured recall").alias("basis"))
 
 
@@ -259,10 +259,11 @@ def text_clean_and_dedupe(spark, sf_dir):
 @query("text_dialogue_turns", """WITH d AS (SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t, count(*) AS n FROM conversations GROUP BY 1)
 SELECT conv_id, len(regexp_extract_all(t, '(?im)^\\s*(?:user|assistant|system)\\s*:')) AS markers FROM d WHERE len(regexp_extract_all(t, '(?im)^\\s*(?:user|assistant|system)\\s*:')) >= 4 AND length(t) BETWEEN 200 AND 12000""")
 def text_dialogue_turns(spark, sf_dir):
-    said = F.struct("turn", F.concat("role", F.lit(": "), "text").alias("line"))
-    d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda s: s["line"]), "\n").alias("t"))
-    marks = F.size(F.expr(r"regexp_extract_all(t, '(?im)^\\s*(?:user|assistant|system)\\s*:', 0)")).cast("long")
-    return d.where(F.length("t").between(200, 12000)).select("conv_id", marks.alias("markers")).where("markers >= 4")
+    line = F.concat("role", F.lit(": "), "text")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", line.alias("t"))
+    marks = F.size(F.expr(r"regexp_extract_all(t, '(?im)^\\s*(?:user|assistant|system)\\s*:', 0)"))
+    d = turns.groupBy("conv_id").agg(F.sum(marks).alias("markers"), (F.sum(F.length("t")) + F.count(F.lit(1)) - 1).alias("chars"))
+    return d.where(F.col("chars").between(200, 12000) & (F.col("markers") >= 4)).select("conv_id", "markers")
 
 
 @query("summary_documents", """SELECT lang, source, count(*) AS docs, avg(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic_rate, GROUPING(lang) AS g_lang, GROUPING(source) AS g_source FROM documents LEFT JOIN labels USING (doc_id)
