@@ -49,7 +49,7 @@ def neighbour_in_degree(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("day", "node").join(means, ["day", "node"], "left").select("day", "node", F.coalesce("m", F.lit(0.0)).alias("neighbour_mean_in_degree"))
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 60, tol: float = 1e-5, cut: int = 4) -> DataFrame:
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 60, tol: float = 1e-5) -> DataFrame:
     """Weighted PageRank per day; a day that settles keeps its ranks, one that never does reads 0."""
     out = edges.groupBy("day", "src").agg(F.sum("cents").alias("_o")).where("_o > 0")
     shares = durable(edges.join(out, ["day", "src"]).select("day", "src", "dst", (F.col("cents") / F.col("_o")).alias("w")))
@@ -58,20 +58,19 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 60, tol: float
     dangling = nodes.join(out.select("day", F.col("src").alias("node"), F.lit(0).alias("_d")), ["day", "node"], "left")
     state = durable(dangling.join(F.broadcast(size), "day").select(
         "day", "node", "n", F.coalesce("_d", F.lit(1)).alias("dang"), (1.0 / F.col("n")).alias("r"), F.lit(0).alias("done")))
-    for step in range(1, rounds + 1):
+    for _ in range(rounds):
+        # A round reads the ranks four times, so each one is cut before the next.
         sent = shares.join(state.where("done = 0").select("day", F.col("node").alias("src"), "r"), ["day", "src"]).groupBy(
             "day", F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("r")).alias("_in"))
         lost = state.where("done = 0").groupBy("day").agg(F.sum(F.col("r") * F.col("dang")).alias("_lost"))
         moved = state.join(sent, ["day", "node"], "left").join(F.broadcast(lost), "day", "left")
         new = alpha * (F.coalesce("_in", F.lit(0.0)) + F.coalesce("_lost", F.lit(0.0)) / F.col("n")) + (1 - alpha) / F.col("n")
-        moved = moved.select("day", "node", "n", "dang", "done", F.when(F.col("done") == 1, F.col("r")).otherwise(new).alias("r"), F.col("r").alias("_old"))
+        moved = durable(moved.select("day", "node", "n", "dang", "done", F.when(F.col("done") == 1, F.col("r")).otherwise(new).alias("r"), F.col("r").alias("_old")))
         gap = moved.groupBy("day").agg((F.sum(F.abs(F.col("r") - F.col("_old"))) < F.max("n") * tol).alias("_ok"))
-        state = moved.join(F.broadcast(gap), "day").select(
-            "day", "node", "n", "dang", "r", F.when(F.col("_ok"), 1).otherwise(F.col("done")).alias("done"))
-        if step % cut == 0:
-            state = durable(state)
-            if not state.where("done = 0").head(1):
-                break
+        state = durable(moved.join(F.broadcast(gap), "day").select(
+            "day", "node", "n", "dang", "r", F.when(F.col("_ok"), 1).otherwise(F.col("done")).alias("done")))
+        if not state.where("done = 0").head(1):
+            break
     return state.select("day", "node", F.when(F.col("done") == 1, F.col("r")).otherwise(0.0).alias("pagerank"))
 
 

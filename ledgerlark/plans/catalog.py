@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import audits, evaluation, graphs, relations, windows  # noqa: F401
+from . import audits, evaluation, graphs, relations, scoring, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
