@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,6 +21,21 @@ from .ordered import attach_totals, exact_quantiles, ordered_history, wide_quant
 MIN_POSITIVES, TARGET_FPR, ACCEPT_GAIN = 5, 0.005, 0.005
 
 
+# How a changed field reads in a sentence.
+LABELS = {
+    "payee_account_age_days": "the beneficiary account had been open",
+    "payee_added_minutes_ago": "the beneficiary had been on file",
+    "payee_is_first_time": "the payer had used this beneficiary before",
+    "amount": "the amount had been",
+    "call_in_progress": "no call had been in progress",
+    "screen_share_active": "no screen share had been active",
+    "remote_access_app_detected": "no remote-access tool had been present",
+    "payee_name_match_score": "the beneficiary name had matched at",
+    "device_is_new": "the device had been recognised",
+    "auth_attempts": "authentication had succeeded first time",
+}
+
+
 class Encoder:
     """Numeric columns with a missing mark each, and categories learned on train."""
 
@@ -185,7 +201,7 @@ def counterfactuals(scored_trials: DataFrame, cut: float, key: str, top: int = 3
     best = scored_trials.where(F.col("score") <= cut).groupBy(key, "column").agg(
         F.min(F.struct(move.alias("normalised_move"), "to", "from", "unit", F.col("score").alias("score_after"))).alias("b")).select(key, "column", "b.*")
     w = Window.partitionBy(key).orderBy("normalised_move", "column")
-    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).withColumn("text", phrase(F.col("column"), F.col("unit"), F.col("to")))
+    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).withColumn("text", phrase(fx.lookup(F.col("column"), LABELS, "it"), F.col("unit"), F.col("to")))
 
 
 def phrase(label, unit, to):
@@ -205,8 +221,6 @@ def normalise_text(text):
 
 def nfkc(df: DataFrame, text: str) -> DataFrame:
     """Compatibility normalisation, the one text step Spark SQL has no function for."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fold(s: pd.Series) -> pd.Series:
         return s.str.normalize("NFKC")

@@ -32,16 +32,17 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "ledge
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
-
-    The folder comes from ``spark.checkpoint.dir``; only a session without one (a local test)
-    gets a folder of its own.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a session without one (a local test) gets its own."""
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerlark-")
-        )
+    found = context._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerlark-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
