@@ -55,7 +55,7 @@ def test_bootstrap_interval_covers_the_point(spark):
 
 def test_planted_leaks_are_found(spark):
     r = random.Random(6)
-    rows = [(int(i < 200), "RING1" if i < 60 else f"A{i}", "normal", 5.0 + i / 1e4 if i < 200 else r.uniform(0, 1)) for i in range(4000)]
+    rows = [(int(i < 400), "RING1" if i < 60 else f"A{i}", "normal", 5.0 + i / 1e4 if i < 400 else r.uniform(0, 1)) for i in range(4000)]
     df = spark.createDataFrame(rows, "is_fraud int, payer string, kind string, leak double")
     found = {(a["column"], a["kind"]) for a in audit.find_artefacts(df, ["kind"], ["payer"], ["leak"]).collect()}
     assert ("leak", "band") in found and ("payer", "id prefix") in found and ("kind", "level") not in found
