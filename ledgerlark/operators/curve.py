@@ -224,3 +224,24 @@ def paired_difference(replicas: DataFrame, a: str, b: str) -> DataFrame:
     share = F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))
     return both.agg(F.avg("d").alias("difference"), q[0].alias("lo95"), q[1].alias("hi95"),
                     F.least(F.lit(1.0), 2 * share).alias("p_two_sided"))
+
+
+def response_prices(scored: DataFrame, cut: float, cuts: list[float], rule_hit, prices: dict = PRICES) -> DataFrame:
+    """What each response would cost: hold, the cheapest other cut, an extra rule, or friction.
+
+    Fixed values: friction stops 28% of the fraud it meets, loses 4% of honest payments, and a rule
+    costs 25,000 a round.
+    """
+    held = cost_curve(collapse(scored), scored.sparkSession.createDataFrame([(float(c),) for c in {*cuts, cut}], "cut double"), cut, prices)
+    hold = held.where("is_deployed = 1").select(F.lit("hold").alias("move"), "total_cost")
+    shift = held.where("is_optimal = 1").select(F.lit("rethreshold").alias("move"), "total_cost")
+    fraud, alert = F.col("is_fraud") == 1, (F.col("score") >= cut) | rule_hit
+    money = lambda c: F.sum(F.when(c, F.col("cents")).otherwise(0)) / F.lit(100.0)
+    one = lambda c: F.sum(c.cast("long"))
+    ruled = scored.agg((money(fraud & ~alert) * prices["reimbursement_share"] + one(alert) * prices["analyst_review"]
+                        + one(alert & ~fraud) * prices["false_decline"] + 25_000.0).alias("total_cost")).select(F.lit("add_rule").alias("move"), "total_cost")
+    asked, model = rule_hit & (F.col("score") < cut), F.col("score") >= cut
+    eased = scored.agg(((money(fraud & ~model) - 0.28 * money(fraud & asked)) * prices["reimbursement_share"] + one(model) * prices["analyst_review"]
+                        + (one(model & ~fraud) + 0.04 * one(asked & ~fraud)) * prices["false_decline"] + one(asked) * prices["step_up_friction"])
+                       .alias("total_cost")).select(F.lit("add_friction").alias("move"), "total_cost")
+    return hold.unionByName(shift).unionByName(ruled).unionByName(eased).orderBy("total_cost", "move")

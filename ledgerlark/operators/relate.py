@@ -143,3 +143,14 @@ def clean_texts(df: DataFrame, text: str, order: str, low: int, high: int, refus
     kept = df.select("*", t.alias("clean")).where(F.length("clean").between(low, high) & ~F.lower("clean").rlike(refusals))
     same = F.lower("clean") if prefix is None else F.substring(F.lower("clean"), 1, prefix)
     return latest(kept.withColumn("_same", F.sha2(same, 256)), ["_same"], -F.col(order)).drop("_same")
+
+
+def export_slice(scored: DataFrame, n: int, key: str, ts: str, alert: Column) -> DataFrame:
+    """At most a third fraud, a sixth false alerts, the rest legitimate approvals, in time order."""
+    kind = F.when(F.col("is_fraud") == 1, "fraud").when(alert, "false_alert").otherwise("approved")
+    w = Window.partitionBy("_kind").orderBy(ts, key)
+    ranked = scored.select("*", kind.alias("_kind")).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
+    some = ranked.where(((F.col("_kind") == "fraud") & (F.col("_r") <= n // 3)) | ((F.col("_kind") == "false_alert") & (F.col("_r") <= n // 6)))
+    taken = some.agg(F.count(F.lit(1)).alias("_taken"))
+    rest = attach_totals(ranked.where("_kind = 'approved'"), taken, []).where(F.col("_r") <= n - F.col("_taken"))
+    return some.select(*scored.columns).unionByName(rest.select(*scored.columns)).orderBy(ts, key)

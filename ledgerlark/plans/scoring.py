@@ -130,3 +130,42 @@ def text_normalised(spark, sf_dir):
 def score_partial_requests(spark, sf_dir):
     sparse = ledger(spark, sf_dir, ["txn_id", "supp", "item", "amount", "score"]).selectExpr("txn_id", "IF(supp % 4 <> 0, amount, NULL) AS amount", "IF(item % 3 <> 0, score, NULL) AS f_given")
     return sparse.select("txn_id", F.coalesce("amount", F.lit(0.0)).alias("amount_used"), fx.completeness(["amount", "f_given"]).alias("completeness"))
+
+
+@query("audit_joint_separability")
+def audit_joint_separability(spark, sf_dir):
+    return models.separability(durable(ledger(spark, sf_dir, ["txn_id", "ts_s", "is_fraud", *NUMERIC])), NUMERIC, "ts_s")
+
+
+@query("audit_derived_separability")
+def audit_derived_separability(spark, sf_dir):
+    rows = features.row_features(ledger(spark, sf_dir)).select("txn_id", "ts_s", "is_fraud", *NUMERIC, *EXTRA)
+    return models.separability(durable(rows), [*NUMERIC, *EXTRA], "ts_s")
+
+
+@query("model_indicative_terms")
+def model_indicative_terms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return models.indicative_terms(docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id"), "text", "toxic")
+
+
+@query("model_text_group_holdout")
+def model_text_group_holdout(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(
+        table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
+    return models.group_holdout(docs, "text", "toxic", "lang", ["fr", "de"])
+
+
+@query("response_prices")
+def response_prices(spark, sf_dir):
+    rows = ledger(spark, sf_dir, ["score", "is_fraud", "cents", "payee_is_first_time", "amount"])
+    hit = (F.col("payee_is_first_time") == 1) & (F.col("amount") > 60_000)
+    return curve.response_prices(rows, 0.88, [0.80 + i * 0.005 for i in range(40)], hit)
+
+
+@query("select_export_slice", """WITH k AS (SELECT *, CASE WHEN is_fraud = 1 THEN 'f' WHEN score >= 0.88 THEN 'x' ELSE 'a' END AS kind FROM ledger),
+r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts_s, txn_id) AS rn FROM k), s AS (SELECT * FROM r WHERE (kind = 'f' AND rn <= 100) OR (kind = 'x' AND rn <= 50))
+SELECT txn_id, ts_s, score FROM s UNION ALL SELECT txn_id, ts_s, score FROM r WHERE kind = 'a' AND rn <= 300 - (SELECT count(*) FROM s)""", ("ledger",))
+def select_export_slice(spark, sf_dir):
+    rows = ledger(spark, sf_dir, ["txn_id", "ts_s", "score", "is_fraud"])
+    return relate.export_slice(rows, 300, "txn_id", "ts_s", F.col("score") >= 0.88).select("txn_id", "ts_s", "score")
