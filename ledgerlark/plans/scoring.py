@@ -169,3 +169,14 @@ SELECT txn_id, ts_s, score FROM s UNION ALL SELECT txn_id, ts_s, score FROM r WH
 def select_export_slice(spark, sf_dir):
     rows = ledger(spark, sf_dir, ["txn_id", "ts_s", "score", "is_fraud"])
     return relate.export_slice(rows, 300, "txn_id", "ts_s", F.col("score") >= 0.88).select("txn_id", "ts_s", "score")
+
+
+@query("inspect_alert_fields", f"""
+WITH t AS (SELECT * FROM ledger WHERE score >= 0.88 ORDER BY score DESC, txn_id LIMIT 12), u AS ({" UNION ALL ".join(f"SELECT txn_id, '{c}' AS c, {c}::DOUBLE AS v FROM t" for c in NUMERIC)}),
+b AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, quantile_cont({c}, 0.5)::DOUBLE AS m FROM ledger WHERE is_fraud = 0" for c in NUMERIC)})
+SELECT txn_id, c AS "column", v AS value, round(m, 5) AS median FROM u JOIN b USING (c)""", ("ledger",))
+def inspect_alert_fields(spark, sf_dir):
+    rows = ledger(spark, sf_dir, ["txn_id", "score", "is_fraud", *NUMERIC])
+    top = rows.where("score >= 0.88").orderBy(F.desc("score"), "txn_id").limit(12)
+    found = relate.inspect(top, NUMERIC, evaluate.benign_baselines(rows, NUMERIC), "txn_id")
+    return found.select("txn_id", "column", "value", F.round("median", 5).alias("median"))

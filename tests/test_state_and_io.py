@@ -80,3 +80,20 @@ def test_rebuild_equals_full(spark):
     build = lambda d: causal.entity_history(d, "p", sums=["v"], windows=[3600]).select("seq", "n_3600", "v_3600", "v_before")
     got = incremental.rebuild(before, after, build(before), "seq", ["p"], build)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, build(after).collect()))
+
+
+def test_saved_scorer_scores_alike_and_stale_versions_are_refused(spark, tmp_path):
+    from ledgerlark.operators import models
+    r = random.Random(4)
+    rows = [(str(i), int(i % 5 == 0), r.gauss(2.0 * (i % 5 == 0), 1), r.choice("ab")) for i in range(400)]
+    df = spark.createDataFrame(rows, "txn_id string, is_fraud int, x double, c string")
+    m = models.StackedScorer(["x"], ["c"], trees=2, depth=2).fit(df, df)
+    path = str(tmp_path / "bundle")
+    io.save_scorer(m, spark, path)
+    pick = lambda s: sorted((q["txn_id"], q["score"]) for q in s.transform(df).collect())
+    back = io.load_scorer(spark, path)
+    assert pick(back) == pick(m) and back.cut == m.cut
+    head = spark.read.parquet(f"{path}/head").withColumn("version", F.lit(99)).collect()
+    spark.createDataFrame(head, "version int, cut double, numeric array<string>, categories array<string>").write.mode("overwrite").parquet(f"{path}/head")
+    with pytest.raises(ValueError):
+        io.load_scorer(spark, path)
