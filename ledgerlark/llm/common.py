@@ -103,3 +103,33 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
     roots = now.select(F.col("b").alias("node")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots.select("node", F.col("node").alias("root")))
+
+
+def ranked(df: DataFrame, *order) -> DataFrame:
+    """``df`` with ``rank`` from 0 in the given order, without one global window: sorted ranges, and one count per range."""
+    from pyspark.sql import Window as W
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = durable(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}  # one row per partition
+    before, start = [], 0
+    for i in range(max(sizes, default=-1) + 1):
+        before.append(start)
+        start += sizes.get(i, 0)
+    starts = F.array(*map(F.lit, before or [0]))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(*order)) - 1
+    return placed.withColumn("rank", (inside + starts[F.col("_range")]).cast("long")).drop("_range")
+
+
+def running_before(df: DataFrame, group: str, chunk: str, order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the sum of ``value`` over the rows of the same ``group`` that come before, by chunk and then by order.
+
+    A group of any size is summed chunk by chunk; only one total per chunk is ordered within the group.
+    """
+    from pyspark.sql import Window as W
+
+    past = (W.unboundedPreceding, -1)
+    totals = df.groupBy(group, chunk).agg(F.sum(value).alias("_t"))
+    starts = totals.select(group, chunk, F.coalesce(F.sum("_t").over(W.partitionBy(group).orderBy(chunk).rowsBetween(*past)), F.lit(0)).alias("_b"))
+    inside = F.coalesce(F.sum(value).over(W.partitionBy(group, chunk).orderBy(*order).rowsBetween(*past)), F.lit(0))
+    return df.withColumn("_i", inside).join(starts, [group, chunk]).withColumn(out, F.col("_i") + F.col("_b")).drop("_i", "_b")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, tokens
+from . import chat, decontaminate, mixing, quality, simhash, tokens, warc
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,23 @@ def _(spark, sf_dir):
     return tokens.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_query("op3_source_mixing")
+def _(spark, sf_dir):
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+
+
+@_query("op4_benchmark_decontamination", r"""
+WITH words AS (SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+  UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') FROM benchmark),
+starts AS (SELECT kind, id, w, unnest(range(1, len(w) - 3)) AS i FROM words WHERE len(w) >= 5),
+shingles AS (SELECT DISTINCT kind, id, array_to_string(w[i:i+4], ' ') AS s FROM starts),
+items AS (SELECT id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE kind = 'b')
+SELECT d.id AS doc_id, i.id AS item_id, any_value(i.n) AS n_item, count(*) AS n_found, count(*) / any_value(i.n) AS containment
+FROM shingles d JOIN items i ON d.s = i.s WHERE d.kind = 'd' GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(i.n)""")
+def _(spark, sf_dir):
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 @_query("op5_simhash_near_dedup")
 def _(spark, sf_dir):
     return simhash.near_duplicates(documents(spark, sf_dir))
@@ -40,3 +57,38 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     return quality.quality_signals(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_MARKED = r"""len(regexp_extract_all({0}, '\\|\[INST\]|\[/INST\]|<s>|</s>|<<SYS>>|<</SYS>>|\[ROLE\]|\[/ROLE\]')) + len({0})"""
+
+
+@_query("op6_chat_formatting", f"""
+WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+said AS (SELECT conv_id, string_agg(text, '' ORDER BY turn, role, text) AS loss FROM rows WHERE role = 'assistant' GROUP BY conv_id),
+whole AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum({_MARKED.format("text")} + CASE role WHEN 'assistant' THEN 6 WHEN 'user' THEN 18 ELSE 30 + {_MARKED.format("role")} END) AS BIGINT) AS formatted_chars
+  FROM rows GROUP BY conv_id)
+SELECT whole.conv_id, n_turns, turns_sha256, len(coalesce(loss, '')) AS loss_chars, sha256(coalesce(loss, '')) AS loss_sha256, formatted_chars
+FROM whole LEFT JOIN said ON whole.conv_id = said.conv_id""")
+def _(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    quoted = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", quoted), (-1, 1, "assistant", quoted)], given.schema)
+    return chat.format_digest(given.union(extra))
+
+
+_HEX = "('0x' || substr(h, {at}, 5))::BIGINT"
+_BASE32 = " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((({_HEX.format(at=1 + 5 * i)} >> {shift}) & 31) + 1 AS INT), 1)" for i in range(8) for shift in (15, 10, 5, 0))
+
+
+@_query("op9_warc", f"""
+WITH hashed AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+first AS (SELECT h, max(page_id) AS first FROM hashed GROUP BY h)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32.replace("(h,", "(hashed.h,")} AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM hashed JOIN first ON hashed.h = first.h""")
+def _(spark, sf_dir):
+    return warc.archive_digest(table(spark, sf_dir, "pages"))
