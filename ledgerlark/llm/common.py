@@ -133,3 +133,22 @@ def running_before(df: DataFrame, group: str, chunk: str, order: list[str], valu
     starts = totals.select(group, chunk, F.coalesce(F.sum("_t").over(W.partitionBy(group).orderBy(chunk).rowsBetween(*past)), F.lit(0)).alias("_b"))
     inside = F.coalesce(F.sum(value).over(W.partitionBy(group, chunk).orderBy(*order).rowsBetween(*past)), F.lit(0))
     return df.withColumn("_i", inside).join(starts, [group, chunk]).withColumn(out, F.col("_i") + F.col("_b")).drop("_i", "_b")
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder; the shuffles that made it are let go as soon as it is written."""
+    import uuid
+
+    from ..session import shared_folder
+
+    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, simhash, tokens, warc
+from . import chat, decontaminate, mixing, quality, simhash, substrings, tokens, urls, warc
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def _query(name: str, sql: str | None = None):
     return keep
 
 
+@_query("op1_url_filters")
+def _(spark, sf_dir):
+    return urls.judged(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 @_query("op2_token_counts")
 def _(spark, sf_dir):
     import public_tokenizers
@@ -78,6 +83,20 @@ def _(spark, sf_dir):
     return chat.format_digest(given.union(extra))
 
 
+@_query("op8_substring_dedup", r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM words WHERE len(w) >= 20),
+windows AS (SELECT doc_id, p, md5(array_to_string(w[p:p+19], ' ')) AS k FROM starts),
+later AS (SELECT doc_id, p FROM windows QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM later),
+each AS (SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words)),
+kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.i) AS text FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id)
+SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id""")
+def _(spark, sf_dir):
+    return substrings.deduplicated(documents(spark, sf_dir), texts=False)
+
+
 _HEX = "('0x' || substr(h, {at}, 5))::BIGINT"
 _BASE32 = " || ".join(
     f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((({_HEX.format(at=1 + 5 * i)} >> {shift}) & 31) + 1 AS INT), 1)" for i in range(8) for shift in (15, 10, 5, 0))
