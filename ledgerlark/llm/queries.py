@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, simhash, substrings, tokens, urls, warc
+from . import chat, decontaminate, lm, mixing, quality, simhash, substrings, tokens, urls, warc
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32.repla
 FROM hashed JOIN first ON hashed.h = first.h""")
 def _(spark, sf_dir):
     return warc.archive_digest(table(spark, sf_dir, "pages"))
+
+
+@_query("op10_lm_scoring")
+def _(spark, sf_dir):
+    return lm.lm_scores(documents(spark, sf_dir))
