@@ -23,6 +23,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def document_key():
+    """The document id as a column that sorts null last and joins."""
+    return F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("long")
+
+
+def text_hash():
+    """Tells rows apart that share an id."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null reads as empty. ``bytes.split()`` then cuts at ASCII white space only."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]

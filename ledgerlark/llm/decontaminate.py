@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, text_hash
 
 #: Words in a shingle; an item is found if a document holds at least ``FOUND`` of its shingles, in hundredths.
 SHINGLE, FOUND = 5, 80
@@ -42,36 +42,48 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return each.join(sizes, "item").withColumn("sketched", least <= F.floor(largest * (100 - FOUND) / 100) + 1)
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``doc_id, item_id, n_item, n_found, containment`` for each benchmark item that a document of ``docs(doc_id, text)`` holds.
-
-    First the sketches of ``items(item_id, text)`` are probed with every shingle of every document. Only documents with a hit
-    are then read again, and their shingles compared, as text, with the whole items. Sketches and items are broadcast in blocks
-    of at most about ``BROADCAST_ROWS`` shingles; candidate ids are broadcast up to that number, else joined by a shuffle.
-
-    Words are runs of letters and digits, lower-cased. Null texts and texts under five words hold and are no items. Null and
-    repeated ids are answered; equal answers appear once. Other columns are not looked at.
-    """
+def _found(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, t, item_id, n, n_found``: the items found, with the hash ``t`` of the document's text."""
     known = durable(item_shingles(items))
     blocks = -(-known.count() // BROADCAST_ROWS) or 1
+    named = docs.select("doc_id", text_hash().alias("t"), "text")
     out = None
     for block in range(blocks):
         some = known.where(F.pmod("item", F.lit(blocks)) == block)
-        sketch = some.where("sketched").select("h", "item")
-        named = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
         probed = _shingles(_words(named, "doc_id", "t"), "doc_id", "t").select("doc_id", "t", "h")
-        pairs = durable(probed.join(F.broadcast(sketch), "h").select("doc_id", "t", "item").distinct())
-        hit = pairs.select("doc_id", "t").distinct()
-        if hit.count() <= BROADCAST_ROWS:
-            hit = F.broadcast(hit)
-        hit = hit.withColumnsRenamed({"doc_id": "_d", "t": "_t"})
-        again = named.join(hit, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left_semi")
+        pairs = durable(probed.join(F.broadcast(some.where("sketched").select("h", "item")), "h").select("doc_id", "t", "item").distinct())
+        hit = pairs.select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
+        again = named.join(_small(hit), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")), "left_semi")
         mine = _shingles(_words(again, "doc_id", "t"), "doc_id", "t")
         whole = some.select(F.col("h").alias("_h"), F.col("shingle").alias("_s"), "item", "item_id", "n")
         met = mine.join(F.broadcast(whole), (mine.h == whole._h) & (mine.shingle == whole._s))
         counted = met.groupBy("doc_id", "t", "item", "item_id", "n").agg(F.count_distinct("_s").alias("n_found")).where(f"100 * n_found >= {FOUND} * n")
-        candidates = pairs.withColumnsRenamed({"doc_id": "_d", "t": "_t", "item": "_i"})
-        verified = counted.join(candidates, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("item") == F.col("_i")), "left_semi")
-        rows = verified.select("doc_id", "item_id", F.col("n").alias("n_item"), "n_found", (F.col("n_found") / F.col("n")).alias("containment")).distinct()
+        candidates = pairs.toDF("_d", "_t", "_i")
+        rows = counted.join(candidates, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("t") == F.col("_t")) & (F.col("item") == F.col("_i")), "left_semi")
         out = rows if out is None else out.union(rows)
-    return out
+    return out.drop("item")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """To be broadcast, if it was counted and has no more than ``BROADCAST_ROWS`` rows."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``doc_id, item_id, n_item, n_found, containment`` for each benchmark item that a document of ``docs(doc_id, text)`` holds.
+
+    First the sketches of ``items(item_id, text)`` are probed with every shingle of every document. Only documents with a hit
+    are then read again, and their shingles compared, as text, with the whole items. Sketches and items are broadcast in blocks
+    of at most about ``BROADCAST_ROWS`` shingles; candidate ids are broadcast up to that number, else joined by a shuffle.
+
+    Words are runs of letters and digits, lower-cased. Null texts and texts under five words hold and are no items. Null and
+    repeated ids are answered; equal answers appear once. Other columns are not looked at.
+    """
+    return _found(docs, items).select("doc_id", "item_id", F.col("n").alias("n_item"), "n_found", (F.col("n_found") / F.col("n")).alias("containment")).distinct()
+
+
+def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no item is found."""
+    found = durable(_found(docs, items).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct())
+    keyed = docs.withColumn("_key", text_hash())
+    return keyed.join(_small(found), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left_anti").drop("_key")

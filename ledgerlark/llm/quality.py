@@ -86,3 +86,14 @@ def quality_signals(docs: DataFrame) -> DataFrame:
     length are read whole. Other columns are not looked at.
     """
     return docs.select("doc_id", "text").mapInArrow(_measured, SCHEMA)
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text the rules keep."""
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                yield part.filter(pa.array([measure(data)[-1] for data in as_bytes(part.column("text"))], pa.bool_()))
+
+    return docs.mapInArrow(chosen, docs.schema)

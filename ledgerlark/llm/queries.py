@@ -94,7 +94,7 @@ kept AS (SELECT e.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY e.i) AS t
 SELECT words.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM words LEFT JOIN kept ON words.doc_id = kept.doc_id""")
 def _(spark, sf_dir):
-    return substrings.deduplicated(documents(spark, sf_dir), texts=False)
+    return substrings.removal_digest(documents(spark, sf_dir))
 
 
 _HEX = "('0x' || substr(h, {at}, 5))::BIGINT"

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, durable, pieces
+from .common import as_bytes, components, document_key, durable, pieces, text_hash
 
 #: Words in a shingle, hash seed, and differing bits that still link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -38,15 +38,15 @@ def fingerprint(data: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` for every row of ``docs(doc_id, text)``; null text counts as empty."""
+    """``doc_id, t, fp`` for every row of ``docs(doc_id, text)``, with the hash ``t`` of the text; null text counts as empty."""
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array([fingerprint(d) for d in as_bytes(part.column("text"))], pa.int64())], ["doc_id", "fp"])
+                prints = pa.array([fingerprint(d) for d in as_bytes(part.column("text"))], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("t"), prints], ["doc_id", "t", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(computed, "doc_id long, fp long")
+    return docs.select("doc_id", "text", text_hash().alias("t")).mapInArrow(computed, "doc_id long, t long, fp long")
 
 
 class BKTree:
@@ -153,6 +153,14 @@ def links(prints: DataFrame) -> DataFrame:
     return units.mapInArrow(_units, "a long, b long")
 
 
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows, and ``fp, root``: the component of each distinct one."""
+    prints = durable(fingerprints(docs))
+    values = durable(prints.select("fp").distinct())
+    found = durable(components(links(values)))
+    return prints, values.join(found, values.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``docs(doc_id, text)``.
 
@@ -160,13 +168,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     from star rounds; ``component_id`` is the smallest document id that links reach.
 
     A null text is empty; texts without words have fingerprint zero and link like any other. Null ids are kept and never name a
-    component unless it has no other. Repeated rows are each answered. Other columns are not looked at.
+    component unless it has no other. Repeated rows are each answered. An empty table gives no rows. Other columns are not
+    looked at.
     """
-    prints = durable(fingerprints(docs))
-    values = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = durable(components(links(values)))
-    rooted = values.join(found, values.fp == found.node).select("fp", "first", "root")
-    least = rooted.groupBy("root").agg(F.min("first").alias("least"))
-    named = rooted.join(least, "root").select("fp", F.col("least").alias("component_id"))
-    named = values.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
+    prints, roots = _grouped(docs)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    named = roots.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each component: that of the smallest id, null last.
+
+    Of rows that share the id, the one with the smallest text hash stays, and of rows equal in both any one.
+    """
+    prints, roots = _grouped(docs)
+    d = document_key()
+    first = prints.select(d.alias("d"), "t", "fp").groupBy("fp").agg(F.min(F.struct("d", "t")).alias("first"))
+    kept = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.d").alias("_d"), F.col("first.t").alias("_t"))
+    keyed = docs.withColumns({"_d": d, "_t": text_hash()})
+    return keyed.join(kept, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).drop("_d", "_t")

@@ -10,7 +10,9 @@ the same source compact into long spans.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import as_bytes, mixed, ngram_hashes, pieces, stored, word_hashes
+from .common import as_bytes, document_key, mixed, ngram_hashes, pieces, stored, text_hash, word_hashes
 
 #: Words in a window, and in the k-mers among which a window's minimizer is the one with the least hash.
 WINDOW, KMER = 20, 5
@@ -110,7 +112,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _named(docs: DataFrame) -> DataFrame:
     """Null ids sort last; the text's hash tells rows apart that share an id."""
-    return docs.select("doc_id", "text", F.coalesce("doc_id", F.lit((1 << 63) - 1)).cast("long").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    return docs.select("doc_id", "text", document_key().alias("d"), text_hash().alias("t"))
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -145,41 +147,62 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return runs.groupBy("d", "t", "run").agg(F.min("start").alias("start"), F.sum("windows").alias("windows"), F.min("source").alias("source"), F.min("source_start").alias("source_start")).drop("run")
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_TOKEN = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+
+
+def _kept(n: int, spans: list[dict] | None) -> np.ndarray:
+    step = np.zeros(n + 1, np.int64)
+    for s in spans or ():
+        step[s["start"]] += 1
+        step[s["start"] + s["windows"] + WINDOW - 1] -= 1
+    return np.cumsum(step)[:-1] == 0
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
             out = []
             for data, spans in zip(as_bytes(part.column("text")), part.column("spans").to_pylist(), strict=True):
                 words = data.split()
-                gone = 0
-                if spans:
-                    step = np.zeros(len(words) + 1, np.int64)
-                    for s in spans:
-                        step[s["start"]] += 1
-                        step[s["start"] + s["windows"] + WINDOW - 1] -= 1
-                    keep = np.cumsum(step)[:-1] == 0
-                    gone = len(words) - int(keep.sum())
-                    left = [w for w, k in zip(words, keep.tolist(), strict=True) if k]
-                else:
-                    left = words
-                out.append((len(words), gone, b" ".join(left)))
-            n, gone, left = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in left]), pa.array(left, pa.binary()).cast(pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+                keep = _kept(len(words), spans)
+                left = list(compress(words, keep.tolist())) if spans else words
+                out.append((len(words), len(words) - len(left), hashlib.sha256(b" ".join(left)).hexdigest()))
+            n, gone, sha = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def deduplicated(docs: DataFrame, texts: bool = True) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` and, with ``texts``, ``kept`` for every row of ``docs(doc_id, text)``.
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in pieces(batch):
+            texts = part.column("text").to_pylist()
+            for i, spans in enumerate(part.column("_spans").to_pylist()):
+                if spans:  # what is kept keeps the white space behind it
+                    tokens = _TOKEN.findall(texts[i].encode())
+                    texts[i] = b"".join(compress(tokens, _kept(len(tokens), spans).tolist())).decode()
+            names = [c for c in part.schema.names if c != "_spans"]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, part.schema.field(c).type) if c == "text" else part.column(c) for c in names], names)
+
+
+def _listed(docs: DataFrame) -> DataFrame:
+    return repeated_spans(docs).groupBy("d", "t").agg(F.collect_list(F.struct("start", "windows")).alias("_spans"))
+
+
+def removal_digest(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` for every row of ``docs(doc_id, text)``; kept words are joined by one space.
 
     Each word is removed that a window covers whose words also start earlier: in a smaller document id, or before in the same
-    text. Windows are judged on what was given, not on what is left. Kept words are joined by one space.
+    text. Windows are judged on what was given, not on what is left.
 
     A null text has no words; one of fewer words than a window repeats nothing. A null id comes after all others. Rows that
     share an id and a text are the same document and repeat each other nowhere; rows that share only the id are each answered
     for their own text. An empty table gives no rows. Other columns are not looked at.
     """
-    spans = repeated_spans(docs).groupBy("d", "t").agg(F.collect_list(F.struct("start", "windows")).alias("spans"))
-    joined = _named(docs).join(spans, ["d", "t"], "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return out if texts else out.drop("kept")
+    joined = _named(docs).join(_listed(docs), ["d", "t"], "left").select("doc_id", "text", F.col("_spans").alias("spans"))
+    return joined.mapInArrow(_digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, with what :func:`removal_digest` removes cut from ``text``; other texts stay as they are."""
+    spans = _listed(docs).withColumnsRenamed({"d": "_d", "t": "_t"})
+    joined = docs.withColumns({"_d": document_key(), "_t": text_hash()}).join(spans, ["_d", "_t"], "left")
+    return joined.select(*docs.columns, "_spans").mapInArrow(_cut, docs.schema)
