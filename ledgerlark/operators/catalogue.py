@@ -47,14 +47,18 @@ def transfer_matrix(df: DataFrame, row: str, column: str, value: str, columns: S
 
 
 def trend(df: DataFrame, order: str, value: str) -> DataFrame:
-    """Least-squares slope and how often the series turns; one row per round, so a small table."""
+    """Least-squares slope and how often the series turns, steps of zero left out; one row per round, so a small table.
+
+    Fixed values: five rounds at least, a slope of 0.005 and half the possible turns. Flat is asked first, then falling.
+    """
     w = Window.orderBy(order)
     steps = df.groupBy(order).agg(F.avg(value).alias(value)).withColumn("d", F.signum(F.col(value) - F.lag(value).over(w)))
-    steps = steps.withColumn("turn", (F.col("d") * F.lag("d").over(w) < 0).cast("long"))
+    moved = F.last(F.when(F.col("d") != 0, F.col("d")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    steps = steps.withColumn("turn", (F.col("d") * moved < 0).cast("long"))
     s = steps.agg(F.regr_slope(value, order).alias("slope"), F.coalesce(F.sum("turn"), F.lit(0)).alias("sign_changes"), F.count(F.lit(1)).alias("rounds"))
-    index = F.when(F.col("rounds") > 2, F.col("sign_changes") / (F.col("rounds") - 2)).otherwise(0.0)
-    verdict = F.when(F.col("rounds") < 3, "too short").when(index > 0.5, "oscillating").when(F.col("slope") > 0.005, "rising").when(
-        F.col("slope") < -0.005, "falling").otherwise("flat")
+    index = F.col("sign_changes") / F.greatest(F.col("rounds") - 2, F.lit(1))
+    verdict = F.when(F.col("rounds") < 5, "too short").when((F.abs("slope") < 0.005) & (index < 0.5), "flat").when(F.col("slope") < -0.005, "falling").when(
+        index >= 0.5, "oscillating").otherwise("rising")
     return s.select(F.round("slope", 10).alias("slope"), "sign_changes", index.alias("oscillation"), verdict.alias("verdict"))
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
+from . import causal
 from .ordered import attach_totals, exact_quantiles, wide_quantiles
 
 # Tolerances, ages and the codes that decline or raise friction.
@@ -121,20 +124,24 @@ def decide(df: DataFrame, cut: float) -> DataFrame:
                      outcome.alias("outcome"))
 
 
-def verify_settlements(settlements: DataFrame, instructions: DataFrame, key: str, now: str = "now_s") -> DataFrame:
+def verify_settlements(settlements: DataFrame, instructions: DataFrame, key: str, order: list[str], now: str = "now_s") -> DataFrame:
     """Settlement against signed instruction: absent and unsigned end the check, all else adds up.
 
-    A replay is a settlement that comes after an earlier one of the same instruction was accepted.
+    Only an accepted settlement spends its instruction. The first without any other reason is accepted, and all that come
+    after it, by ``now`` and then ``order``, are replays.
     """
     j = settlements.join(instructions, key, "left")
     c = F.col
     rest = {
-        "INTENT_EXPIRED": c(now) > c("expires_at"), "INTENT_REPLAYED": c("already_spent") == 1,
+        "INTENT_EXPIRED": c(now) > c("expires_at"), "INTENT_REPLAYED": c("_clean_before") > 0,
         "PAYEE_MISMATCH": c("settle_payee") != c("payee_id"), "CURRENCY_MISMATCH": c("settle_currency") != c("currency"),
         "AMOUNT_EXCEEDS_INTENT": c("settle_amount") > c("max_amount") * (1 + TOLERANCE),
         "SCOPE_VIOLATION": F.size(F.array_except("requested_scope", "scope")) > 0,
     }
     only = lambda code: F.array(F.lit(code))
+    others = [test for code, test in rest.items() if code != "INTENT_REPLAYED"]
+    wrong = reduce(lambda a, b: a | b, [F.coalesce(t, F.lit(False)) for t in others]) | c("max_amount").isNull() | (c("signature_valid") == 0)
+    j = causal.entity_history(j.withColumn("_clean", fx.flag(~wrong)), key, ts=now, seq=order, sums=["_clean"])
     reasons = F.when(c("max_amount").isNull(), only("INTENT_ABSENT")).when(
         c("signature_valid") == 0, only("INTENT_SIGNATURE_INVALID")).otherwise(fx.reason_list(rest))
     return j.select(*settlements.columns, fx.join_reasons(reasons).alias("reasons"), fx.flag(F.size(reasons) == 0).alias("allowed"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .ordered import attach_totals, ordered_history, value_levels, value_scan
 
 BUDGETS = [0.001, 0.002, 0.005, 0.01, 0.02, 0.05]
@@ -28,8 +30,16 @@ def collapse(df: DataFrame, score: str = "score", label: str = "is_fraud", part:
 
 
 def score_curve(df: DataFrame, part: Sequence[str] = (), **names) -> DataFrame:
-    """Distinct scores with what lies strictly above each: ``before_pos``, ``before_neg``."""
-    return value_scan(collapse(df, part=part, **names), part, "score", SUMS, descending=True)
+    """Distinct scores with what lies strictly above each, ``before_pos``, ``before_neg``, and the totals ``p``, ``n``, ``p_cents``.
+
+    The counts per score are cut off from their source, and totals are sums of them: the payments are read once.
+    """
+    counts = durable(collapse(df, part=part, **names))
+    return _with_totals(value_scan(counts, part, "score", SUMS, descending=True), counts, part)
+
+
+def _with_totals(scan, counts, part):
+    return attach_totals(scan, totals(counts, part), part)
 
 
 def _grouped(df, part):
@@ -45,7 +55,7 @@ def roc_auc(curve: DataFrame, part: Sequence[str] = ()) -> DataFrame:
 def average_precision(curve: DataFrame, part: Sequence[str] = ()) -> DataFrame:
     tp = F.col("before_pos") + F.col("pos")
     step = F.col("pos") * (tp / (tp + F.col("before_neg") + F.col("neg")))
-    return _grouped(curve, part).agg((F.sum(step) / F.sum("pos")).alias("average_precision"))
+    return _grouped(curve, part).agg(F.try_divide(F.sum(step), F.sum("pos")).alias("average_precision"))
 
 
 def totals(curve: DataFrame, part: Sequence[str] = ()) -> DataFrame:
@@ -53,10 +63,9 @@ def totals(curve: DataFrame, part: Sequence[str] = ()) -> DataFrame:
 
 
 def partial_auc(curve: DataFrame, max_fpr: float = 0.02, part: Sequence[str] = ()) -> DataFrame:
-    """Area up to ``max_fpr``, one point per distinct score, rescaled so that chance reads 0.5."""
-    c = attach_totals(curve, totals(curve, part), part)
-    f0, f1 = F.col("before_neg") / F.col("n"), (F.col("before_neg") + F.col("neg")) / F.col("n")
-    t0, t1 = F.col("before_pos") / F.col("p"), (F.col("before_pos") + F.col("pos")) / F.col("p")
+    """Area up to ``max_fpr``, one point per distinct score, rescaled so that chance reads 0.5; NULL when a class is empty."""
+    f0, f1 = F.try_divide("before_neg", "n"), F.try_divide(F.col("before_neg") + F.col("neg"), F.col("n"))
+    t0, t1 = F.try_divide("before_pos", "p"), F.try_divide(F.col("before_pos") + F.col("pos"), F.col("p"))
     cut = F.lit(float(max_fpr))
     t_cut = t0 + (t1 - t0) * (cut - f0) / (f1 - f0)
     piece = (
@@ -64,7 +73,8 @@ def partial_auc(curve: DataFrame, max_fpr: float = 0.02, part: Sequence[str] = (
     )
     low, high = 0.5 * max_fpr * max_fpr, max_fpr
     area = F.sum(F.round(piece, 15).cast("decimal(30,15)")).cast("double")
-    return _grouped(c, part).agg((0.5 * (1.0 + (area - low) / (high - low))).alias("partial_auc"))
+    scaled = 0.5 * (1.0 + (area - low) / (high - low))
+    return _grouped(curve, part).agg(F.when((F.max("p") > 0) & (F.max("n") > 0), scaled).alias("partial_auc"))
 
 
 def operating_points(curve: DataFrame, budgets: Sequence[float] = BUDGETS, part: Sequence[str] = ()) -> DataFrame:
@@ -73,7 +83,7 @@ def operating_points(curve: DataFrame, budgets: Sequence[float] = BUDGETS, part:
     With ``floor(budget * n)`` false alerts allowed, the cut is the highest score whose inclusion
     would exceed them; alerts are the rows strictly above it. Without negatives the cut is 0.5.
     """
-    c = attach_totals(curve, totals(curve, part), part)
+    c = curve
     over = [(F.col("before_neg") + F.col("neg")) > F.floor(F.lit(b) * F.col("n")) for b in budgets]
     pick = F.struct("score", F.col("before_pos").alias("tp"), F.col("before_neg").alias("fp"), F.col("before_pos_cents").alias("tp_cents"))
     best = _grouped(c, part).agg(
@@ -94,10 +104,10 @@ def operating_points(curve: DataFrame, budgets: Sequence[float] = BUDGETS, part:
 def operating_curve(points: DataFrame) -> DataFrame:
     alerts = F.col("tp") + F.col("fp")
     return points.select(
-        "target_fpr", "cut", (F.col("tp") / F.col("p")).alias("recall"),
+        "target_fpr", "cut", F.try_divide("tp", "p").alias("recall"),
         F.when(alerts > 0, F.col("tp") / alerts).otherwise(0.0).alias("precision"),
         F.when(F.col("p_cents") > 0, F.col("tp_cents") / F.col("p_cents")).alias("value_recall"),
-        (alerts * F.lit(10000.0) / (F.col("p") + F.col("n"))).alias("alerts_per_10k"),
+        F.try_divide(alerts * F.lit(10000.0), F.col("p") + F.col("n")).alias("alerts_per_10k"),
     )
 
 
@@ -117,8 +127,8 @@ def cost_curve(curve_counts: DataFrame, cuts: DataFrame, deployed: float, prices
     t = attach_totals(found, totals(curve_counts), [])
     alerts, missed = F.col("pos") + F.col("neg"), (F.col("p_cents") - F.col("pos_cents")) / F.lit(100.0)
     out = t.select(
-        F.col("cut").alias("threshold"), (F.col("pos") / F.col("p")).alias("recall"),
-        (F.col("neg") / F.col("n")).alias("false_positive_rate"), alerts.alias("alerts"),
+        F.col("cut").alias("threshold"), F.try_divide("pos", "p").alias("recall"),
+        F.try_divide("neg", "n").alias("false_positive_rate"), alerts.alias("alerts"),
         missed.alias("fraud_value_missed"), (missed * prices["reimbursement_share"]).alias("fraud_losses"),
         (alerts * prices["analyst_review"]).alias("alert_review"),
         (F.col("neg") * prices["false_decline"]).alias("false_declines"),
@@ -154,76 +164,123 @@ def baseline_points(long: DataFrame, target_fpr: float) -> DataFrame:
 
     The lowest distinct cut whose false-positive rate fits, else the strictest cut there is.
     """
-    c = attach_totals(score_curve(long, ["model"]), totals(score_curve(long, ["model"]), ["model"]), ["model"])
+    c = score_curve(long, ["model"])
     tp, fp = F.col("before_pos") + F.col("pos"), F.col("before_neg") + F.col("neg")
     row = F.struct("score", tp.alias("tp"), fp.alias("fp"), (F.col("before_pos_cents") + F.col("pos_cents")).alias("tc"))
     best = c.groupBy("model").agg(
-        F.coalesce(F.min(F.when(fp / F.col("n") <= target_fpr, row)), F.max(row)).alias("at"),
+        F.coalesce(F.min(F.when(F.try_divide(fp, F.col("n")) <= target_fpr, row)), F.max(row)).alias("at"),
         F.max("p").alias("p"), F.max("n").alias("n"), F.max("p_cents").alias("p_cents"))
-    fpr = F.col("at.fp") / F.col("n")
+    fpr = F.try_divide("at.fp", "n")
     return best.select(
-        "model", F.col("at.score").alias("threshold"), (F.col("at.tp") / F.col("p")).alias("recall"),
-        (F.col("at.tp") / (F.col("at.tp") + F.col("at.fp"))).alias("precision"),
-        (F.col("at.tc") / F.col("p_cents")).alias("value_recall"), fpr.alias("realised_fpr"),
+        "model", F.col("at.score").alias("threshold"), F.try_divide("at.tp", "p").alias("recall"),
+        F.try_divide(F.col("at.tp"), F.col("at.tp") + F.col("at.fp")).alias("precision"),
+        F.try_divide("at.tc", "p_cents").alias("value_recall"), fpr.alias("realised_fpr"),
         ((fpr >= target_fpr * 0.34) & (fpr <= target_fpr * 1.6)).cast("long").alias("comparable_budget"))
 
 
-def decile_lift(df: DataFrame, score: str, order: Sequence[str], bins: int = 10) -> DataFrame:
-    """Near-equal chunks by descending score; the first ``rows % bins`` chunks hold one row more."""
-    high, low = value_levels(-F.col(score))
-    base = df.select("*", (-F.col(score)).alias("_x"), high.alias("_l1"), low.alias("_l2"),
-                     F.lit(1).cast("long").alias("_c"))
-    ranked = ordered_history(base, [], ["_l1", "_l2"], ["_x", *order], sums=["_c"])
-    size = df.groupBy().agg(F.count(F.lit(1)).alias("_rows"), F.avg("is_fraud").alias("_base"))
-    r = attach_totals(ranked, size, [])
+def decile_lift(df: DataFrame, score: str, key: str, bins: int = 10) -> DataFrame:
+    """Near-equal chunks by descending score; the first ``rows % bins`` chunks hold one row more.
+
+    Scores that lie within one chunk go there as counts. Only the rows of scores that straddle an edge are put in order, by the
+    MD5 of ``key``: at most ``bins - 1`` scores, whose rows are cut by the digest's leading digits, so that no tie is one task.
+    """
+    fraud = F.col("is_fraud") == 1
+    value = F.col(score).cast("double")
+    counts = durable(df.groupBy(value.alias("score")).agg(
+        F.count(F.lit(1)).alias("k"), F.sum("is_fraud").alias("fraud"), F.sum(F.when(fraud, F.col("cents")).otherwise(0)).alias("cents")))
+    size = counts.agg(F.sum("k").alias("_rows"), F.sum("fraud").alias("_fraud"))
+    scan = attach_totals(value_scan(counts, [], "score", ["k"], descending=True), size, [])
     step, extra = F.floor(F.col("_rows") / bins), F.col("_rows") % bins
-    edge, at = extra * (step + 1), F.col("before__c")
-    decile = F.when(at < edge, F.floor(at / (step + 1))).otherwise(extra + F.floor((at - edge) / step)) + 1
-    return r.groupBy(decile.cast("long").alias("decile")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("is_fraud").alias("fraud"), F.avg("is_fraud").alias("fraud_rate"),
-        (F.avg("is_fraud") / F.max("_base")).alias("lift"),
-        (F.sum(F.when(F.col("is_fraud") == 1, F.col("cents")).otherwise(0)) / F.lit(100.0)).alias("fraud_value"))
+    edge = extra * (step + 1)
 
+    def chunk(at):
+        return (F.when(at < edge, F.floor(at / (step + 1))).otherwise(extra + F.floor(F.try_divide(at - edge, step))) + 1).cast("long")
 
-def bootstrap_recall(counts: DataFrame, target_fpr: float, replicas: int = 200, seed: int = 7,
-                     scores: Sequence[str] = ("a",)) -> DataFrame:
-    """Class-stratified Poisson bootstrap of recall at a budget, the cut re-derived per replica.
+    placed = durable(scan.select("*", chunk(F.col("before_k")).alias("first"), chunk(F.col("before_k") + F.col("k") - 1).alias("last")))
+    inside = placed.where("first = last").select(F.col("first").alias("decile"), "k", "fraud", "cents", "_rows", "_fraud")
+    torn = placed.where("first < last").select(F.col("score").alias("_s"), "before_k", "_rows", "_fraud")  # one row per edge at most
+    rows = df.join(F.broadcast(torn.withColumnRenamed("before_k", "_start")), value == F.col("_s")).select(
+        "_s", "_start", "_rows", "_fraud", F.md5(F.col(key).cast("string")).alias("_h"), key, "is_fraud", "cents", F.lit(1).cast("long").alias("k"))
+    ranked = ordered_history(rows.withColumn("_l1", F.substring("_h", 1, 4)), ["_s"], ["_l1"], ["_h", key], sums=["k"])
+    each = ranked.select(chunk(F.col("_start") + F.col("before_k")).alias("decile"), "k",
+                         F.col("is_fraud").alias("fraud"), F.when(fraud, F.col("cents")).otherwise(0).alias("cents"), "_rows", "_fraud")
+    total = inside.unionByName(each).groupBy("decile").agg(F.sum("k").alias("rows"), F.sum("fraud").alias("fraud"), F.sum("cents").alias("c"), F.max("_rows").alias("n"), F.max("_fraud").alias("p"))
+    rate = F.col("fraud") / F.col("rows")
+    return total.select("decile", "rows", "fraud", rate.alias("fraud_rate"), F.try_divide(rate, F.col("p") / F.col("n")).alias("lift"), (F.col("c") / F.lit(100.0)).alias("fraud_value"))
 
-    ``counts(model, score, pos, neg)``. A cell's resampled count is Poisson with its own count as
-    mean, approximated from seeded hashes, so a replica costs one row per distinct score, not per
-    payment. Returns point, 2.5% and 97.5% bounds per model.
-    """
-    draws = counts.select("model", "score", "pos", "neg", F.explode(F.sequence(F.lit(1), F.lit(replicas))).alias("rep"))
 
-    def resampled(n, salt):
-        u1 = (F.pmod(F.xxhash64("score", "rep", F.lit(salt), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        u2 = (F.pmod(F.xxhash64("rep", "score", F.lit(salt + 1), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-        normal = F.sqrt(-2 * F.log(u1)) * F.cos(2 * 3.141592653589793 * u2)
-        few = F.when(u1 < 0.36788, 0).when(u1 < 0.73576, 1).when(u1 < 0.91970, 2).when(u1 < 0.98101, 3).otherwise(4)
-        return F.when(n == 0, 0).when(n == 1, few).otherwise(
-            F.greatest(F.lit(0), F.rint(n + F.sqrt(n.cast("double")) * normal))).cast("long")
+#: Replicas of a resampled metric, and the counts up to which a draw comes from the exact distribution.
+REPLICAS, EXACT_DRAW = 1000, 30
+
 
-    drawn = draws.select("model", "rep", "score", resampled(F.col("pos"), 11).alias("pos"),
-                         resampled(F.col("neg"), 23).alias("neg"), F.lit(0).cast("long").alias("pos_cents"))
-    scan = value_scan(drawn, ["model", "rep"], "score", SUMS, descending=True)
-    at = operating_points(scan, [target_fpr], ["model", "rep"])
-    return at.select("model", "rep", (F.col("tp") / F.col("p")).alias("recall"))
+def _uniform(rep: str, salt: int, seed: int):
+    return (F.pmod(F.xxhash64("cell", rep, F.lit(salt), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+
+
+def poisson(mean, u, v):
+    """A Poisson draw for a whole mean: by the inverse distribution up to ``EXACT_DRAW``, beyond it a rounded normal."""
+    def cumulated(n):
+        return [sum(math.exp(-n) * n**j / math.factorial(j) for j in range(k + 1)) for k in range(n + 8 * math.isqrt(n) + 12)]
+
+    one = F.lit(len(cumulated(1)))  # nearly all cells hold one row
+    for k, top in reversed(list(enumerate(cumulated(1)))):
+        one = F.when(u < top, k).otherwise(one)
+    table = F.array(*[F.array(*map(F.lit, cumulated(n))) for n in range(1, EXACT_DRAW + 1)])
+    few = F.size(F.filter(table[(mean - 1).cast("int")], lambda c: c < u))
+    many = F.greatest(F.lit(0.0), F.rint(mean + F.sqrt(mean.cast("double")) * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)))
+    return F.when(mean == 1, one).when(mean == 0, 0).when(mean <= EXACT_DRAW, few).otherwise(many).cast("long")
+
+
+def bootstrap(df: DataFrame, scores: Sequence[str], target_fpr: float, replicas: int = REPLICAS, seed: int = 7, money: str = "cents") -> DataFrame:
+    """Per replica and score column: ``model, rep, recall, precision, value_recall, average_precision, roc_auc``; replica 0 is what was observed.
+
+    Class-stratified resampling by cells: a cell is one combination of all scores, label and money per row, and its resampled
+    count is a Poisson draw around its own count, made once per replica and used by every score, so that the scores are
+    compared on the same resamples. The cut is found anew in each replica.
+    """
+    cells = df.groupBy(*[F.col(s).cast("double").alias(s) for s in scores], F.col("is_fraud").alias("label"), F.col(money).alias("each")).agg(F.count(F.lit(1)).alias("k"))
+    cells = durable(cells.withColumn("cell", F.xxhash64(*scores, "label", "each")))
+    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicas))).alias("rep"))
+    many = F.when(F.col("rep") == 0, F.col("k")).otherwise(poisson(F.col("k"), _uniform("rep", 11, seed), _uniform("rep", 23, seed)))
+    drawn = drawn.withColumn("k", many).where("k > 0")
+    models = F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).alias("score")) for s in scores]))
+    fraud = F.col("label") == 1
+    counts = drawn.select("rep", "label", "each", "k", models.alias("m")).groupBy("m.model", "rep", "m.score").agg(
+        F.sum(F.when(fraud, F.col("k")).otherwise(0)).alias("pos"), F.sum(F.when(fraud, 0).otherwise(F.col("k"))).alias("neg"),
+        F.sum(F.when(fraud, F.col("k") * F.col("each")).otherwise(0)).alias("pos_cents"))
+    part = ["model", "rep"]
+    counts = durable(counts)
+    scan = durable(_with_totals(value_scan(counts, part, "score", SUMS, descending=True), counts, part))
+    at = operating_points(scan, [target_fpr], part)
+    alerts = F.coalesce("tp", F.lit(0)) + F.coalesce("fp", F.lit(0))
+    found = at.select(*part, F.try_divide(F.coalesce("tp", F.lit(0)), F.col("p")).alias("recall"), F.coalesce(F.try_divide(F.col("tp"), alerts), F.lit(0.0)).alias("precision"),
+                      F.try_divide(F.coalesce("tp_cents", F.lit(0)), F.col("p_cents")).alias("value_recall"))
+    return found.join(average_precision(scan, part), part).join(roc_auc(scan, part).withColumnRenamed("auc", "roc_auc"), part)
+
+
+METRICS = ["recall", "precision", "value_recall", "average_precision", "roc_auc"]
+
+
+def _long_metrics(replicas):
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS]))
+    return replicas.select("model", "rep", each.alias("e")).select("model", "rep", "e.metric", "e.value")
 
 
 def intervals(replicas: DataFrame) -> DataFrame:
-    q = F.percentile("recall", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return replicas.groupBy("model").agg(q.alias("q"), F.count(F.lit(1)).alias("resamples")).select(
-        "model", F.col("q")[0].alias("lo95"), F.col("q")[1].alias("median"), F.col("q")[2].alias("hi95"), "resamples")
+    """``model, metric, point, lo95, hi95, resamples``."""
+    q = F.percentile(F.when(F.col("rep") > 0, F.col("value")), F.array(F.lit(0.025), F.lit(0.975)))
+    return _long_metrics(replicas).groupBy("model", "metric").agg(
+        F.max(F.when(F.col("rep") == 0, F.col("value"))).alias("point"), q[0].alias("lo95"), q[1].alias("hi95"), F.count(F.when(F.col("rep") > 0, 1)).alias("resamples"))
 
 
 def paired_difference(replicas: DataFrame, a: str, b: str) -> DataFrame:
-    """recall(b) - recall(a) on the same resamples, with a two-sided p."""
-    both = replicas.groupBy("rep").pivot("model", [a, b]).agg(F.max("recall")).select(
-        (F.col(b) - F.col(a)).alias("d"))
-    q = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
-    share = F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))
-    return both.agg(F.avg("d").alias("difference"), q[0].alias("lo95"), q[1].alias("hi95"),
-                    F.least(F.lit(1.0), 2 * share).alias("p_two_sided"))
+    """``metric, difference, lo95, hi95, p_two_sided`` of b less a on the same resamples; ``difference`` is the observed one."""
+    both = _long_metrics(replicas).groupBy("rep", "metric").pivot("model", [a, b]).agg(F.max("value")).select("rep", "metric", (F.col(b) - F.col(a)).alias("d"))
+    drawn = F.when(F.col("rep") > 0, F.col("d"))
+    q = F.percentile(drawn, F.array(F.lit(0.025), F.lit(0.975)))
+    share = F.least(F.avg((drawn <= 0).cast("double")), F.avg((drawn >= 0).cast("double")))
+    return both.groupBy("metric").agg(F.max(F.when(F.col("rep") == 0, F.col("d"))).alias("difference"), q[0].alias("lo95"), q[1].alias("hi95"),
+                                      F.least(F.lit(1.0), 2 * share).alias("p_two_sided"))
 
 
 def response_prices(scored: DataFrame, cut: float, cuts: list[float], rule_hit, prices: dict = PRICES) -> DataFrame:

@@ -16,6 +16,8 @@ AGE_BANDS = ["18-24", "25-34", "35-49", "50-64", "65+"]
 LITERACY = [(0.2, "0.0-0.2"), (0.4, "0.2-0.4"), (0.6, "0.4-0.6"), (0.8, "0.6-0.8"), (1.01, "0.8-1.0")]
 AMOUNT_BANDS = [(500.0, "<500"), (5_000.0, "500-5k"), (50_000.0, "5k-50k"), (200_000.0, "50k-2L"), (None, ">2L")]
 PAYEE_AGE_BANDS = [(7.0, "<1w"), (90.0, "1w-3m"), (730.0, "3m-2y"), (None, ">2y")]
+#: How a NULL dimension reads in a slice's name.
+MISSING = "(missing)"
 
 
 def band(value: Column, edges) -> Column:
@@ -42,10 +44,10 @@ def headline(df: DataFrame, cut: float) -> DataFrame:
     safe = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     p, r = safe(F.col("tp"), F.col("alerts")), safe(F.col("tp"), F.col("fraud"))
     return s.select(
-        "rows", "fraud", (F.col("fraud") / F.col("rows")).alias("fraud_rate"), p.alias("precision"), r.alias("recall"),
+        "rows", F.coalesce("fraud", F.lit(0)).alias("fraud"), F.try_divide("fraud", "rows").alias("fraud_rate"), p.alias("precision"), r.alias("recall"),
         safe(2 * F.col("tp"), F.col("alerts") + F.col("fraud")).alias("f1"),
-        ((F.col("alerts") - F.col("tp")) / (F.col("rows") - F.col("fraud"))).alias("false_positive_rate"),
-        (F.col("alerts") * F.lit(10000.0) / F.col("rows")).alias("alerts_per_10k"),
+        F.try_divide(F.col("alerts") - F.col("tp"), F.col("rows") - F.col("fraud")).alias("false_positive_rate"),
+        F.try_divide(F.col("alerts") * F.lit(10000.0), F.col("rows")).alias("alerts_per_10k"),
         F.when(F.col("value_at_risk") > 0, F.col("value_saved") / F.col("value_at_risk")).alias("value_recall"),
         "value_at_risk", "value_saved", F.round("brier", 9).alias("brier"))
 
@@ -74,8 +76,9 @@ def false_positive_breakdown(df: DataFrame, cut: float) -> DataFrame:
     legit = df.where("is_fraud = 0").select(
         kind.alias("kind"), F.concat(F.lit("rail:"), "rail").alias("rail"), (F.col("score") >= cut).cast("long").alias("alert"))
     sets = legit.groupingSets([["kind"], ["rail"]], "kind", "rail")
-    return sets.agg(F.count(F.lit(1)).alias("rows"), F.sum("alert").alias("false_positives"), F.avg("alert").alias("fp_rate")).select(
-        F.coalesce("kind", "rail").alias("segment"), "rows", "false_positives", "fp_rate")
+    found = sets.agg(F.count(F.lit(1)).alias("rows"), F.sum("alert").alias("false_positives"), F.avg("alert").alias("fp_rate"), F.grouping("rail").alias("_out"))
+    segment = F.when(F.col("_out") == 1, F.col("kind")).otherwise(F.coalesce("rail", F.lit(f"rail:{MISSING}")))
+    return found.select(segment.alias("segment"), "rows", "false_positives", "fp_rate")
 
 
 def fairness(df: DataFrame, cut: float) -> DataFrame:
@@ -90,10 +93,11 @@ def fairness(df: DataFrame, cut: float) -> DataFrame:
         F.sum(F.when(~fraud, F.col("alert")).otherwise(0)).alias("false_positives"),
         F.avg(F.when(~fraud, F.col("alert"))).alias("fp_rate"), F.sum(fraud.cast("long")).alias("fraud_rows"),
         F.avg(fraud.cast("double")).alias("victimisation_rate"), F.avg(F.when(fraud, F.col("alert"))).alias("recall"),
-        money(fraud).alias("value_at_risk"))
+        money(fraud).alias("value_at_risk"), F.grouping("age_band").alias("_out"))
+    by_age = F.col("_out") == 0
     out = agg.select(
-        F.when(F.col("age_band").isNotNull(), "age_band").otherwise("digital_literacy").alias("dimension"),
-        F.coalesce("age_band", "digital_literacy").alias("segment"), *agg.columns[2:])
+        F.when(by_age, "age_band").otherwise("digital_literacy").alias("dimension"),
+        F.when(by_age, F.col("age_band")).otherwise(F.col("digital_literacy")).alias("segment"), *agg.columns[2:-1])
     out = fx.with_wilson(out, "fp_rate", "legitimate_rows")
     return fx.with_wilson(out, "recall", "fraud_rows", flag_name="recall_n_sufficient")
 
@@ -116,10 +120,10 @@ def worst_slices(df: DataFrame, cut: float, min_rows: int = 25, top: int = 8) ->
     combos = [[d] for d in dims] + [list(c) for c in combinations(dims, 2)]
     agg = fraud.groupingSets(combos, *dims).agg(
         F.count(F.lit(1)).alias("fraud_rows"), F.avg(alert.cast("double")).alias("recall"),
-        money(F.lit(True)).alias("value_at_risk"), money(~alert).alias("value_missed"))
-    parts = F.array_compact(F.array(*[F.when(F.col(d).isNotNull(), F.concat(F.lit(f"{d}="), d)) for d in dims]))
+        money(F.lit(True)).alias("value_at_risk"), money(~alert).alias("value_missed"), *[F.grouping(d).alias(f"_out_{d}") for d in dims])
+    parts = F.array_compact(F.array(*[F.when(F.col(f"_out_{d}") == 0, F.concat(F.lit(f"{d}="), F.coalesce(d, F.lit(MISSING)))) for d in dims]))
     out = agg.where(F.col("fraud_rows") >= min_rows).select(
-        F.array_join(parts, " & ").alias("slice"), F.size(parts).cast("long").alias("dimensions"), *agg.columns[4:])
+        F.array_join(parts, " & ").alias("slice"), F.size(parts).cast("long").alias("dimensions"), *agg.columns[4:-len(dims)])
     return fx.with_wilson(out, "recall", "fraud_rows").orderBy("recall", "slice").limit(top)
 
 
@@ -134,7 +138,7 @@ def guard_contribution(df: DataFrame, cut: float) -> DataFrame:
 
 
 def expert_rules() -> dict[str, Column]:
-    """Ten written-down rules; a missing value never fires one."""
+    """Ten written-down rules; a missing value never fires one. Their names and thresholds."""
     c = F.col
     return {
         "new_payee_large_amount": (c("payee_is_first_time") == 1) & (c("amount") > 25_000),
@@ -192,7 +196,7 @@ def guard_leakage(df: DataFrame, presence: dict[str, str | None]) -> DataFrame:
     agg = long.groupBy("guard_column").agg(
         F.avg("present").alias("coverage"), F.avg(F.when(F.col("present") == 1, F.col("is_fraud"))).alias("p_fraud_given_present"),
         F.avg("is_fraud").alias("base_fraud_rate"))
-    return found.join(agg, "guard_column").withColumn("presence_lift", F.col("p_fraud_given_present") / F.col("base_fraud_rate"))
+    return found.join(agg, "guard_column").withColumn("presence_lift", F.try_divide("p_fraud_given_present", "base_fraud_rate"))
 
 
 def benign_baselines(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -157,7 +157,7 @@ def device_features(df: DataFrame, seq: Sequence[str] = ("seq",)) -> DataFrame:
 
     Rows without a device skip the scan; only the first-seen age is kept for them.
     """
-    named, unnamed = df.where("device_id <> ''"), df.where("device_id = ''")
+    named, unnamed = df.where("device_id <> ''"), df.where("device_id = '' OR device_id IS NULL")
     h = causal.entity_history(
         named, "device_id", seq=seq, windows=[DAY], distinct={"payer": [WEEK]}, first_seen=True
     )
@@ -167,8 +167,8 @@ def device_features(df: DataFrame, seq: Sequence[str] = ("seq",)) -> DataFrame:
         "f_device_txn_count_24h": F.col(f"n_{DAY}"),
         "f_device_first_seen_days": age(F.col("first_ts")),
     }
-    start = unnamed.groupBy("device_id").agg(F.min("ts_s").alias("_first"))
-    bare = unnamed.join(F.broadcast(start), "device_id").select(
+    start = unnamed.groupBy(F.col("device_id").alias("_id")).agg(F.min("ts_s").alias("_first"))  # blank and NULL: two rows
+    bare = unnamed.join(F.broadcast(start), F.col("device_id").eqNullSafe(F.col("_id"))).select(
         *df.columns, age(F.col("_first")).alias("f_device_first_seen_days"))
     return _drop(h, df.columns, made).unionByName(bare, allowMissingColumns=True)
 

@@ -74,14 +74,14 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 60, tol: float
     return state.select("day", "node", F.when(F.col("done") == 1, F.col("r")).otherwise(0.0).alias("pagerank"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Size of each node's weakly connected component, by smallest label with pointer jumping."""
+def components(edges: DataFrame) -> DataFrame:
+    """Size of each node's weakly connected component, by smallest label with pointer jumping, until no label changes."""
     both = durable(edges.select("day", F.explode(F.array(
         F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("e"))
         .select("day", "e.a", "e.b").distinct())
     state = both.groupBy("day", F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label"))
     state = durable(state)
-    for _ in range(rounds):
+    while True:
         near = both.join(state.select("day", F.col("node").alias("b"), "label"), ["day", "b"]).groupBy(
             "day", F.col("a").alias("node")).agg(F.min("label").alias("_l"))
         step = state.join(near, ["day", "node"]).select("day", "node", F.col("label").alias("_old"), F.least("label", "_l").alias("_m"))
@@ -118,19 +118,30 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(t.select(value, ((F.col("before__k") + (F.col("_k") + 1) / 2) / F.col("_n")).alias(name)), value)
 
 
-def communities(payments: DataFrame, rounds: int = 8) -> DataFrame:
-    """Community per account by weighted label spreading; ties go to the smallest label."""
-    pairs = payments.groupBy("payer", "payee").agg(F.sum("cents").alias("w"))
+def communities(payments: DataFrame, rounds: int = 200) -> DataFrame:
+    """Community per account by weighted label spreading, until no account would change; an error after ``rounds``.
+
+    An account wants the label with the most weight among its neighbours, of equal ones the smallest, and keeps its own
+    unless the other weighs more. Payment graphs are near bipartite: if all moved at once, labels would swap sides for ever, so a
+    seeded half of those that want to move does, another half each round.
+    """
+    pairs = payments.where("payer <> payee").groupBy("payer", "payee").agg(F.sum("cents").alias("w"))
     both = durable(pairs.select(F.explode(F.array(
         F.struct(F.col("payer").alias("a"), F.col("payee").alias("b")), F.struct(F.col("payee").alias("a"), F.col("payer").alias("b")))).alias("e"), "w")
         .groupBy("e.a", "e.b").agg(F.sum("w").alias("w")))
-    state = both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
+    state = durable(both.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
     for step in range(rounds):
-        votes = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.sum("w").alias("w"))
-        state = votes.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((-F.col("w")).alias("w"), "label"))["label"].alias("label"))
-        if step % 3 == 2:
-            state = durable(state)
-    return durable(state)
+        votes = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("w").alias("w"))
+        own = votes.join(state.select("node", F.col("label").alias("now")), "node")
+        best = own.groupBy("node", "now").agg(
+            F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b"), F.coalesce(F.sum(F.when(F.col("label") == F.col("now"), F.col("w"))), F.lit(0)).alias("kept"))
+        better = (-F.col("b.w") > F.col("kept")) | ((-F.col("b.w") == F.col("kept")) & (F.col("b.label") < F.col("now")))
+        moves = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0
+        asked = durable(best.select("node", better.alias("wants"), F.when(better & moves, F.col("b.label")).otherwise(F.col("now")).alias("label")))
+        state = asked.select("node", "label")
+        if not asked.where("wants").head(1):
+            return state
+    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def rings(payments: DataFrame, member: DataFrame, min_size: int = 4, sample: int = 8) -> DataFrame:

@@ -14,7 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 UP = Window.unboundedPreceding
+#: Group columns whose values are column or model names that the code lists itself.
+NAMED_GROUPS = {"column", "model"}
 
 
 def ordered_history(
@@ -144,8 +148,13 @@ def value_scan(
     """Totals over smaller (or larger) values, for a table with one row per distinct value."""
     rank = -F.col(value).cast("double") if descending else F.col(value).cast("double")
     high, low = value_levels(F.col("_x"))
-    keyed = collapsed.withColumn("_x", rank).select("*", high.alias("_l1"), low.alias("_l2"))
-    return ordered_history(keyed, part, ["_l1", "_l2"], ["_x", *tie], sums=sums).drop("_x", "_l1", "_l2")
+    keyed = collapsed.withColumn("_x", rank).select("*", high.alias("_l1"), low.alias("_l2"), *group_key(part))
+    return ordered_history(keyed, ["_g"] if part else [], ["_l1", "_l2"], ["_x", *tie], sums=sums).drop("_x", "_l1", "_l2", "_g")
+
+
+def group_key(part: Sequence[str]) -> list[Column]:
+    """The group as one struct column ``_g``: structs with null fields are equal, so a NULL group joins like any other."""
+    return [F.struct(*part).alias("_g")] if part else []
 
 
 def exact_quantiles(df: DataFrame, part: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
@@ -155,7 +164,7 @@ def exact_quantiles(df: DataFrame, part: Sequence[str], value: str, probs: Seque
     around each requested rank leave the scan.
     """
     part = list(part)
-    counts = (
+    counts = durable(
         df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
         .groupBy(*part, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -175,17 +184,20 @@ def exact_quantiles(df: DataFrame, part: Sequence[str], value: str, probs: Seque
         F.explode(F.filter("_spots", lambda r: (r >= F.col("before__n")) & (r < F.col("before__n") + F.col("_n"))))
         .alias("_rank"),
     )
-    low = hits.select(*part, F.col("_rank").alias("lo"), F.col("_v").alias("_a"))
-    high = hits.select(*part, (F.col("_rank") - 1).alias("lo"), F.col("_v").alias("_b"))
-    out = wanted.join(low, [*part, "lo"], "left").join(high, [*part, "lo"], "left")
+    low = hits.select(*group_key(part), F.col("_rank").alias("lo"), F.col("_v").alias("_a"))
+    high = hits.select(*group_key(part), (F.col("_rank") - 1).alias("lo"), F.col("_v").alias("_b"))
+    on = ["_g", "lo"] if part else ["lo"]
+    out = wanted.select("*", *group_key(part)).join(low, on, "left").join(high, on, "left")
     step = F.coalesce("_b", "_a") - F.col("_a")
     return out.select(*part, "p", (F.col("_a") + step * F.col("frac")).alias("q"), "n")
 
 
 def _attach_small(df: DataFrame, small: DataFrame, part: Sequence[str]) -> DataFrame:
-    """Attach a table with one row per group; without groups it is a single row."""
+    """Attach a table with one row per group; without groups it is a single row. Groups named in code are few and broadcast."""
     if part:
-        return df.join(small, list(part), "inner")
+        keyed = small.select(*group_key(part), *[c for c in small.columns if c not in part])
+        few = F.broadcast(keyed) if set(part) <= NAMED_GROUPS else keyed
+        return df.select("*", *group_key(part)).join(few, "_g").drop("_g")
     return df.withColumn("_one", F.lit(1)).join(
         F.broadcast(small.withColumn("_one", F.lit(1))), "_one"
     ).drop("_one")

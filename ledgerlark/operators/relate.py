@@ -28,9 +28,10 @@ def document_scores(payments: DataFrame, docs: DataFrame, key: str, threshold: f
 def spread_over_episode(payments: DataFrame, direct: DataFrame, key: str, episode: str) -> DataFrame:
     """Direct score, else the episode's best; blank episodes never spread."""
     rows = payments.join(direct.select(key, "direct"), key, "left")
-    named = F.trim(F.col(episode)) != ""
+    named = F.coalesce(F.trim(F.col(episode)) != "", F.lit(False))
     best = rows.where(named & F.col("direct").isNotNull()).groupBy(episode).agg(F.max("direct").alias("_best"))
-    out = rows.join(best, episode, "left")
+    # nearly all rows have no episode: they pass the join by
+    out = rows.where(named).join(best, episode, "left").unionByName(rows.where(~named), allowMissingColumns=True)
     found = F.coalesce("direct", "_best")
     return out.select(*payments.columns, F.coalesce(found, F.lit(0.0)).alias("vishing_score"), fx.flag(found.isNotNull()).alias("vishing_covered"))
 
@@ -101,14 +102,14 @@ def stratified_sample(df: DataFrame, n: int, key: str, seed: int = 7, floor: int
     return picked.select(*df.columns)
 
 
-def proportional_sample(df: DataFrame, group: str, key: str, total: int, cap: int = 400, seed: int = 7) -> DataFrame:
-    """Seeded sample in proportion to group size, at least one and at most ``cap`` per group."""
+def proportional_sample(df: DataFrame, group: str, key: str, total: int = 400, seed: int = 7) -> DataFrame:
+    """Seeded sample of about ``total`` rows in proportion to group size, at least one per group."""
     size = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     share = attach_totals(size, size.agg(F.sum("_n").alias("_all")), []).select(
         group, F.greatest(F.lit(1), F.rint(F.col("_n") * total / F.col("_all"))).alias("_k"))
     w = Window.partitionBy(group).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    top = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap)
-    return top.join(F.broadcast(share), group).where(F.col("_r") <= F.col("_k")).select(*df.columns)
+    top = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= total)
+    return top.join(share, group).where(F.col("_r") <= F.col("_k")).select(*df.columns)
 
 
 def rule(df: DataFrame, parts: Sequence[tuple[str, str, float]], name: str = "fires") -> DataFrame:

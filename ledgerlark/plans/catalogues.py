@@ -50,10 +50,10 @@ def compare_transfer_matrix(spark, sf_dir):
     return catalogue.transfer_matrix(ledger(spark, sf_dir, ["rail", "channel", "score"]), "rail", "channel", "score", ["app", "web", "pos"])
 
 
-@query("compare_trend", """WITH r AS (SELECT day // 365 AS y, avg(score) AS v FROM ledger GROUP BY 1), d AS (SELECT *, sign(v - lag(v) OVER (ORDER BY y)) AS d FROM r), t AS (SELECT *, CASE WHEN d * lag(d) OVER (ORDER BY y) < 0 THEN 1 ELSE 0 END AS turn FROM d),
-s AS (SELECT regr_slope(v, y) AS slope, sum(turn) AS sc, count(*) AS n FROM t)
-SELECT round(slope, 10) AS slope, sc AS sign_changes, CASE WHEN n > 2 THEN sc / (n - 2) ELSE 0 END AS oscillation,
- CASE WHEN n < 3 THEN 'too short' WHEN sc / (n - 2) > 0.5 THEN 'oscillating' WHEN slope > 0.005 THEN 'rising' WHEN slope < -0.005 THEN 'falling' ELSE 'flat' END AS verdict FROM s""", ("ledger",))
+@query("compare_trend", """WITH r AS (SELECT day // 365 AS y, avg(score) AS v FROM ledger GROUP BY 1), d AS (SELECT *, sign(v - lag(v) OVER (ORDER BY y)) AS d FROM r), m AS (SELECT y, d, lag(d) OVER (ORDER BY y) AS before FROM d WHERE d <> 0),
+s AS (SELECT regr_slope(v, y) AS slope, (SELECT coalesce(sum(CASE WHEN d * before < 0 THEN 1 ELSE 0 END), 0)::BIGINT FROM m) AS sc, count(*) AS n FROM r), x AS (SELECT *, sc / greatest(n - 2, 1) AS osc FROM s)
+SELECT round(slope, 10) AS slope, sc AS sign_changes, osc AS oscillation,
+ CASE WHEN n < 5 THEN 'too short' WHEN abs(slope) < 0.005 AND osc < 0.5 THEN 'flat' WHEN slope < -0.005 THEN 'falling' WHEN osc >= 0.5 THEN 'oscillating' ELSE 'rising' END AS verdict FROM x""", ("ledger",))
 def compare_trend(spark, sf_dir):
     rows = ledger(spark, sf_dir, ["day", "score"]).withColumn("y", F.floor(F.col("day") / 365))
     return catalogue.trend(rows, "y", "score")

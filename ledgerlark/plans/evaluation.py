@@ -176,12 +176,14 @@ def worst_slices(spark, sf_dir):
 @query("decile_lift", """
 SELECT decile, count(*) AS rows, sum(is_fraud) AS fraud, avg(is_fraud) AS fraud_rate, avg(is_fraud) / max(base) AS lift,
   sum(is_fraud * cents) / 100.0::DOUBLE AS fraud_value
-FROM (SELECT *, ntile(10) OVER (ORDER BY score DESC, txn_id) AS decile, avg(is_fraud) OVER () AS base FROM ledger) GROUP BY decile
+FROM (SELECT *, ntile(10) OVER (ORDER BY score DESC, md5(txn_id), txn_id) AS decile, avg(is_fraud) OVER () AS base FROM ledger) GROUP BY decile
 """, ("ledger",))
 def decile_lift(spark, sf_dir):
-    return curve.decile_lift(ledger(spark, sf_dir, CORE), "score", ["txn_id"])
+    return curve.decile_lift(ledger(spark, sf_dir, CORE), "score", "txn_id")
 
 
+RULE_COLUMNS = ["is_fraud", "amount", "payee_is_first_time", "payee_added_minutes_ago", "screen_share_active", "remote_access_app_detected", "call_in_progress",
+                "payee_name_match_score", "sim_swap_recency_days", "device_is_new", "is_night", "payee_inbound_unique_payers_24h", "is_irrevocable_rail"]
 RULES_SQL = """CASE WHEN payee_is_first_time = 1 AND amount > 25000 THEN 1 ELSE 0 END AS new_payee_large_amount,
 CASE WHEN payee_added_minutes_ago < 30 THEN 1 ELSE 0 END AS payee_added_minutes_ago, screen_share_active AS screen_share_during_payment,
 remote_access_app_detected AS remote_access_tool_present, CASE WHEN call_in_progress = 1 AND amount > 10000 THEN 1 ELSE 0 END AS live_call_while_paying,
@@ -197,7 +199,7 @@ t AS (SELECT rule, sum(hit * is_fraud) AS fires_on_fraud, avg(CASE WHEN is_fraud
 SELECT *, fraud_hit_rate / nullif(legitimate_hit_rate, 0) AS lift FROM t
 """, ("ledger",))
 def rule_firing(spark, sf_dir):
-    return evaluate.rule_firing(ledger(spark, sf_dir))
+    return evaluate.rule_firing(ledger(spark, sf_dir, RULE_COLUMNS))
 
 
 @query("baseline_comparison", """
@@ -218,8 +220,11 @@ def baseline_comparison(spark, sf_dir):
     return curve.baseline_points(long, 0.005)
 
 
+#: The cuts that are priced: 240 even quantiles of the score.
+GRID = [0.90 + i * (0.99995 - 0.90) / 239 for i in range(240)]
+
 COST_SQL = CURVE_SQL + f""",
-g AS (SELECT DISTINCT unnest(quantile_cont(score, [x / 100.0 for x in range(90, 100)])) AS cut FROM ledger UNION SELECT {CUT}::DOUBLE),
+g AS (SELECT DISTINCT round(unnest(quantile_cont(score, [{", ".join(f"{q!r}::DOUBLE" for q in GRID)}])), 9) AS cut FROM ledger UNION SELECT {CUT}::DOUBLE),
 q AS (SELECT cut, sum(CASE WHEN score >= cut THEN is_fraud ELSE 0 END) AS tp, sum(CASE WHEN score >= cut THEN 1 - is_fraud ELSE 0 END) AS fp,
   sum(is_fraud) AS p, sum(1 - is_fraud) AS n, sum(CASE WHEN score < cut THEN is_fraud * cents ELSE 0 END) / 100.0::DOUBLE AS missed,
   sum(is_fraud * cents) / 100.0::DOUBLE * 0.5 AS do_nothing_cost FROM g, ledger GROUP BY cut),
@@ -232,7 +237,7 @@ marked AS (SELECT *, do_nothing_cost - total_cost AS net_benefit, CASE WHEN row_
 
 def _costs(spark, sf_dir):
     rows = ledger(spark, sf_dir, CORE)
-    q = exact_quantiles(rows, [], "score", [x / 100.0 for x in range(90, 100)]).select(F.col("q").alias("cut"))
+    q = exact_quantiles(rows, [], "score", GRID).select(F.round("q", 9).alias("cut"))
     cuts = q.unionByName(spark.range(1).select(F.lit(CUT).alias("cut")))
     return curve.cost_curve(curve.collapse(rows), cuts, CUT)
 
@@ -301,7 +306,4 @@ def bootstrap_paired_difference(spark, sf_dir):
 
 
 def _replicas(spark, sf_dir):
-    rows = ledger(spark, sf_dir, ["score", "score_b", "is_fraud", "cents"])
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in ("score", "score_b")]))
-    long = rows.select("is_fraud", "cents", each.alias("e")).select("e.model", "e.score", "is_fraud", "cents")
-    return curve.bootstrap_recall(curve.collapse(long, part=["model"]), 0.005, 100)
+    return curve.bootstrap(ledger(spark, sf_dir, ["score", "score_b", "is_fraud", "cents"]), ["score", "score_b"], 0.005)

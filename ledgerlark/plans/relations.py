@@ -85,22 +85,21 @@ def _instructions(spark, sf_dir):
         "CASE WHEN o_orderpriority = '5-LOW' THEN 0 ELSE 1 END AS signature_valid")
 
 
-_SPENT = "CASE WHEN row_number() OVER (PARTITION BY seq ORDER BY ts_s, line, item, supp, cents) > 1 THEN 1 ELSE 0 END"
-
-
-@query("join_settlement_instruction", f"""WITH s AS (SELECT *, {_SPENT} AS spent FROM ledger),
-j AS (SELECT s.*, o_totalprice / 4 AS max_amount, concat('A', (o_orderkey % 100)::VARCHAR) AS payee_id, epoch(o_orderdate)::BIGINT + 86400 * 200 AS expires_at, o_orderpriority FROM s LEFT JOIN orders ON o_orderkey = seq AND o_orderstatus <> 'P'),
+@query("join_settlement_instruction", """WITH s AS (SELECT * FROM ledger),
+j0 AS (SELECT s.*, o_totalprice / 4 AS max_amount, concat('A', (o_orderkey % 100)::VARCHAR) AS payee_id, epoch(o_orderdate)::BIGINT + 86400 * 200 AS expires_at, o_orderpriority FROM s LEFT JOIN orders ON o_orderkey = seq AND o_orderstatus <> 'P'),
+j1 AS (SELECT *, CASE WHEN max_amount IS NULL OR o_orderpriority = '5-LOW' OR ts_s > expires_at OR payee <> payee_id OR currency <> 'INR' OR amount > max_amount * (1 + 0.05::DOUBLE) OR rail = 'card' THEN 0 ELSE 1 END AS accepted FROM j0),
+j AS (SELECT *, CASE WHEN coalesce(sum(accepted) OVER (PARTITION BY seq ORDER BY ts_s, line, item, supp, cents ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 THEN 1 ELSE 0 END AS spent FROM j1),
 r AS (SELECT txn_id, CASE WHEN max_amount IS NULL THEN ['INTENT_ABSENT'] WHEN o_orderpriority = '5-LOW' THEN ['INTENT_SIGNATURE_INVALID'] ELSE list_filter([CASE WHEN ts_s > expires_at THEN 'INTENT_EXPIRED' END,
  CASE WHEN spent = 1 THEN 'INTENT_REPLAYED' END, CASE WHEN payee <> payee_id THEN 'PAYEE_MISMATCH' END, CASE WHEN currency <> 'INR' THEN 'CURRENCY_MISMATCH' END,
  CASE WHEN amount > max_amount * (1 + 0.05::DOUBLE) THEN 'AMOUNT_EXCEEDS_INTENT' END, CASE WHEN rail = 'card' THEN 'SCOPE_VIOLATION' END], lambda x: x IS NOT NULL) END AS r FROM j)
 SELECT txn_id, array_to_string(r, '|') AS reasons, CASE WHEN len(r) = 0 THEN 1 ELSE 0 END AS allowed FROM r""", ("ledger",))
 def join_settlement_instruction(spark, sf_dir):
     order = ["line", "item", "supp", "cents"]
-    rows = causal.entity_history(ledger(spark, sf_dir, ["txn_id", "seq", "ts_s", *order, "payee", "currency", "amount", "rail"]), "seq", seq=order)
-    s = rows.select("txn_id", "seq", F.col("ts_s").alias("now_s"), F.col("payee").alias("settle_payee"), F.col("currency").alias("settle_currency"),
-                    F.col("amount").alias("settle_amount"), (F.col("n_before") > 0).cast("int").alias("already_spent"),
+    rows = ledger(spark, sf_dir, ["txn_id", "seq", "ts_s", *order, "payee", "currency", "amount", "rail"])
+    s = rows.select("txn_id", "seq", *order, F.col("ts_s").alias("now_s"), F.col("payee").alias("settle_payee"), F.col("currency").alias("settle_currency"),
+                    F.col("amount").alias("settle_amount"),
                     F.when(F.col("rail") == "card", F.array(F.lit("purchase"), F.lit("refund"))).otherwise(F.array(F.lit("purchase"))).alias("requested_scope"))
-    return controls.verify_settlements(s, _instructions(spark, sf_dir), "seq").select("txn_id", "reasons", "allowed")
+    return controls.verify_settlements(s, _instructions(spark, sf_dir), "seq", order).select("txn_id", "reasons", "allowed")
 
 
 @query("join_agent_registry", """SELECT txn_id, CASE WHEN s_acctbal < 0 OR s_suppkey IS NULL THEN 'AGENT_NOT_ENROLLED' WHEN line * 12 > 60 THEN 'AGENT_SIGNATURE_STALE'

@@ -12,7 +12,8 @@ from .windows import PEER, _velocity_sql
 
 def event_stream(spark, sf_dir, columns):
     configure(spark)
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    # A pattern that only the table's own path fits: a stream's path may then be one file or a folder of parts.
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parque[t]")
     return source.selectExpr("ts AS _ntz", *_select({c: EVENT_COLUMNS[c] for c in columns}, SPARK_WORDS["events"])).drop("_ntz")
 
 

@@ -25,6 +25,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "ledge
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
@@ -33,12 +34,15 @@ def local_session(cpus: int | str = "*", partitions: int = 8, name: str = "ledge
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a session without one (a local test) gets its own."""
+    """The cluster's shared checkpoint folder; only a session in one process (a local test) may go without and gets its own."""
     context = spark.sparkContext
     found = context._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
-    context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ledgerlark-"))
+    named = context.getConf().get("spark.checkpoint.dir")
+    if not named and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerlark-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -6,6 +6,8 @@ engine can rebuild the same input without going through Spark.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
@@ -136,11 +138,16 @@ def _select(columns: dict[str, str], words: dict[str, str]) -> list[str]:
 
 
 def ledger(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
-    """Labelled, scored payments from order lines. Name the columns needed; the scan prunes the rest."""
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+    """Labelled, scored payments from order lines. Name the columns needed; the scan prunes the rest.
+
+    Every line has its order, so the orders are joined only if a chosen column reads one.
+    """
     chosen = {c: LEDGER_COLUMNS[c] for c in (columns or LEDGER_COLUMNS)}
-    return joined.selectExpr(*_select(chosen, SPARK_WORDS["ledger"]))
+    rows = table(spark, sf_dir, "lineitem")
+    if any(re.search(r"\bo_", text) for text in chosen.values()):
+        orders = table(spark, sf_dir, "orders")
+        rows = rows.join(orders, rows.l_orderkey == orders.o_orderkey)
+    return rows.selectExpr(*_select(chosen, SPARK_WORDS["ledger"]))
 
 
 def payments(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
