@@ -12,7 +12,7 @@ from .common import as_bytes, mixed, ngram_hashes, stored, word_hashes
 #: Words in the longest n-gram, and the factor for each word of it that is given up.
 ORDER, BACKOFF = 2, 0.4
 #: Bytes of text in a block of documents.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 
 
 def planes(values: np.ndarray) -> bytes:
