@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
+from ..session import durable
 from .evaluate import long_numeric
 from .ordered import attach_totals, exact_quantiles, value_scan, wide_quantiles
 
@@ -97,11 +98,11 @@ def payee_concentration(df: DataFrame) -> DataFrame:
 def two_sample_ks(long: DataFrame, side: str = "side", part: Sequence[str] = ("column",)) -> DataFrame:
     """Largest gap between two empirical distributions, per column of a long (column, value, side) table."""
     part = list(part)
-    counts = long.where(F.col("value").isNotNull()).groupBy(*part, "value").agg(
-        F.sum((F.col(side) == 0).cast("long")).alias("a"), F.sum((F.col(side) == 1).cast("long")).alias("b"))
+    counts = durable(long.where(F.col("value").isNotNull()).groupBy(*part, "value").agg(
+        F.sum((F.col(side) == 0).cast("long")).alias("a"), F.sum((F.col(side) == 1).cast("long")).alias("b")))
     scan = value_scan(counts, part, "value", ["a", "b"])
     t = attach_totals(scan, counts.groupBy(*part).agg(F.sum("a").alias("na"), F.sum("b").alias("nb")), part)
-    gap = F.abs((F.col("before_a") + F.col("a")) / F.col("na") - (F.col("before_b") + F.col("b")) / F.col("nb"))
+    gap = F.abs(F.try_divide(F.col("before_a") + F.col("a"), F.col("na")) - F.try_divide(F.col("before_b") + F.col("b"), F.col("nb")))
     return t.groupBy(*part).agg(F.max(gap).alias("ks"))
 
 

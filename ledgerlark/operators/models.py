@@ -17,23 +17,24 @@ from . import curve
 from .evaluate import long_numeric
 from .ordered import attach_totals, exact_quantiles, ordered_history, wide_quantiles
 
-# Learning floors of the stages.
+# Learning floors of the stages, and the gain at which a candidate column is taken.
 MIN_POSITIVES, TARGET_FPR, ACCEPT_GAIN = 5, 0.005, 0.005
 
-
-# How a changed field reads in a sentence.
-LABELS = {
-    "payee_account_age_days": "the beneficiary account had been open",
-    "payee_added_minutes_ago": "the beneficiary had been on file",
-    "payee_is_first_time": "the payer had used this beneficiary before",
-    "amount": "the amount had been",
-    "call_in_progress": "no call had been in progress",
-    "screen_share_active": "no screen share had been active",
-    "remote_access_app_detected": "no remote-access tool had been present",
-    "payee_name_match_score": "the beneficiary name had matched at",
-    "device_is_new": "the device had been recognised",
-    "auth_attempts": "authentication had succeeded first time",
+#: The fields a counterfactual may change: unit, the direction that lowers risk, and how the change reads in a sentence.
+FIELDS = {
+    "payee_account_age_days": ("days", "increase", "an older payee account, aged"),
+    "payee_added_minutes_ago": ("minutes", "increase", "a payee saved earlier, by"),
+    "payee_is_first_time": ("flag", "decrease", "a payee paid before"),
+    "amount": ("currency", "decrease", "a smaller payment, of at most"),
+    "call_in_progress": ("flag", "decrease", "nobody on the phone"),
+    "screen_share_active": ("flag", "decrease", "a screen that was not shared"),
+    "remote_access_app_detected": ("flag", "decrease", "no remote control of the device"),
+    "payee_name_match_score": ("score", "increase", "a closer payee name, scoring at least"),
+    "device_is_new": ("flag", "decrease", "a known device"),
+    "auth_attempts": ("count", "decrease", "a login at the first try"),
 }
+#: Values tried for a field: quantiles of legitimate payments (fixed values).
+TRIED = [0.05, 0.15, 0.25, 0.4, 0.5, 0.65, 0.8, 0.9, 0.95]
 
 
 class Encoder:
@@ -178,15 +179,15 @@ def rule_candidates(scored: DataFrame, columns: Sequence[str], cut: float) -> Da
     return out.withColumn("worth", F.col("hit") - 25 * F.col("noise")).withColumn("accepted", fx.flag((F.col("noise") <= 0.005) & (F.col("worth") > 0)))
 
 
-def counterfactual_trials(alerts: DataFrame, baselines: DataFrame, fields: dict[str, tuple[str, str]], key: str) -> DataFrame:
+def counterfactual_trials(alerts: DataFrame, legitimate: DataFrame, key: str, fields: dict = FIELDS) -> DataFrame:
     """One row per (alert, field, benign value) in the direction that lowers risk.
 
-    ``fields`` maps a column to its unit and direction. The changed column holds the trial value.
+    Values come from the quantiles ``TRIED`` of legitimate payments; a flag is tried unset. The changed column holds the value.
     """
-    points = baselines.where(F.col("column").isin(list(fields))).select(
-        "column", F.array_distinct(F.array(*[F.round(F.col(p), 4) for p in ("p05", "p25", "median", "p75", "p95")])).alias("pts"), (F.col("p95") - F.col("p05")).alias("spread"))
-    long = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(u).alias("unit"), F.lit(d).alias("dir"), F.col(c).cast("double").alias("from")) for c, (u, d) in fields.items()]))
-    each = alerts.select("*", long.alias("_f")).select(*alerts.columns, "_f.*").join(F.broadcast(points), "column")
+    q = exact_quantiles(long_numeric(legitimate.where("is_fraud = 0"), list(fields), []), ["column"], "value", TRIED)
+    points = q.groupBy("column").agg(F.array_distinct(F.collect_list(F.round("q", 4))).alias("pts"), (F.max("q") - F.min("q")).alias("spread"))
+    long = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(u).alias("unit"), F.lit(d).alias("dir"), F.col(c).cast("double").alias("from")) for c, (u, d, _) in fields.items()]))
+    each = alerts.select("*", long.alias("_f")).select(*alerts.columns, "_f.*").join(F.broadcast(points), "column")  # one row per field
     tries = F.when(F.col("unit") == "flag", F.when(F.col("from") != 0, F.array(F.lit(0.0))).otherwise(F.array().cast("array<double>"))).otherwise(
         F.filter("pts", lambda p: F.when(F.col("dir") == "increase", p > F.col("from")).otherwise(p < F.col("from"))))
     out = each.where("`from` IS NOT NULL").withColumn("to", F.explode(tries))
@@ -195,21 +196,22 @@ def counterfactual_trials(alerts: DataFrame, baselines: DataFrame, fields: dict[
                       F.when(F.col("spread") == 0, 1.0).otherwise(F.abs("spread")).alias("spread"))
 
 
-def counterfactuals(scored_trials: DataFrame, cut: float, key: str, top: int = 3) -> DataFrame:
-    """Smallest sufficient change per field, three fields per alert."""
+def counterfactuals(alerts: DataFrame, scored_trials: DataFrame, cut: float, key: str, top: int = 3, fields: dict = FIELDS) -> DataFrame:
+    """Smallest sufficient change per field, three fields per alert; an alert that no single field flips keeps one row of NULLs."""
     move = F.abs(F.col("to") - F.col("from")) / F.col("spread")
     best = scored_trials.where(F.col("score") <= cut).groupBy(key, "column").agg(
         F.min(F.struct(move.alias("normalised_move"), "to", "from", "unit", F.col("score").alias("score_after"))).alias("b")).select(key, "column", "b.*")
     w = Window.partitionBy(key).orderBy("normalised_move", "column")
-    return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).withColumn("text", phrase(fx.lookup(F.col("column"), LABELS, "it"), F.col("unit"), F.col("to")))
+    words = {c: text for c, (_, _, text) in fields.items()}
+    found = best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= top).withColumn("text", phrase(fx.lookup(F.col("column"), words, "it"), F.col("unit"), F.col("to")))
+    return alerts.select(key).join(found, key, "left")
 
 
 def phrase(label, unit, to):
     """One counterfactual as a sentence."""
-    return F.when(unit.isin("flag", "count"), F.concat(F.lit("Approved if "), label, F.lit("."))).when(
-        unit == "currency", F.concat(F.lit("Approved if "), label, F.lit(" INR "), F.format_number(to, 0), F.lit(" or less."))).when(
-        unit == "score", F.concat(F.lit("Approved if "), label, F.lit(" "), F.format_number(to, 2), F.lit(" or above."))).otherwise(
-        F.concat(F.lit("Approved if "), label, F.lit(" "), F.format_number(F.rint(to), 0), F.lit(" "), unit, F.lit(".")))
+    amount = F.when(unit == "currency", F.format_number(to, 0)).when(unit == "score", F.format_number(to, 2)).when(
+        unit.isin("flag", "count"), F.lit("")).otherwise(F.concat_ws(" ", F.format_number(F.rint(to), 0), unit))
+    return F.concat(F.lit("Approved if "), F.trim(F.concat_ws(" ", label, amount)), F.lit("."))
 
 
 def normalise_text(text):
@@ -229,7 +231,7 @@ def nfkc(df: DataFrame, text: str) -> DataFrame:
 
 
 def text_features(df: DataFrame, text: str, size: int = 1 << 16) -> DataFrame:
-    """Word 1-2 grams and character 3-5 grams, hashed; counts are damped by ``1 + log``-like IDF later."""
+    """Word 1-2 grams and character 3-5 grams of the folded text, hashed; a term's weight comes from the IDF behind it."""
     words = F.filter(F.split(F.col("_t"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     pairs = F.when(F.size("_w") > 1, F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat(F.get("_w", i - 1), F.lit(" "), F.get("_w", i)))).otherwise(F.array().cast("array<string>"))
 
@@ -239,7 +241,7 @@ def text_features(df: DataFrame, text: str, size: int = 1 << 16) -> DataFrame:
             F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.concat(F.lit("#"), F.substring(w, i, F.lit(n))))).otherwise(
             F.array().cast("array<string>"))))
 
-    prepared = df.withColumn("_t", normalise_text(F.col(text))).withColumn("_w", words)
+    prepared = nfkc(df.withColumn("_t", F.col(text)), "_t").withColumn("_t", normalise_text(F.col("_t"))).withColumn("_w", words)
     prepared = prepared.withColumn("_terms", F.concat("_w", pairs, grams(3), grams(4), grams(5)))
     return HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=size).transform(prepared).drop("_t", "_w", "_terms")
 
@@ -267,6 +269,18 @@ def group_holdout(df: DataFrame, text: str, label: str, group: str, groups: Sequ
     return fx.with_wilson(df.sparkSession.createDataFrame(rows, "held_out string, positives long, recall double"), "recall", "positives")
 
 
+def legit_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, mean, std`` of each numeric column over legitimate payments: population deviation plus 1e-9."""
+    long = long_numeric(df.where("is_fraud = 0"), list(columns), []).where("value IS NOT NULL")
+    return long.groupBy("column").agg(F.avg("value").alias("mean"), (F.stddev_pop("value") + 1e-9).alias("std"))
+
+
+def candidate_gain(train: DataFrame, calibration: DataFrame, test: DataFrame, numeric: Sequence[str], candidate: str, categories: Sequence[str] = (), **fit) -> DataFrame:
+    """Recall at the budget with and without one more column; accepted at a gain of ``ACCEPT_GAIN``."""
+    base, more = (recall_at_budget(StackedScorer(cols, categories, **fit).fit(train, calibration).transform(test)) for cols in (list(numeric), [*numeric, candidate]))
+    return test.sparkSession.createDataFrame([(candidate, base, more, more - base, int(more - base >= ACCEPT_GAIN))], "candidate string, recall_before double, recall_after double, gain double, accepted long")
+
+
 def separability(df: DataFrame, numeric: Sequence[str], ts: str, repeats: int = 3, rounds: int = 10, seed: int = 7) -> DataFrame:
     """Recall at the review budget of boosted trees fitted on the first 70% of time, over bootstrap refits.
 
@@ -295,7 +309,7 @@ def separability(df: DataFrame, numeric: Sequence[str], ts: str, repeats: int =
     return out.select("*", fx.flag(F.col("lo95") > 0.92).alias("flag"), fx.flag(F.col("recall") > 0.92).alias("warning"))
 
 
-def indicative_terms(df: DataFrame, text: str, label: str, top: int = 20, vocabulary: int = 5000) -> DataFrame:
+def indicative_terms(df: DataFrame, text: str, label: str, top: int = 20, vocabulary: int = 60_000) -> DataFrame:
     """Words with the largest weights either way; a vocabulary keeps the names that hashing loses."""
     from pyspark.ml.feature import CountVectorizer
     words = df.withColumn("_words", F.filter(F.split(normalise_text(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))

@@ -155,3 +155,15 @@ def export_slice(scored: DataFrame, n: int, key: str, ts: str, alert: Column) ->
     taken = some.agg(F.count(F.lit(1)).alias("_taken"))
     rest = attach_totals(ranked.where("_kind = 'approved'"), taken, []).where(F.col("_r") <= n - F.col("_taken"))
     return some.select(*scored.columns).unionByName(rest.select(*scored.columns)).orderBy(ts, key)
+
+
+def sensitivity(runs: DataFrame, knob: str, metrics: Sequence[str]) -> DataFrame:
+    """Mean and deviation of each metric over the runs of one knob value."""
+    return runs.unpivot(knob, list(metrics), "metric", "v").groupBy(knob, "metric").agg(
+        F.round(F.avg("v"), 9).alias("mean"), F.round(F.stddev_samp("v"), 9).alias("sd"), F.count("v").alias("runs"))
+
+
+def verdict_accuracy(verdicts: DataFrame, group: str, guess: str, truth: str) -> DataFrame:
+    """Share of right guesses, and of positive ones, per group."""
+    right = (F.col(guess) == F.col(truth)).cast("double")
+    return verdicts.groupBy(group).agg(F.count(F.lit(1)).alias("judged"), F.avg(right).alias("accuracy"), F.avg(guess).alias("guessed_share"))

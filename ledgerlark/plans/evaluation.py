@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import scalar as fx
 from ..operators import curve, evaluate
 from ..operators.ordered import exact_quantiles
-from ..sources.tables import ledger
+from ..sources.schema import CATEGORICAL, OBSERVED
+from ..sources.tables import LEDGER_COLUMNS, ledger
 from .registry import query
 
 CUT = 0.88
@@ -280,8 +281,8 @@ def guard_leakage(spark, sf_dir):
     return evaluate.guard_leakage(rows, GUARDS).withColumn("single_feature_auc", F.round("single_feature_auc", 10))
 
 
-NUMERIC = ["amount", "payee_account_age_days", "payee_added_minutes_ago", "payee_name_match_score", "sim_swap_recency_days",
-           "keystroke_flight_cv", "account_balance_ratio", "auth_attempts", "call_in_progress", "payee_is_first_time"]
+#: Every numeric column of a payment message that the ledger has.
+NUMERIC = [c for c in LEDGER_COLUMNS if c in OBSERVED and c not in CATEGORICAL]
 
 
 @query("benign_baselines", f"""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
 from ..operators import causal, controls, evaluate, relate
-from ..sources.tables import ledger, payments, table
-from .evaluation import CUT
+from ..session import durable
+from ..sources.tables import LINE_COLUMNS, ledger, payments, table
+from .evaluation import CUT, RULE_COLUMNS, RULES_SQL
 from .registry import query
 
 CODES = """list_filter([CASE WHEN ag = 1 AND intent_token_present = 0 THEN 'INTENT_ABSENT' END, CASE WHEN seen AND intent_signature_valid = 0 THEN 'INTENT_SIGNATURE_INVALID' END,
@@ -28,13 +31,13 @@ c AS (SELECT *, CASE WHEN list_contains(cr, 'TOKEN_REPLAY_BLOCKED') OR list_cont
 
 @query("control_intent_rows", f"WITH {GUARD} SELECT txn_id, intent_guard_blocked, intent_guard_stepup, intent_guard_reasons, intent_guard_violation_count FROM g", ("ledger",))
 def control_intent_rows(spark, sf_dir):
-    out = controls.intent_control(ledger(spark, sf_dir))
+    out = controls.intent_control(ledger(spark, sf_dir, LINE_COLUMNS))
     return out.select("txn_id", *[c for c in out.columns if c.startswith("intent_guard")])
 
 
 @query("control_agent_rows", f"WITH {GUARD}, {CONTROL} SELECT txn_id, agent_control_blocked, agent_control_stepup, agent_control_reasons, agent_control_ceiling FROM c", ("ledger",))
 def control_agent_rows(spark, sf_dir):
-    out = controls.agent_controls(ledger(spark, sf_dir))
+    out = controls.agent_controls(ledger(spark, sf_dir, LINE_COLUMNS))
     return out.select("txn_id", *[c for c in out.columns if c.startswith("agent_control")])
 
 
@@ -44,7 +47,7 @@ m AS (SELECT vec, reason FROM (SELECT *, row_number() OVER (PARTITION BY vec ORD
 SELECT vec AS attack_vector_id, count(*) AS rows, sum(is_fraud) AS is_fraud, sum(intent_guard_blocked) AS guard_blocked, avg(intent_guard_blocked) AS block_rate,
  avg(intent_guard_stepup) AS step_up_rate, coalesce(max(reason), '') AS top_reason FROM v LEFT JOIN m USING (vec) GROUP BY vec""", ("ledger",))
 def control_intent_coverage(spark, sf_dir):
-    return controls.intent_coverage(controls.intent_control(ledger(spark, sf_dir)))
+    return controls.intent_coverage(controls.intent_control(ledger(spark, sf_dir, LINE_COLUMNS)))
 
 
 @query("control_agent_coverage", f"""WITH {GUARD}, {CONTROL} SELECT CASE WHEN attack_vector_id = '' THEN '(legitimate)' ELSE attack_vector_id END AS attack_vector_id, count(*) AS rows, sum(is_fraud) AS is_fraud,
@@ -52,7 +55,7 @@ def control_intent_coverage(spark, sf_dir):
  avg(list_contains(cr, 'TOKEN_REPLAY_BLOCKED')::INT) AS token_binding_rate, avg(list_contains(cr, 'TOKEN_SCOPE_BLOCKED')::INT) AS scope_rate, avg(list_contains(cr, 'TOKEN_OVER_CEILING')::INT) AS over_ceiling_rate,
  avg(greatest(agent_control_blocked, agent_control_stepup)) AS any_control_rate, avg(agent_control_blocked) AS blocked_rate FROM c WHERE ag = 1 GROUP BY 1""", ("ledger",))
 def control_agent_coverage(spark, sf_dir):
-    return controls.control_coverage(controls.agent_controls(ledger(spark, sf_dir)))
+    return controls.control_coverage(controls.agent_controls(ledger(spark, sf_dir, LINE_COLUMNS)))
 
 
 @query("control_ceiling_loss", f"""WITH {GUARD}, {CONTROL}, s AS (SELECT max(ceiling) AS ceiling, sum(is_fraud) AS k, sum(is_fraud * amount) AS a, sum(is_fraud * least(amount, ceiling)) AS b,
@@ -67,14 +70,14 @@ def control_ceiling_loss(spark, sf_dir):
 SELECT attack_vector_id, count(*) AS rows, avg(i::INT) AS intent_guard, avg(j::INT) AS injection_guard, avg(m::INT) AS tabular_model, avg((i OR j OR m)::INT) AS any_layer,
  avg((m AND NOT i AND NOT j)::INT) AS model_only FROM x GROUP BY 1""", ("ledger",))
 def guard_contribution(spark, sf_dir):
-    return evaluate.guard_contribution(controls.intent_control(ledger(spark, sf_dir)), CUT)
+    return evaluate.guard_contribution(controls.intent_control(ledger(spark, sf_dir, LINE_COLUMNS)), CUT)
 
 
 @query("decision_outcomes", f"""WITH {GUARD}, {CONTROL}, d AS (SELECT *, CASE WHEN score >= {CUT} THEN 1 ELSE 0 END AS model_alert FROM c)
 SELECT CASE WHEN intent_guard_blocked = 1 THEN 'intent_block' WHEN agent_control_blocked = 1 THEN 'control_block' WHEN model_alert = 1 THEN 'alert' ELSE 'approve' END AS outcome,
  count(*) AS rows, sum(greatest(model_alert, intent_guard_blocked, agent_control_blocked)) AS decisions, sum(is_fraud) AS fraud FROM d GROUP BY 1""", ("ledger",))
 def decision_outcomes(spark, sf_dir):
-    rows = controls.decide(controls.agent_controls(controls.intent_control(ledger(spark, sf_dir))), CUT)
+    rows = controls.decide(controls.agent_controls(controls.intent_control(ledger(spark, sf_dir, LINE_COLUMNS))), CUT)
     return rows.groupBy("outcome").agg(F.count(F.lit(1)).alias("rows"), F.sum("decision").alias("decisions"), F.sum("is_fraud").alias("fraud"))
 
 
@@ -292,12 +295,66 @@ def summary_campaign_loss(spark, sf_dir):
         (F.sum(hit.cast("long")) * F.lit(250.0)).alias("review_cost"))
 
 
-@query("summary_nearest_rank", "SELECT rail, percentile_disc AS p50 FROM (SELECT rail, quantile_disc(amount, 0.5) AS percentile_disc FROM ledger GROUP BY rail)", ("ledger",))
+_RANKS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query("summary_nearest_rank", "SELECT rail, min(amount) AS low, " + ", ".join(f"quantile_disc(amount, {q}) AS {n}" for n, q in _RANKS.items()) + ", max(amount) AS high FROM ledger GROUP BY rail", ("ledger",))
 def summary_nearest_rank(spark, sf_dir):
     from ..operators.ordered import attach_totals, value_scan
-    c = ledger(spark, sf_dir, ["rail", "amount"]).groupBy("rail", "amount").agg(F.count(F.lit(1)).alias("k"))
+    c = durable(ledger(spark, sf_dir, ["rail", "amount"]).groupBy("rail", "amount").agg(F.count(F.lit(1)).alias("k")))
     s = attach_totals(value_scan(c, ["rail"], "amount", ["k"]), c.groupBy("rail").agg(F.sum("k").alias("n")), ["rail"])
-    return s.where(F.col("before_k") + F.col("k") >= F.ceil(F.col("n") * 0.5)).groupBy("rail").agg(F.min("amount").alias("p50"))
+    reached = lambda q: F.col("before_k") + F.col("k") >= F.ceil(F.col("n") * q)
+    return s.groupBy("rail").agg(F.min("amount").alias("low"), *[F.min(F.when(reached(q), F.col("amount"))).alias(n) for n, q in _RANKS.items()], F.max("amount").alias("high"))
+
+
+@query("summary_sensitivity", """WITH r AS (SELECT channel AS knob, day // 365 AS seed, avg(CASE WHEN is_fraud = 1 THEN (score >= 0.88)::INT END) AS recall, avg(CASE WHEN is_fraud = 0 THEN (score >= 0.88)::INT END) AS fpr FROM ledger GROUP BY 1, 2),
+u AS (UNPIVOT r ON recall, fpr INTO NAME metric VALUE v) SELECT knob, metric, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd, count(v) AS runs FROM u GROUP BY 1, 2""", ("ledger",))
+def summary_sensitivity(spark, sf_dir):
+    """Each value of a knob over its repeated runs."""
+    alert = (F.col("score") >= CUT).cast("double")
+    rows = ledger(spark, sf_dir, ["channel", "day", "score", "is_fraud"]).groupBy(F.col("channel").alias("knob"), F.expr("day div 365").alias("seed"))
+    runs = rows.agg(F.avg(F.when(F.col("is_fraud") == 1, alert)).alias("recall"), F.avg(F.when(F.col("is_fraud") == 0, alert)).alias("fpr"))
+    return relate.sensitivity(runs.drop("seed"), "knob", ["recall", "fpr"])
+
+
+@query("summary_verdicts", """SELECT lang, count(*) AS judged, avg((g = t)::INT) AS accuracy, avg(g) AS guessed_share FROM (SELECT lang, toxic AS t, CASE WHEN n_chars % 3 = 0 THEN 1 ELSE 0 END AS g
+FROM documents JOIN labels USING (doc_id)) GROUP BY lang""")
+def summary_verdicts(spark, sf_dir):
+    """How often a judge's guess met the truth, and how often it guessed yes."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "lang", "int(n_chars % 3 = 0) AS guess")
+    return relate.verdict_accuracy(docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("truth")), "doc_id"), "lang", "guess", "truth")
+
+
+@query("scalar_currency", """SELECT txn_id, CASE currency WHEN 'USD' THEN 1 ELSE 0 END AS foreign_, round_even(amount / coalesce(d, 1) * 100, 0) / 100 AS amount_inr FROM ledger LEFT JOIN (VALUES """
+       + ", ".join(f"('{c}', {v}::DOUBLE)" for c, v in fx.CURRENCY_DIVISOR.items()) + """) AS t(c, d) ON c = currency""", ("ledger",))
+def scalar_currency(spark, sf_dir):
+    rows = ledger(spark, sf_dir, ["txn_id", "amount", "currency"])
+    return rows.select("txn_id", (F.col("currency") == "USD").cast("int").alias("foreign_"), fx.convert_currency(F.col("amount"), F.col("currency")).alias("amount_inr"))
+
+
+@query("scalar_calendar", """SELECT event_id, hour(ts) AS hour, isodow(ts) - 1 AS day_of_week, CASE WHEN hour(ts) < 6 OR hour(ts) >= 23 THEN 1 ELSE 0 END AS is_night,
+ CASE WHEN day(ts) <= 3 OR day(ts) >= 29 THEN 1 ELSE 0 END AS is_salary_window FROM events""")
+def scalar_calendar(spark, sf_dir):
+    made = fx.calendar(F.col("ts"))
+    return table(spark, sf_dir, "events").select("event_id", *[c.alias(n) for n, c in made.items()])
+
+
+@query("scalar_payload_span", """SELECT doc_id, CASE WHEN a >= 0 AND b >= 0 THEN substr(text, a + 1, b - a) END AS payload FROM (SELECT doc_id, text, doc_id % 50 - 5 AS a, doc_id % 50 + 20 AS b FROM documents)""")
+def scalar_payload_span(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", "int(doc_id % 50 - 5) AS a", "int(doc_id % 50 + 20) AS b")
+    return docs.select("doc_id", fx.payload_span(F.col("text"), F.col("a"), F.col("b")).alias("payload"))
+
+
+@query("join_guard_merge", """SELECT txn_id, rail, CASE WHEN line <= 3 THEN amount * 2 END AS amount, CASE WHEN line <= 3 THEN 1 END AS checked FROM ledger""", ("ledger",))
+def join_guard_merge(spark, sf_dir):
+    rows = ledger(spark, sf_dir, ["txn_id", "rail", "amount", "line"])
+    guard = rows.where("line <= 3").selectExpr("txn_id", "amount * 2 AS amount", "1 AS checked")
+    return relate.replace_columns(rows.drop("line"), guard, "txn_id")
+
+
+@query("score_rule_count", f"""WITH r AS (SELECT txn_id, {RULES_SQL} FROM ledger) SELECT txn_id, {" + ".join(re.findall("AS ([a-z_]+)", RULES_SQL))} AS fired FROM r""", ("ledger",))
+def score_rule_count(spark, sf_dir):
+    return ledger(spark, sf_dir, ["txn_id", *RULE_COLUMNS]).select("txn_id", evaluate.rule_count().alias("fired"))
 
 
 @query("set_changed_entities", """WITH a AS (SELECT * FROM payments WHERE day <> 19745), b AS (SELECT txn_id, payer, payee, CASE WHEN day = 19747 THEN amount + 1 ELSE amount END AS amount FROM payments),

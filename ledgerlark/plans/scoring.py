@@ -54,7 +54,7 @@ def model_logistic_baseline(spark, sf_dir):
 def model_permutation_importance(spark, sf_dir):
     train, cal, test = _split(spark, sf_dir, False)
     m = models.StackedScorer(NUMERIC, CATEGORIES, trees=5).fit(train, cal)
-    return models.permutation_importance(m, test, ["payee_is_first_time", "call_in_progress"], "txn_id")
+    return models.permutation_importance(m, durable(test), NUMERIC, "txn_id")
 
 
 @query("model_layer_ablation")
@@ -71,7 +71,7 @@ def model_layer_ablation(spark, sf_dir):
 def model_leave_one_vector_out(spark, sf_dir):
     train, cal, test = _split(spark, sf_dir, False)
     found = []
-    for v in ("V1", "V2"):
+    for v in [f"V{i}" for i in range(12)]:
         keep = F.col("attack_vector_id") != v
         m = models.StackedScorer(NUMERIC, CATEGORIES, trees=5).fit(train.where(keep), cal.where(keep))
         scored = m.transform(test.where((F.col("is_fraud") == 0) | ~keep))
@@ -107,18 +107,21 @@ def model_counterfactuals(spark, sf_dir):
     train, cal, test = _split(spark, sf_dir, False)
     m = models.StackedScorer(NUMERIC, CATEGORIES, trees=5).fit(train, cal)
     alerts = durable(m.transform(test).where(F.col("score") > m.cut).select("txn_id", "is_fraud", *NUMERIC, *CATEGORIES))
-    fields = {"amount": ("currency", "decrease"), "payee_account_age_days": ("days", "increase"), "payee_is_first_time": ("flag", "decrease"),
-              "call_in_progress": ("flag", "decrease"), "payee_name_match_score": ("score", "increase")}
-    trials = models.counterfactual_trials(alerts, evaluate.benign_baselines(train, NUMERIC), fields, "txn_id")
-    return models.counterfactuals(m.transform(trials), m.cut, "txn_id")
+    trials = models.counterfactual_trials(alerts, train, "txn_id")
+    return models.counterfactuals(alerts, m.transform(trials), m.cut, "txn_id")
 
 
 @query("model_text_guard_scores")
 def model_text_guard_scores(spark, sf_dir):
+    """Fitted on the earliest 60% of labelled documents by id; the cut is the score that 1% of the later clean ones exceed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    known = docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
-    score = models.fit_text_guard(known.select("doc_id", "text", "toxic"), "text", "toxic")
-    return score(models.nfkc(docs, "text")).select("doc_id", "lang", "score")
+    known = durable(docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id"))
+    edge = known.agg(F.percentile_approx("doc_id", 0.6, 100_000)).first()[0]
+    score = models.fit_text_guard(known.where(F.col("doc_id") <= edge).select("doc_id", "text", "toxic"), "text", "toxic")
+    later = durable(score(docs.where(F.col("doc_id") > edge)))
+    held = later.join(known.select("doc_id", F.col("toxic").alias("is_fraud")), "doc_id")
+    cut = curve.operating_points(curve.score_curve(held, money=None), [0.01]).first()["cut"]
+    return later.select("doc_id", "lang", "score", fx.flag(F.col("score") > cut).alias("flagged"))
 
 
 @query("text_normalised", r"""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}]', '', 'g'), '(?s)<!--(.*?)-->', ' \1 ', 'g'), '\s+', ' ', 'g'))) AS clean FROM documents""")
@@ -153,7 +156,7 @@ def model_indicative_terms(spark, sf_dir):
 def model_text_group_holdout(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(
         table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
-    return models.group_holdout(docs, "text", "toxic", "lang", ["fr", "de"])
+    return models.group_holdout(docs, "text", "toxic", "lang", ["en", "de", "fr", "es"])
 
 
 @query("response_prices")
@@ -163,6 +166,19 @@ def response_prices(spark, sf_dir):
     return curve.response_prices(rows, 0.88, [0.80 + i * 0.005 for i in range(40)], hit)
 
 
+@query("model_legit_stats", f"""WITH long AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v FROM ledger WHERE is_fraud = 0" for c in NUMERIC)})
+SELECT col AS "column", round(avg(v), 7) AS mean, round(stddev_pop(v) + 1e-9, 6) AS std FROM long GROUP BY col""", ("ledger",))
+def model_legit_stats(spark, sf_dir):
+    found = models.legit_stats(ledger(spark, sf_dir, ["is_fraud", *NUMERIC]), NUMERIC)
+    return found.select("column", F.round("mean", 7).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("model_candidate_gain")
+def model_candidate_gain(spark, sf_dir):
+    train, cal, test = _split(spark, sf_dir)
+    return models.candidate_gain(train, cal, test, NUMERIC, "f_coercion_signal_count", CATEGORIES, trees=5)
+
+
 @query("select_export_slice", """WITH k AS (SELECT *, CASE WHEN is_fraud = 1 THEN 'f' WHEN score >= 0.88 THEN 'x' ELSE 'a' END AS kind FROM ledger),
 r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts_s, txn_id) AS rn FROM k), s AS (SELECT * FROM r WHERE (kind = 'f' AND rn <= 100) OR (kind = 'x' AND rn <= 50))
 SELECT txn_id, ts_s, score FROM s UNION ALL SELECT txn_id, ts_s, score FROM r WHERE kind = 'a' AND rn <= 300 - (SELECT count(*) FROM s)""", ("ledger",))

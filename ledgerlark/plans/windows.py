@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
 from ..operators import causal, features
-from ..sources.tables import ledger, payments
+from ..session import durable
+from ..sources.tables import LINE_COLUMNS, ledger, payments
 from .registry import query
 
 HOUR, DAY, WEEK = 3600, 86400, 604800
@@ -283,11 +284,11 @@ def features_device(spark, sf_dir):
 
 @query("features_instruction_and_agent", f"WITH {ROW_SQL} SELECT * FROM row_f", ("ledger",))
 def features_instruction_and_agent(spark, sf_dir):
-    return _features(features.row_features(ledger(spark, sf_dir)))
+    return _features(features.row_features(ledger(spark, sf_dir, LINE_COLUMNS)))
 
 
 @query("features_all", f"""WITH {PAYER_SQL}, {PAYEE_SQL}, {MERCHANT_SQL}, {DEVICE_SQL}, {ROW_SQL}
 SELECT * FROM payer_f JOIN payee_f USING (txn_id) JOIN merchant_f USING (txn_id) JOIN device_f USING (txn_id)
 JOIN row_f USING (txn_id)""", ("ledger",))
 def features_all(spark, sf_dir):
-    return _features(features.build_features(ledger(spark, sf_dir), ORD))
+    return _features(features.build_features(durable(ledger(spark, sf_dir)), ORD))

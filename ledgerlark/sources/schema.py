@@ -28,6 +28,7 @@ OBSERVABLE = {
     "customer": "customer_tenure_days customer_age_band_ord customer_digital_literacy customer_is_corporate account_balance_ratio kyc_level prior_fraud_reports",
     "time": "hour day_of_week is_night is_salary_window",
 }
+CATEGORICAL = ["rail", "channel", "currency", "mcc", "payee_psp", "payer_psp", "auth_method"]
 OBSERVED = {c for names in OBSERVABLE.values() for c in names.split()}
 DEFAULTS = {"amount": 0.0, "rail": "upi", "channel": "app", "currency": "INR", "auth_attempts": 1, "payee_name_match_score": 1.0}
 

@@ -105,6 +105,9 @@ LEDGER_COLUMNS: dict[str, str] = {
 }
 LEDGER_COLUMNS["spt_reuse_count"] = f"CAST(floor({_pct(191, 30)} / 10) AS BIGINT)"
 
+#: The columns that need no order.
+LINE_COLUMNS = [c for c, text in LEDGER_COLUMNS.items() if not re.search(r"\bo_", text)]
+
 #: One payment per event; accounts that pay and accounts that are paid share one id space.
 EVENT_COLUMNS: dict[str, str] = {
     "txn_id": "CAST(event_id AS STRING)",
