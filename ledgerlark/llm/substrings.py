@@ -123,7 +123,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     named = _named(docs)
     minis = named.select("d", "text").mapInArrow(_minimizers, "mini long, d long, start long")
-    again = minis.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1").select("mini")
+    # stored, so that both sides of the join are plain shuffles and Spark splits a minimizer that many documents hold
+    again = stored(minis.groupBy("mini").agg(F.count("*").alias("n")).where("n > 1").select("mini"))
     met = stored(minis.join(again, "mini", "left_semi").select("d", "start"))
     starts = met.groupBy("d").agg(F.collect_set("start").alias("starts"))  # as many as a document has paths
     found = stored(named.select("d", "t", "text").join(starts, "d").mapInArrow(_candidates, _CANDIDATES))
