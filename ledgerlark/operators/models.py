@@ -116,7 +116,7 @@ class StackedScorer:
         self.encoder.fit(train)
         self.novelty.fit(train)
         ready = balance(self.encoder.transform(train)).persist()
-        bins = 512
+        bins = 64
         self.gbt = GBTClassifier(labelCol="is_fraud", maxIter=self.trees, maxDepth=self.depth, stepSize=0.1, maxBins=bins, seed=self.seed).fit(ready)
         self.rf = RandomForestClassifier(labelCol="is_fraud", weightCol="_w", numTrees=self.trees, maxDepth=self.depth, maxBins=bins, seed=self.seed).fit(ready)
         ready.unpersist()

@@ -12,6 +12,10 @@ from ..sources.tables import ledger, table
 from .evaluation import NUMERIC
 from .registry import query
 
+#: What the registered fits read: the message columns of the strongest single features, and those a counterfactual may change.
+#: Fits over all message columns take MLlib many minutes on one machine.
+FITTED = ["amount", "payee_account_age_days", "payee_added_minutes_ago", "payee_name_match_score", "sim_swap_recency_days", "keystroke_flight_cv",
+          "account_balance_ratio", "auth_attempts", "call_in_progress", "payee_is_first_time", "screen_share_active", "remote_access_app_detected", "device_is_new"]
 CATEGORIES = ["rail", "channel"]
 EXTRA = ["f_coercion_signal_count", "f_cop_shortfall", "f_auth_weak_for_amount", "f_no_human_telemetry"]
 
@@ -21,7 +25,7 @@ def _split(spark, sf_dir, extra=True):
     if extra:
         rows = features.row_features(rows)
     rows = durable(relate.temporal_split(rows, test_days=600, calibration_days=300).select(
-        "txn_id", "split", "is_fraud", "attack_vector_id", "amount", "cents", *[c for c in NUMERIC if c != "amount"], *CATEGORIES, *(EXTRA if extra else [])))
+        "txn_id", "split", "is_fraud", "attack_vector_id", "amount", "cents", *[c for c in FITTED if c != "amount"], *CATEGORIES, *(EXTRA if extra else [])))
     return [rows.where(F.col("split") == s) for s in ("train", "calibration", "test")]
 
 
@@ -32,7 +36,7 @@ def _summary(spark, found):
 @query("model_stacked_scores")
 def model_stacked_scores(spark, sf_dir):
     train, cal, test = _split(spark, sf_dir)
-    m = models.StackedScorer([*NUMERIC, *EXTRA], CATEGORIES).fit(train, cal)
+    m = models.StackedScorer([*FITTED, *EXTRA], CATEGORIES).fit(train, cal)
     return m.transform(test).select("txn_id", "is_fraud", "score", F.round("logit_gbt", 4).alias("logit_gbt"), F.round("logit_rf", 4).alias("logit_rf"),
                                     fx.flag(F.col("score") > m.cut).alias("model_alert"))
 
@@ -46,22 +50,22 @@ def model_novelty_scores(spark, sf_dir):
 @query("model_logistic_baseline")
 def model_logistic_baseline(spark, sf_dir):
     train, _, test = _split(spark, sf_dir, False)
-    scored = models.logistic_baseline(train, test.withColumn("score", F.lit(0.0)), NUMERIC)
+    scored = models.logistic_baseline(train, test.withColumn("score", F.lit(0.0)), FITTED)
     return curve.operating_curve(curve.operating_points(curve.score_curve(scored)))
 
 
 @query("model_permutation_importance")
 def model_permutation_importance(spark, sf_dir):
     train, cal, test = _split(spark, sf_dir, False)
-    m = models.StackedScorer(NUMERIC, CATEGORIES, trees=5).fit(train, cal)
-    return models.permutation_importance(m, durable(test), NUMERIC, "txn_id")
+    m = models.StackedScorer(FITTED, CATEGORIES, trees=5).fit(train, cal)
+    return models.permutation_importance(m, durable(test), FITTED, "txn_id")
 
 
 @query("model_layer_ablation")
 def model_layer_ablation(spark, sf_dir):
     train, cal, test = _split(spark, sf_dir)
     found = []
-    for name, cols in (("raw", NUMERIC), ("raw+derived", [*NUMERIC, *EXTRA])):
+    for name, cols in (("raw", FITTED), ("raw+derived", [*FITTED, *EXTRA])):
         m = models.StackedScorer(cols, CATEGORIES, trees=5).fit(train, cal)
         found.append((name, models.recall_at_budget(m.transform(test)), float(m.cut)))
     return _summary(spark, found)
@@ -73,7 +77,7 @@ def model_leave_one_vector_out(spark, sf_dir):
     found = []
     for v in [f"V{i}" for i in range(12)]:
         keep = F.col("attack_vector_id") != v
-        m = models.StackedScorer(NUMERIC, CATEGORIES, trees=5).fit(train.where(keep), cal.where(keep))
+        m = models.StackedScorer(FITTED, CATEGORIES, trees=5).fit(train.where(keep), cal.where(keep))
         scored = m.transform(test.where((F.col("is_fraud") == 0) | ~keep))
         s = scored.where("is_fraud = 1").agg(F.avg((F.col("score") > m.cut).cast("double"))).first()[0]
         found.append((v, float(s or 0), float(m.cut)))
@@ -83,7 +87,7 @@ def model_leave_one_vector_out(spark, sf_dir):
 @query("model_label_shuffle_control")
 def model_label_shuffle_control(spark, sf_dir):
     train, cal, test = [models.shuffled(d, "is_fraud", "txn_id", 3) for d in _split(spark, sf_dir, False)]
-    m = models.StackedScorer(NUMERIC, CATEGORIES, trees=5).fit(durable(train), durable(cal))
+    m = models.StackedScorer(FITTED, CATEGORIES, trees=5).fit(durable(train), durable(cal))
     return curve.roc_auc(curve.score_curve(m.transform(durable(test)), money=None))
 
 
@@ -105,8 +109,8 @@ def model_rule_candidates(spark, sf_dir):
 @query("model_counterfactuals")
 def model_counterfactuals(spark, sf_dir):
     train, cal, test = _split(spark, sf_dir, False)
-    m = models.StackedScorer(NUMERIC, CATEGORIES, trees=5).fit(train, cal)
-    alerts = durable(m.transform(test).where(F.col("score") > m.cut).select("txn_id", "is_fraud", *NUMERIC, *CATEGORIES))
+    m = models.StackedScorer(FITTED, CATEGORIES, trees=5).fit(train, cal)
+    alerts = durable(m.transform(test).where(F.col("score") > m.cut).select("txn_id", "is_fraud", *FITTED, *CATEGORIES))
     trials = models.counterfactual_trials(alerts, train, "txn_id")
     return models.counterfactuals(alerts, m.transform(trials), m.cut, "txn_id")
 
@@ -137,13 +141,13 @@ def score_partial_requests(spark, sf_dir):
 
 @query("audit_joint_separability")
 def audit_joint_separability(spark, sf_dir):
-    return models.separability(durable(ledger(spark, sf_dir, ["txn_id", "ts_s", "is_fraud", *NUMERIC])), NUMERIC, "ts_s")
+    return models.separability(durable(ledger(spark, sf_dir, ["txn_id", "ts_s", "is_fraud", *FITTED])), FITTED, "ts_s")
 
 
 @query("audit_derived_separability")
 def audit_derived_separability(spark, sf_dir):
-    rows = features.row_features(ledger(spark, sf_dir)).select("txn_id", "ts_s", "is_fraud", *NUMERIC, *EXTRA)
-    return models.separability(durable(rows), [*NUMERIC, *EXTRA], "ts_s")
+    rows = features.row_features(ledger(spark, sf_dir)).select("txn_id", "ts_s", "is_fraud", *FITTED, *EXTRA)
+    return models.separability(durable(rows), [*FITTED, *EXTRA], "ts_s")
 
 
 @query("model_indicative_terms")
@@ -176,7 +180,7 @@ def model_legit_stats(spark, sf_dir):
 @query("model_candidate_gain")
 def model_candidate_gain(spark, sf_dir):
     train, cal, test = _split(spark, sf_dir)
-    return models.candidate_gain(train, cal, test, NUMERIC, "f_coercion_signal_count", CATEGORIES, trees=5)
+    return models.candidate_gain(train, cal, test, FITTED, "f_coercion_signal_count", CATEGORIES, trees=5)
 
 
 @query("select_export_slice", """WITH k AS (SELECT *, CASE WHEN is_fraud = 1 THEN 'f' WHEN score >= 0.88 THEN 'x' ELSE 'a' END AS kind FROM ledger),
