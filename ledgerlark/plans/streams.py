@@ -42,20 +42,20 @@ SELECT seq, CASE WHEN NOT ok THEN 'INTENT_SIGNATURE_INVALID' WHEN k > 1 THEN 'IN
 def stream_replay_guard(spark, sf_dir):
     folder = stateful.fresh_folder(spark, "replay")
     rows = event_stream(spark, sf_dir, ["seq", "ts_s", "payer", "payee", "rail"]).selectExpr(
-        "seq", "ts_s", "timestamp_seconds(ts_s) AS at", "concat(payer, '/', payee) AS nonce", "rail <> 'error' AS valid", "ts_s + 86400 AS expires_at")
-    stateful.drain(stateful.replay_guard(rows.withWatermark("at", "1 hour"), "nonce", "ts_s", "seq", "valid", "expires_at"), folder)
+        "seq", "ts_s", "concat(payer, '/', payee) AS nonce", "rail <> 'error' AS valid", "ts_s + 86400 AS expires_at")
+    stateful.drain(stateful.replay_guard(rows, "nonce", "ts_s", "seq", "valid", "expires_at"), folder)
     return spark.read.parquet(f"{folder}/out").select("seq", "reason")
 
 
 @query("stream_counters", """
 SELECT count(*) AS scored, sum(a) AS alerts, sum(a * is_fraud * cents)::BIGINT AS cents_stopped, sum(is_fraud) AS fraud_seen, sum(a * is_fraud) AS fraud_stopped,
- sum(1 - is_fraud) AS legit, sum(a * (1 - is_fraud)) AS false_positives, avg(CASE WHEN is_fraud = 0 THEN a END) AS realised_fpr
-FROM (SELECT *, CASE WHEN amount / 500 >= 0.5 THEN 1 ELSE 0 END AS a FROM payments)
+ sum(1 - is_fraud) AS legit, sum(a * (1 - is_fraud)) AS false_positives, sum(blocked)::BIGINT AS blocks,
+ CASE WHEN sum(1 - is_fraud) >= 200 THEN avg(CASE WHEN is_fraud = 0 THEN a END) END AS realised_fpr FROM (SELECT *, CASE WHEN rail = 'error' THEN 1 ELSE 0 END AS blocked, CASE WHEN amount / 500 >= 0.5 THEN 1 ELSE 0 END AS a FROM payments)
 """, ("payments",))
 def stream_counters(spark, sf_dir):
     folder = stateful.fresh_folder(spark, "counters")
-    rows = event_stream(spark, sf_dir, ["amount", "cents", "is_fraud"]).withColumn("score", F.col("amount") / 500)
-    stateful.drain(stateful.counters(rows, 0.5), folder, lambda b, i: b.write.mode("overwrite").parquet(f"{folder}/out"), "complete")
+    rows = event_stream(spark, sf_dir, ["amount", "cents", "is_fraud", "rail"]).withColumns({"score": F.col("amount") / 500, "blocked": F.col("rail") == "error"})
+    stateful.drain(stateful.counters(rows, 0.5, "blocked"), folder, lambda b, i: b.write.mode("overwrite").parquet(f"{folder}/out"), "complete")
     return spark.read.parquet(f"{folder}/out")
 
 
@@ -63,4 +63,4 @@ def stream_counters(spark, sf_dir):
 def stream_scored_queue(spark, sf_dir):
     folder = stateful.fresh_folder(spark, "queue")
     stateful.score_batches(event_stream(spark, sf_dir, ["txn_id", "amount"]), folder, lambda b: b.select("txn_id", (F.col("amount") / 500).alias("score")))
-    return spark.read.parquet(f"{folder}/out").select("txn_id", "score")
+    return stateful.upserted(spark, folder, ["txn_id"], "score").select("txn_id", "score")

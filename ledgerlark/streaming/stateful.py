@@ -1,7 +1,4 @@
-"""Stateful checks on Structured Streaming.
-
-Rows later than the watermark are still answered but change no state; that rule is ours.
-"""
+"""Stateful checks on Structured Streaming. Late rows are answered from the state as it stands."""
 
 from __future__ import annotations
 
@@ -14,32 +11,51 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import causal
+from ..operators.relate import latest
 from ..session import shared_folder
 
 WEEK = 604_800
+#: Seconds that state is kept beyond its own end, for rows that come late.
+LATE_S = 3_600
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
 def drain(stream: DataFrame, folder: str, batch=None, mode: str = "append") -> None:
-    """Run a stream over what is available now, into ``folder/out`` or a batch function."""
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
-    w = w.foreachBatch(batch) if batch else w.format("parquet").option("path", f"{folder}/out")
-    w.start().awaitTermination()
+    """Run a stream over what is available now, into ``folder/out`` or a batch function.
+
+    State that ends by the clock would ask for batches without data for ever; here it ends with the next batch that has some.
+    """
+    conf = stream.sparkSession.conf
+    before = conf.get(_IDLE, "true")
+    conf.set(_IDLE, "false")
+    try:
+        w = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        w = w.foreachBatch(batch) if batch else w.format("parquet").option("path", f"{folder}/out")
+        w.start().awaitTermination()
+    finally:
+        conf.set(_IDLE, before)
 
 
 def _ordered(parts: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(parts)).sort_values(by, kind="stable")
 
 
-def rate_limit(stream: DataFrame, client: str, ts: str, key: str, limit: int = 120, window_s: int = 60) -> DataFrame:
+def rate_limit(stream: DataFrame, client: str, ts: str, key: str, limit: int = 120, window_s: int = 60, late_s: int = LATE_S) -> DataFrame:
     """Admit at most ``limit`` requests per trailing window; rejected requests do not count.
 
-    State per client: the admitted seconds still inside the window, never more than ``limit``.
+    State per client: the admitted seconds still inside the window, never more than ``limit``. It goes once the client has been
+    silent for the window and ``late_s`` on top.
     """
     def fold(group, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
         rows, verdicts = _ordered(parts, [ts, key]), []
         for now in rows[ts]:
@@ -49,50 +65,56 @@ def rate_limit(stream: DataFrame, client: str, ts: str, key: str, limit: int = 1
                 held.append(int(now))
             verdicts.append(int(ok))
         state.update((held,))
+        state.setTimeoutDuration((window_s + late_s) * 1000)
         yield pd.DataFrame({key: rows[key].astype("int64"), client: group[0], "admitted": verdicts})
 
     return stream.groupBy(client).applyInPandasWithState(
-        fold, f"{key} long, {client} long, admitted long", "held array<long>", "append", GroupStateTimeout.NoTimeout)
+        fold, f"{key} long, {client} long, admitted long", "held array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def replay_guard(stream: DataFrame, nonce: str, ts: str, key: str, valid: str, expires: str) -> DataFrame:
+def replay_guard(stream: DataFrame, nonce: str, ts: str, key: str, valid: str, expires: str, late_s: int = LATE_S) -> DataFrame:
     """Only an accepted instruction spends its nonce; later ones of that nonce are replays.
 
-    State per nonce is one flag. It goes away once the instruction has expired by the event clock,
-    since what comes later is rejected as expired anyway.
+    State per nonce: whether it is spent, the latest expiry and the latest clock seen, rejected rows included; neither ever goes
+    back. It is kept until that expiry has passed and ``late_s`` on top. There is no watermark, since Spark would drop what
+    comes behind it: every row is answered, late ones from the state as it stands.
     """
     def check(group, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        spent = bool(state.get[0]) if state.exists else False
-        rows, codes, last = _ordered(parts, [ts, key]), [], 0
-        for ok, now, end in zip(rows[valid], rows[ts], rows[expires]):
-            last = max(last, int(end))
+        spent, until, seen = state.get if state.exists else (False, 0, 0)
+        rows, codes = _ordered(parts, [ts, key]), []
+        for ok, now, end in zip(rows[valid], rows[ts], rows[expires], strict=True):
+            until, seen = max(until, int(end)), max(seen, int(now))
             bad = "INTENT_SIGNATURE_INVALID" if not ok else "INTENT_EXPIRED" if now > end else "INTENT_REPLAYED" if spent else ""
             spent = spent or bad == ""
             codes.append(bad)
-        state.update((spent,))
-        if last * 1000 > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(last * 1000 + 1)
+        state.update((spent, until, seen))
+        state.setTimeoutDuration((max(until - seen, 0) + late_s) * 1000)
         yield pd.DataFrame({key: rows[key].astype("int64"), "reason": codes})
 
     return stream.groupBy(nonce).applyInPandasWithState(
-        check, f"{key} long, reason string", "spent boolean", "append", GroupStateTimeout.EventTimeTimeout)
+        check, f"{key} long, reason string", "spent boolean, until long, seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
 
+#: Legitimate rows below which a realised false-positive rate says nothing (fixed value).
+FPR_FLOOR = 200
 
-def counters(stream: DataFrame, cut: float) -> DataFrame:
-    """Running console counters; the realised false-positive rate is NULL without legitimate rows."""
+
+def counters(stream: DataFrame, cut: float, blocked: str | None = None) -> DataFrame:
+    """Running console counters; the realised false-positive rate is NULL below ``FPR_FLOOR`` legitimate rows."""
     alert, fraud = F.col("score") >= cut, F.col("is_fraud") == 1
     one = lambda c: F.sum(c.cast("long"))
+    blocks = F.coalesce(one(F.col(blocked)), F.lit(0)) if blocked else F.lit(0).cast("long")
     return stream.groupBy().agg(
         F.count(F.lit(1)).alias("scored"), one(alert).alias("alerts"), F.sum(F.when(alert & fraud, F.col("cents")).otherwise(0)).alias("cents_stopped"),
-        one(fraud).alias("fraud_seen"), one(alert & fraud).alias("fraud_stopped"), one(~fraud).alias("legit"), one(alert & ~fraud).alias("false_positives"),
-        F.avg(F.when(~fraud, alert.cast("double"))).alias("realised_fpr"))
+        one(fraud).alias("fraud_seen"), one(alert & fraud).alias("fraud_stopped"), one(~fraud).alias("legit"), one(alert & ~fraud).alias("false_positives"), blocks.alias("blocks"),
+        F.when(one(~fraud) >= FPR_FLOOR, F.avg(F.when(~fraud, alert.cast("double")))).alias("realised_fpr"))
 
 
 def online_velocity(stream: DataFrame, key: str, folder: str, windows=(3_600, 86_400), horizon: int = WEEK) -> None:
-    """Score each micro-batch against the rows already seen, then add it to them.
+    """Score each micro-batch against the rows already seen, then add it to them; ``n_before`` counts those of the last ``horizon``.
 
     State is a table of past rows by batch and day, read back only for the days in reach, so the
     batch operator and its skew handling serve the stream unchanged. A replayed batch overwrites
@@ -117,5 +139,11 @@ def online_velocity(stream: DataFrame, key: str, folder: str, windows=(3_600, 86
 
 
 def score_batches(stream: DataFrame, folder: str, score) -> None:
-    """Score micro-batches and upsert them: a batch owns its partition, so a retry rewrites it."""
+    """Score micro-batches and upsert them: a batch owns its partition, so a retry rewrites it, and readers take a key's newest row."""
     drain(stream, folder, lambda batch, i: score(batch).write.mode("overwrite").parquet(f"{folder}/out/batch={i}"))
+
+
+def upserted(spark: SparkSession, folder: str, key: list[str], order: str) -> DataFrame:
+    """What :func:`score_batches` holds: per key the row of the newest batch, and in a batch the one of the greatest ``order``."""
+    rows = spark.read.parquet(f"{folder}/out")
+    return latest(rows, key, F.struct("batch", order)).drop("batch")

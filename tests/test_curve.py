@@ -47,10 +47,51 @@ def test_quantiles_match_numpy(spark):
 def test_bootstrap_interval_covers_the_point(spark):
     r = random.Random(5)
     pairs = [(round(r.betavariate(4, 2), 3), 1) for _ in range(300)] + [(round(r.betavariate(2, 4), 3), 0) for _ in range(3000)]
-    df = _scored(spark, pairs).withColumn("model", F.lit("m"))
+    df = _scored(spark, pairs)
     point = curve.operating_points(curve.score_curve(df), [0.02]).first()
-    i = curve.intervals(curve.bootstrap_recall(curve.collapse(df, part=["model"]), 0.02, 60)).first()
-    assert i["lo95"] <= point["tp"] / point["p"] <= i["hi95"]
+    found = {i["metric"]: i for i in curve.intervals(curve.bootstrap(df, ["score"], 0.02, 60)).collect()}
+    assert set(found) == set(curve.METRICS) and all(i["lo95"] <= i["hi95"] and i["resamples"] == 60 for i in found.values())
+    assert abs(found["recall"]["point"] - point["tp"] / point["p"]) < 1e-12 and found["recall"]["lo95"] <= found["recall"]["point"] <= found["recall"]["hi95"]
+
+
+def test_the_same_ranking_differs_by_nothing(spark):
+    r = random.Random(6)
+    pairs = [(round(r.betavariate(4, 2), 3), 1) for _ in range(200)] + [(round(r.betavariate(2, 4), 3), 0) for _ in range(1500)]
+    df = _scored(spark, pairs).withColumn("half", F.col("score") / 2)
+    for d in curve.paired_difference(curve.bootstrap(df, ["score", "half"], 0.02, 25), "score", "half").collect():
+        assert (d["difference"], d["lo95"], d["hi95"], d["p_two_sided"]) == (0.0, 0.0, 0.0, 1.0)
+
+
+def test_poisson_draws_have_their_mean_and_spread(spark):
+    for n in (1, 2, 7, 30, 400):
+        u, v = (F.rand(s) for s in (1, 2))
+        d = spark.range(20000).select(F.lit(n).alias("n"), u.alias("u"), v.alias("v")).select(curve.poisson(F.col("n"), F.col("u"), F.col("v")).alias("k"))
+        m = d.agg(F.avg("k").alias("m"), F.var_samp("k").alias("s")).first()
+        assert abs(m["m"] - n) < 5 * (n / 20000) ** 0.5 and abs(m["s"] / n - 1) < 0.06
+
+
+def test_windows_of_one_class_or_none(spark):
+    for pairs in ([(0.1, 1), (0.9, 1)], [(0.1, 0), (0.9, 0)], []):
+        df = _scored(spark, pairs)
+        c = curve.score_curve(df)
+        assert curve.partial_auc(c).first()["partial_auc"] is None
+        assert (curve.average_precision(c).first()["average_precision"] is None) == (not any(y for _, y in pairs))
+        head = evaluate.headline(df, 0.5).first()
+        assert head["rows"] == len(pairs) and (head["false_positive_rate"] is None) == (not any(y == 0 for _, y in pairs))
+        assert len(curve.operating_curve(curve.operating_points(c)).collect()) in (0, len(curve.BUDGETS))
+
+
+def test_a_null_group_is_a_group(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 5.0), (None, 9.0)], "g string, v double")
+    assert {(r["g"], r["q"], r["n"]) for r in exact_quantiles(df, ["g"], "v", [0.5]).collect()} == {("a", 2.0, 2), (None, 7.0, 2)}
+    sums = spark.createDataFrame([("a", 0.5, 1, 1), (None, 0.5, 1, 1), (None, 0.7, 0, 1)], "g string, score double, is_fraud int, cents int")
+    assert {r["g"]: r["p"] + r["n"] for r in curve.operating_points(curve.score_curve(sums, ["g"]), [0.1], ["g"]).collect()} == {"a": 1, None: 2}
+
+
+def test_deciles_of_one_tied_score(spark):
+    df = spark.range(1003).select(F.col("id").cast("string").alias("txn_id"), (F.col("id") < 10).cast("double").alias("score"), (F.col("id") % 2).cast("int").alias("is_fraud"), F.lit(100).alias("cents"))
+    got = curve.decile_lift(df, "score", "txn_id").orderBy("decile").collect()
+    assert [d["rows"] for d in got] == [101] * 3 + [100] * 7 and sum(d["fraud"] for d in got) == 501
 
 
 def test_planted_leaks_are_found(spark):

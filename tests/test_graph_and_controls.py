@@ -29,6 +29,48 @@ def test_components_and_thin_history(spark):
     assert graph.snapshot_edges(few).count() == 0
 
 
+def _communities(spark, pairs):
+    df = spark.createDataFrame([(a, b, w) for a, b, w in pairs], "payer string, payee string, cents long")
+    found = {}
+    for r in graph.communities(df).collect():
+        found.setdefault(r["label"], set()).add(r["node"])
+    return df, sorted(map(sorted, found.values()))
+
+
+def test_a_star_is_one_ring_and_two_cliques_are_two(spark):
+    df, star = _communities(spark, [("HUB", f"L{i}", 100 + i) for i in range(6)])
+    assert star == [sorted(["HUB", *(f"L{i}" for i in range(6))])]
+    ring = graph.rings(df, graph.communities(df)).first()
+    assert (ring["size"], ring["internal_edges"]) == (7, 6)
+    clique = lambda n: [(f"{n}{i}", f"{n}{j}", 100) for i in range(5) for j in range(5) if i < j]
+    _, two = _communities(spark, [*clique("a"), *clique("b"), ("a0", "b0", 1)])
+    assert two == [[f"a{i}" for i in range(5)], [f"b{i}" for i in range(5)]]
+
+
+def test_only_an_accepted_settlement_spends_its_instruction(spark):
+    s = [("1", 7, 100, 1, "other"), ("2", 7, 101, 2, "me"), ("3", 7, 102, 3, "me"), ("4", 8, 100, 1, "me")]
+    rows = spark.createDataFrame(s, "txn string, k long, now_s long, o long, settle_payee string").selectExpr(
+        "*", "'INR' AS settle_currency", "10.0D AS settle_amount", "array('buy') AS requested_scope")
+    known = spark.createDataFrame([(7, 50.0, "INR", "me", ["buy"], 1000, 1)], "k long, max_amount double, currency string, payee_id string, scope array<string>, expires_at long, signature_valid int")
+    got = {r["txn"]: (r["reasons"], r["allowed"]) for r in controls.verify_settlements(rows, known, "k", ["o"]).collect()}
+    assert got == {"1": ("PAYEE_MISMATCH", 0), "2": ("", 1), "3": ("INTENT_REPLAYED", 0), "4": ("INTENT_ABSENT", 0)}
+
+
+def test_model_inputs_are_allowed_by_name(spark):
+    from ledgerlark.sources import schema
+
+    df = spark.createDataFrame([(1,) * 8], "amount int, score int, split int, f_x int, g_y int, vishing_covered int, agent_injection_score int, txn_id int")
+    assert schema.input_columns(df) == ["amount", "f_x", "g_y", "agent_injection_score"]
+    assert schema.column_layers(df)["raw"] == ["amount"]
+
+
+def test_payments_without_a_device_stay(spark):
+    from ledgerlark.operators import features
+
+    df = spark.createDataFrame([(1, 10, "p", "d"), (2, 20, "p", ""), (3, 30, "q", None)], "seq long, ts_s long, payer string, device_id string")
+    assert {r["seq"]: r["f_device_first_seen_days"] for r in features.device_features(df).collect()} == {1: 0.0, 2: 0.0, 3: 0.0}
+
+
 def _agent(spark, **over):
     base = dict(initiated_by_agent=1, intent_token_present=1, intent_signature_valid=1, intent_age_s=10.0, spt_reuse_count=0,
                 intent_payee_match=1, intent_amount_delta_ratio=0.0, spt_scope_violation=0)

@@ -58,6 +58,50 @@ def test_rate_limit_ignores_rejected_requests(spark, tmp_path):
     assert got == want and 0 in got.values()
 
 
+def test_replay_guard_answers_late_rows_and_remembers_spent_nonces(spark, tmp_path):
+    day = 86_400
+    batches = [[(1, "n", 0, True, 30 * day), (2, "m", 5, True, 10)], [(3, "n", 60, False, 70), (4, "k", 20 * day, True, 21 * day)], [(5, "n", 3 * day, True, 30 * day), (6, "m", 1, True, 10), (7, "z", 2, True, 9)]]
+    ddl, src = "seq long, nonce string, ts_s long, valid boolean, expires_at long", str(tmp_path / "in")
+    for b in batches:
+        spark.createDataFrame(b, ddl).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
+    stateful.drain(stateful.replay_guard(stream, "nonce", "ts_s", "seq", "valid", "expires_at"), str(tmp_path / "s"))
+    got = {r["seq"]: r["reason"] for r in spark.read.parquet(str(tmp_path / "s/out")).collect()}
+    assert got == {1: "", 2: "", 3: "INTENT_SIGNATURE_INVALID", 4: "", 5: "INTENT_REPLAYED", 6: "INTENT_REPLAYED", 7: ""}
+
+
+def test_upserts_keep_the_newest_row_of_a_key(spark, tmp_path):
+    src = str(tmp_path / "in")
+    for b in ([("a", 1.0), ("b", 2.0)], [("a", 3.0)], [("c", 4.0), ("b", 0.5)]):
+        spark.createDataFrame(b, "k string, score double").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("k string, score double").option("maxFilesPerTrigger", 1).parquet(src)
+    stateful.score_batches(stream, str(tmp_path / "q"), lambda b: b)
+    assert {r["k"]: r["score"] for r in stateful.upserted(spark, str(tmp_path / "q"), ["k"], "score").collect()} == {"a": 3.0, "b": 0.5, "c": 4.0}
+
+
+def test_an_alert_that_nothing_flips_keeps_a_row(spark):
+    from ledgerlark.operators import models
+
+    alerts = spark.createDataFrame([("1", 9.0), ("2", 9.0)], "txn string, amount double")
+    legit = spark.createDataFrame([(0, float(i)) for i in range(20)], "is_fraud int, amount double")
+    fields = {"amount": models.FIELDS["amount"]}
+    trials = models.counterfactual_trials(alerts, legit, "txn", fields)
+    scored = trials.withColumn("score", F.when(F.col("txn") == "1", F.col("amount") / 10).otherwise(F.lit(1.0)))
+    got = {r["txn"]: (r["column"], r["text"]) for r in models.counterfactuals(alerts, scored, 0.5, "txn", fields=fields).collect()}
+    assert got == {"1": ("amount", "Approved if a smaller payment, of at most 5."), "2": (None, None)}
+
+
+def test_result_tables_round_trip(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a", 0), (2, "b", 1)], "k int, v string, day int")
+    io.write_plane(df, str(tmp_path / "plane"))
+    assert sorted(io.read_plane(spark, str(tmp_path / "plane"), df.schema, required=True).select(*df.columns).collect()) == sorted(df.collect())
+    io.write_features(df.withColumn("_scratch", F.lit(1)), df.where("k = 2"), "k", str(tmp_path / "features"))
+    assert spark.read.parquet(str(tmp_path / "features")).collect() == df.where("k = 2").collect()
+    io.write_result(df, str(tmp_path / "csv"))
+    there, back = io.read_result(spark, str(tmp_path / "csv"), "csv", df.schema)
+    assert there and sorted(back.collect()) == sorted(df.collect())
+
+
 def test_stream_velocity_over_several_batches_equals_batch(spark, tmp_path):
     r = random.Random(8)
     rows = sorted([(1_700_000_000 + r.randrange(300_000), i, f"k{r.randrange(3)}", r.randrange(100)) for i in range(150)])
