@@ -27,7 +27,12 @@ def stream_online_velocity(spark, sf_dir):
     return out.select("txn_id", F.col("n_3600").alias("n_1h"), F.col("cents_3600").alias("cents_1h"), F.col("n_86400").alias("n_24h"), F.col("cents_86400").alias("cents_24h"))
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", """
+WITH RECURSIVE r AS (SELECT event_id AS seq, user_id AS client, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k FROM events),
+f AS (SELECT seq, client, k, [ts_s] AS held, 1 AS admitted FROM r WHERE k = 1
+ UNION ALL SELECT seq, client, k, CASE WHEN len(h) < 3 THEN list_append(h, ts_s) ELSE h END, CASE WHEN len(h) < 3 THEN 1 ELSE 0 END
+ FROM (SELECT r.*, list_filter(f.held, lambda t: t > r.ts_s - 43200) AS h FROM f JOIN r ON r.client = f.client AND r.k = f.k + 1))
+SELECT seq, client, admitted FROM f""")
 def stream_rate_limit(spark, sf_dir):
     folder = stateful.fresh_folder(spark, "rate")
     rows = event_stream(spark, sf_dir, ["seq", "ts_s", "payer"]).selectExpr("seq", "ts_s", "CAST(substring(payer, 2) AS BIGINT) AS client")

@@ -126,6 +126,15 @@ def test_rebuild_equals_full(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, build(after).collect()))
 
 
+def test_near_entities_reach_only_as_far_as_the_horizon(spark):
+    rows = spark.createDataFrame([(1, "p", "m", 0), (2, "q", "m", 50), (3, "r", "m", 500), (4, "p", "n", 900)], "k long, p string, m string, ts_s long")
+    dirty = spark.createDataFrame([("p", "p"), ("m", "m")], "kind string, entity string")
+    span = spark.createDataFrame([(0, 10)], "lo long, hi long")
+    near = incremental.neighbourhood(rows, dirty, "k", ["p"], ["m"], span, horizon=100)
+    assert sorted(r["k"] for r in near.collect()) == [1, 2, 4]
+    assert sorted(r["k"] for r in incremental.neighbourhood(rows, dirty, "k", ["p", "m"]).collect()) == [1, 2, 3, 4]
+
+
 def test_saved_scorer_scores_alike_and_stale_versions_are_refused(spark, tmp_path):
     from ledgerlark.operators import models
     r = random.Random(4)
