@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import audits, catalogues, evaluation, graphs, relations, scoring, streams, windows  # noqa: F401
+from . import audits, catalogues, evaluation, graphs, relations, scoring, sinks, streams, windows  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
