@@ -241,6 +241,19 @@ def select_proportional_sample(spark, sf_dir):
     return relate.proportional_sample(ledger(spark, sf_dir, ["txn_id", "attack_vector_id", "is_fraud"]).where("is_fraud = 1"), "attack_vector_id", "txn_id", 300)
 
 
+@query("select_stratified_counts", """WITH t AS (SELECT sum(is_fraud)::BIGINT AS f, sum(1 - is_fraud)::BIGINT AS l FROM ledger)
+SELECT 1 AS is_fraud, f AS rows FROM t UNION ALL SELECT 0, least(l, greatest(10000 - f, 500)) FROM t""", ("ledger",))
+def select_stratified_counts(spark, sf_dir):
+    """The draws differ between engines, the sizes do not."""
+    return select_stratified_sample(spark, sf_dir).groupBy("is_fraud").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("select_proportional_counts", """WITH g AS (SELECT attack_vector_id, count(*) AS n FROM ledger WHERE is_fraud = 1 GROUP BY 1)
+SELECT attack_vector_id, CAST(greatest(1, round_even(n * 300 / (SELECT sum(n) FROM g), 0)) AS BIGINT) AS rows FROM g""", ("ledger",))
+def select_proportional_counts(spark, sf_dir):
+    return select_proportional_sample(spark, sf_dir).groupBy("attack_vector_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("select_reason_codes", """WITH i AS (SELECT txn_id, list_sort(list_filter([{'w': -abs((amount - 50000) / 20000::DOUBLE) * 0.5, 'c': 'amount', 'v': amount}, {'w': -abs((auth_attempts - 2) / 1::DOUBLE) * 0.3, 'c': 'auth_attempts', 'v': auth_attempts::DOUBLE},
  {'w': -abs((payee_account_age_days - 500) / 300::DOUBLE) * 0.2, 'c': 'payee_account_age_days', 'v': payee_account_age_days}], lambda s: s.w < 0))[1:2] AS t FROM ledger)
 SELECT txn_id, array_to_string(list_transform(t, lambda s: s.c || '=' || printf('%.4f', s.v)), '|') AS reason_codes FROM i""", ("ledger",))
