@@ -10,7 +10,7 @@ from .common import WORD, durable, ranked, running_before
 #: Words in a block.
 BLOCK = 256
 #: Rows or slots that one ordered chunk holds.
-CHUNK = 1 << 16
+CHUNK = 1 << 12
 #: The schedule's points lie on so many steps of the unit line, the golden ratio's fraction of them apart.
 STEPS = 1 << 31
 GOLDEN = round(0.6180339887498949 * STEPS) | 1
