@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mixed, ngram_hashes, stored, word_hashes
+from .common import WORD, as_bytes, mixed, ngram_hashes, stored, word_hashes
 
 #: Words in the longest n-gram, and the factor for each word of it that is given up.
 ORDER, BACKOFF = 2, 0.4
@@ -44,10 +44,13 @@ class Block:
         self.grams, index, self.counts = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
         self.index = np.split(index, np.cumsum([len(e) for e in each])[:-1])
 
-    def cuts(self, buckets: int) -> np.ndarray:
-        """Where each bucket's n-grams start: a bucket is an equal range of hashes."""
-        edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
-        return np.concatenate([[0], np.searchsorted(self.grams, edges), [len(self.grams)]])
+    def parts(self, buckets: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """The buckets that hold any of the n-grams, in order, with their n-grams and counts: a bucket is an equal range of hashes."""
+        bucket = (self.grams >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        held, starts = np.unique(bucket, return_index=True)
+        if not len(held):
+            return held, [], []
+        return held, np.split(self.grams, starts[1:]), np.split(self.counts, starts[1:])
 
     def scores(self, totals: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
         """Per text: the sum of log scores, and how many words its longest n-gram was found for. A text's own counts are left out."""
@@ -83,26 +86,24 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTE
     whose longest n-gram was met.
 
     Documents meet in hash blocks of about ``block_bytes``. A block's distinct n-grams and their counts go to hash buckets, one row
-    a bucket; there all blocks' counts of an n-gram add up, and the totals return to each block that has it, where they are joined
-    to the documents' n-grams. A frequent n-gram is one entry a block, however many documents hold it. N-grams are known by
+    for each bucket it has any for, so that rows never outnumber n-grams; there all blocks' counts of an n-gram add up, and the
+    totals return to each block that has it, where they are joined to the documents' n-grams. A frequent n-gram is one entry a block, however many documents hold it. N-grams are known by
     64-bit hashes.
 
     Words are split at ASCII white space. Null and empty texts have no words, score 0 and have no mean. Ids may be null or repeat;
     each row is a document of its own. An empty table gives no rows. Other columns are not looked at.
     """
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
+    size, words = docs.agg(F.sum(F.octet_length("text")), F.sum(F.expr(f"regexp_count(text, r'{WORD}')"))).first()
+    blocks, words = max(1, -(-(size or 0) // block_bytes)), words or 0
     buckets = blocks
     named = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int").alias("block"))
 
     def counted(table: pa.Table) -> pa.Table:
         block = Block(as_bytes(table.column("text").combine_chunks()), order)
-        cuts = block.cuts(buckets)
-        rows = [(b, planes(np.diff(block.grams[i:j], prepend=np.uint64(0))), planes(block.counts[i:j])) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
-        # one more bucket adds up the words
-        rows.append((buckets, planes(np.zeros(1, np.uint64)), planes(block.sizes.sum(keepdims=True))))
-        bucket, grams, counts = zip(*rows, strict=True)
-        return pa.table({"bucket": pa.array(bucket, pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * len(rows), pa.int32()), "grams": pa.array(grams, pa.binary()), "counts": pa.array(counts, pa.binary())})
+        held, grams, counts = block.parts(buckets)
+        return pa.table({
+            "bucket": pa.array(held.astype(np.int32)), "block": pa.array([table.column("block")[0].as_py()] * len(held), pa.int32()),
+            "grams": pa.array([planes(np.diff(g, prepend=np.uint64(0))) for g in grams], pa.binary()), "counts": pa.array([planes(c) for c in counts], pa.binary())})
 
     def added(table: pa.Table) -> pa.Table:
         with np.errstate(over="ignore"):
@@ -117,7 +118,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, block_bytes: int = BLOCK_BYTE
     def scored(texts: pa.Table, totals: pa.Table) -> pa.Table:
         block = Block(as_bytes(texts.column("text").combine_chunks()), order)
         parts = [from_planes(t) for _, t in sorted(zip(totals.column("bucket").to_pylist(), totals.column("totals").to_pylist(), strict=True))]
-        score, found = block.scores(np.concatenate(parts[:-1]).astype(np.int64), int(parts[-1][0]))
+        score, found = block.scores(np.concatenate([*parts, np.empty(0, np.uint64)]).astype(np.int64), words)
         mean = pa.array(score / np.maximum(block.sizes, 1), mask=block.sizes == 0)
         return pa.table({"doc_id": texts.column("doc_id").cast(pa.int64()), "n_words": pa.array(block.sizes), "log_score": pa.array(score), "mean_log": mean, "n_found": pa.array(found)})
 
