@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import durable
 from ..sources.tables import table
@@ -16,7 +17,7 @@ from ..sources.tables import table
 #: A word for Spark's and DuckDB's regular expressions: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["WORD", "as_bytes", "components", "durable", "ngram_hashes", "pieces", "table", "word_hashes"]
+__all__ = ["WORD", "as_bytes", "components", "durable", "map_rows", "ngram_hashes", "pieces", "table", "unused", "word_hashes"]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +34,25 @@ def text_hash():
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Each name, with as many underscores behind it as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: int) -> DataFrame:
+    """``df.mapInArrow(fn)`` for an ``fn`` that gives the first ``keep`` columns back.
+
+    Inside, all columns but ``text`` go by their place, as Spark takes names with a dot apart here.
+    """
+    placed = df.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(df.columns)])
+    return placed.mapInArrow(fn, StructType(placed.schema.fields[:keep])).toDF(*df.columns[:keep])
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null reads as empty. ``bytes.split()`` then cuts at ASCII white space only."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_hash
+from .common import durable, text_hash, unused
 
 #: Words in a shingle; an item is found if a document holds at least ``FOUND`` of its shingles, in hundredths.
 SHINGLE, FOUND = 5, 80
@@ -84,6 +84,6 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, in which no item is found."""
-    found = durable(_found(docs, items).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct())
-    keyed = docs.withColumn("_key", text_hash())
-    return keyed.join(_small(found), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left_anti").drop("_key")
+    d, t, key = unused(docs, "_d", "_t", "_key")
+    found = durable(_found(docs, items).select(F.col("doc_id").alias(d), F.col("t").alias(t)).distinct())
+    return docs.withColumn(key, text_hash()).join(_small(found), F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(key) == F.col(t)), "left_anti").drop(key)

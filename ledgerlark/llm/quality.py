@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, mixed, ngram_hashes, pieces
+from .common import as_bytes, map_rows, mixed, ngram_hashes, pieces
 
 #: Largest share of word characters inside word n-grams that occur more than once, by n-gram length.
 NGRAM_LIMITS = {5: 0.30, 7: 0.28, 10: 0.25}
@@ -96,4 +96,4 @@ def passing(docs: DataFrame) -> DataFrame:
             for part in pieces(batch):
                 yield part.filter(pa.array([measure(data)[-1] for data in as_bytes(part.column("text"))], pa.bool_()))
 
-    return docs.mapInArrow(chosen, docs.schema)
+    return map_rows(docs, chosen, len(docs.columns))

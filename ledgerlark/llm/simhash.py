@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, document_key, durable, pieces, text_hash
+from .common import as_bytes, components, document_key, durable, pieces, text_hash, unused
 
 #: Words in a shingle, hash seed, and differing bits that still link.
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -185,6 +185,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     prints, roots = _grouped(docs)
     d = document_key()
     first = prints.select(d.alias("d"), "t", "fp").groupBy("fp").agg(F.min(F.struct("d", "t")).alias("first"))
-    kept = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.d").alias("_d"), F.col("first.t").alias("_t"))
-    keyed = docs.withColumns({"_d": d, "_t": text_hash()})
-    return keyed.join(kept, ["_d", "_t"], "left_semi").dropDuplicates(["_d", "_t"]).drop("_d", "_t")
+    own = unused(docs, "_d", "_t")
+    kept = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.d").alias(own[0]), F.col("first.t").alias(own[1]))
+    keyed = docs.withColumns(dict(zip(own, (d, text_hash()), strict=True)))
+    return keyed.join(kept, own, "left_semi").dropDuplicates(own).drop(*own)

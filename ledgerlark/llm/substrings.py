@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import as_bytes, document_key, mixed, ngram_hashes, pieces, stored, text_hash, word_hashes
+from .common import as_bytes, document_key, map_rows, mixed, ngram_hashes, pieces, stored, text_hash, unused, word_hashes
 
 #: Words in a window, and in the k-mers among which a window's minimizer is the one with the least hash.
 WINDOW, KMER = 20, 5
@@ -175,12 +175,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch):
-            texts = part.column("text").to_pylist()
-            for i, spans in enumerate(part.column("_spans").to_pylist()):
+            texts, names = part.column("text").to_pylist(), part.schema.names[:-1]
+            for i, spans in enumerate(part.column(len(names)).to_pylist()):
                 if spans:  # what is kept keeps the white space behind it
                     tokens = _TOKEN.findall(texts[i].encode())
                     texts[i] = b"".join(compress(tokens, _kept(len(tokens), spans).tolist())).decode()
-            names = [c for c in part.schema.names if c != "_spans"]
             yield pa.RecordBatch.from_arrays([pa.array(texts, part.schema.field(c).type) if c == "text" else part.column(c) for c in names], names)
 
 
@@ -204,6 +203,6 @@ def removal_digest(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, with what :func:`removal_digest` removes cut from ``text``; other texts stay as they are."""
-    spans = _listed(docs).withColumnsRenamed({"d": "_d", "t": "_t"})
-    joined = docs.withColumns({"_d": document_key(), "_t": text_hash()}).join(spans, ["_d", "_t"], "left")
-    return joined.select(*docs.columns, "_spans").mapInArrow(_cut, docs.schema)
+    d, t, listed = unused(docs, "_d", "_t", "_spans")
+    joined = docs.withColumns({d: document_key(), t: text_hash()}).join(_listed(docs).toDF(d, t, listed), [d, t], "left").drop(d, t)
+    return map_rows(joined, _cut, len(docs.columns))

@@ -13,8 +13,8 @@ def prose(rng: random.Random, n: int, vocabulary: int = 400) -> str:
 
 def documents(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """``(doc_id, text)`` or ``(doc_id, text, source)`` with extra columns named like the operators' own."""
-    full = [(r[0], r[1], r[2] if len(r) > 2 else "s", "x", 1, 2, 3, "y") for r in rows]
-    return spark.createDataFrame(full, "doc_id long, text string, source string, fingerprint string, n_words long, d long, t long, spans string")
+    full = [(r[0], r[1], r[2] if len(r) > 2 else "s", "x", 1, 2, 3, "y", "k", 4, 5, ["z"], 6) for r in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, source string, fingerprint string, n_words long, d long, t long, spans string, _key string, _d long, _T long, _spans array<string>, `a.b` long")
 
 
 def awkward() -> list[tuple]:
