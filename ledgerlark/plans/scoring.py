@@ -41,7 +41,12 @@ def model_stacked_scores(spark, sf_dir):
                                     fx.flag(F.col("score") > m.cut).alias("model_alert"))
 
 
-@query("model_novelty_scores")
+_TAIL = ("coalesce(list_min([" + ", ".join(f"CASE WHEN {{0}} {'<' if p <= 0.5 else '>'} q_{{0}}[{i}] THEN {min(p, 1 - p):.2f} END" for i, p in enumerate(models.Novelty.PROBS, 1))
+         + ", CASE WHEN {0} > q_{0}[4] THEN 0.50 END]), 0.5)")
+
+
+@query("model_novelty_scores", f"""WITH q AS (SELECT {", ".join(f"quantile_cont({c}::DOUBLE, {models.Novelty.PROBS}) AS q_{c}" for c in NUMERIC)} FROM ledger WHERE is_fraud = 0)
+SELECT txn_id, round({" + ".join(f"-ln({_TAIL.format(c)}::DOUBLE)" for c in NUMERIC)}, 6) AS novelty FROM ledger, q""", ("ledger",))
 def model_novelty_scores(spark, sf_dir):
     rows = ledger(spark, sf_dir, ["txn_id", "is_fraud", *NUMERIC])
     return rows.select("txn_id", F.round(models.Novelty(NUMERIC).fit(rows).score(), 6).alias("novelty"))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..sources.tables import EVENT_COLUMNS, SPARK_WORDS, _select, configure, table
+from ..operators import graph
+from ..session import durable
+from ..sources.tables import EVENT_COLUMNS, SPARK_WORDS, _select, configure, payments, table
 from ..streaming import stateful
+from .graphs import ATTACHED, COLS
 from .registry import query
 from .windows import PEER, _velocity_sql
 
@@ -69,3 +72,13 @@ def stream_scored_queue(spark, sf_dir):
     folder = stateful.fresh_folder(spark, "queue")
     stateful.score_batches(event_stream(spark, sf_dir, ["txn_id", "amount"]), folder, lambda b: b.select("txn_id", (F.col("amount") / 500).alias("score")))
     return stateful.upserted(spark, folder, ["txn_id"], "score").select("txn_id", "score")
+
+
+@query("stream_nightly_snapshot", ATTACHED, ("payments",))
+def stream_nightly_snapshot(spark, sf_dir):
+    """A day's payments meet the snapshot of the night before: the account graph is a static table beside the stream."""
+    folder = stateful.fresh_folder(spark, "snapshot")
+    nightly = durable(graph.degrees(graph.snapshot_edges(payments(spark, sf_dir, COLS))))
+    served = graph.attach(event_stream(spark, sf_dir, COLS), nightly)
+    stateful.drain(served.select("txn_id", "g_payee_in_degree", "g_payee_unique_in", "g_payer_out_degree"), folder)
+    return spark.read.parquet(f"{folder}/out")
