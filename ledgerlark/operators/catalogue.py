@@ -87,3 +87,22 @@ def derived_column(df: DataFrame, text: str, name: str) -> DataFrame:
     if not spread["n"] or not spread["s"]:
         raise ValueError("the column has no finite values or never changes")
     return out
+
+
+def top_risk(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """The entries with the greatest risk, ties by key, and their place."""
+    risk = sum((F.col(c) * w for c, w in RISK.items()), F.lit(0.0)) / 5.0
+    first = df.select(key, F.round(risk, 9).alias("risk")).orderBy(F.desc("risk"), key).limit(limit)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("risk"), key)).cast("long"))  # over ``limit`` rows
+
+
+def campaign_profit(df: DataFrame, cut: float, costs: dict[str, int], converts: int) -> DataFrame:
+    """Per campaign, in hundredths: value at risk, the converted share of it, what of that is extracted below the cut, cost items, profit, return."""
+    share = lambda c: F.floor(F.col(c) * converts / F.lit(100.0)).cast("long")
+    c = df.groupBy("campaign_id").agg(
+        F.sum("cents").alias("at_risk"), F.sum(F.when(F.col("score") < cut, F.col("cents")).otherwise(0)).alias("_passed"), (F.count(F.lit(1)) * costs["payment"]).alias("payment_cost"),
+        (F.count_distinct("payee") * costs["account"]).alias("account_cost"), (F.count_distinct("device_id") * costs["device"]).alias("device_cost"))
+    t = c.select("*", share("at_risk").alias("converted"), share("_passed").alias("extracted"), (F.col("payment_cost") + F.col("account_cost") + F.col("device_cost")).alias("cost"))
+    profit = F.col("extracted") - F.col("cost")
+    return t.select("campaign_id", "at_risk", "converted", "extracted", "payment_cost", "account_cost", "device_cost", "cost", profit.alias("profit"),
+                    F.round(F.try_divide(profit, F.col("cost")), 6).alias("roi"))

@@ -167,3 +167,26 @@ def verdict_accuracy(verdicts: DataFrame, group: str, guess: str, truth: str) ->
     """Share of right guesses, and of positive ones, per group."""
     right = (F.col(guess) == F.col(truth)).cast("double")
     return verdicts.groupBy(group).agg(F.count(F.lit(1)).alias("judged"), F.avg(right).alias("accuracy"), F.avg(guess).alias("guessed_share"))
+
+
+#: Classes of a scored, labelled payment that a page may be narrowed to.
+DECISIONS = {"alert": "score >= {cut}", "approve": "score < {cut}", "fraud": "is_fraud = 1", "missed": "is_fraud = 1 AND score < {cut}", "false_positive": "is_fraud = 0 AND score >= {cut}"}
+
+
+def decision_class(name: str, cut: float):
+    """The condition of one class of ``DECISIONS``; an unknown name is an error."""
+    return F.expr(DECISIONS[name].format(cut=cut))
+
+
+def page(rows: DataFrame, key: str, limit: int, after=None) -> DataFrame:
+    """The ``limit`` rows behind the key ``after``, with ``total`` of all rows and the ``next_cursor``, NULL on the last page.
+
+    The page starts at a key and not at a count, so that no page before it is sorted again; Spark keeps ``limit`` rows per task.
+    """
+    behind = rows if after is None else rows.where(F.col(key) > F.lit(after))
+    first = behind.orderBy(key).limit(limit)
+    ends = first.agg(F.max(key).alias("_end"), F.count(F.lit(1)).alias("_n"))
+    left = behind.agg(F.count(F.lit(1)).alias("_left"))
+    known = attach_totals(attach_totals(ends, left, []), rows.agg(F.count(F.lit(1)).alias("total")), [])
+    cursor = F.when(F.col("_left") > F.col("_n"), F.col("_end"))
+    return attach_totals(first, known.select("total", cursor.alias("next_cursor")), []).select(*rows.columns, "total", "next_cursor")
