@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
+from ..session import durable
 from . import curve
 from .evaluate import long_numeric
 from .ordered import attach_totals, exact_quantiles, ordered_history, wide_quantiles
@@ -179,6 +180,37 @@ def rule_candidates(scored: DataFrame, columns: Sequence[str], cut: float) -> Da
     return out.withColumn("worth", F.col("hit") - 25 * F.col("noise")).withColumn("accepted", fx.flag((F.col("noise") <= 0.005) & (F.col("worth") > 0)))
 
 
+def mine_rule(scored: DataFrame, columns: Sequence[str], cut: float, conditions: int = 2, min_missed: int = 8) -> DataFrame:
+    """``place, column, op, value, missed, hit, noise, worth, accepted``: a rule on missed fraud of at most ``conditions`` conditions.
+
+    Candidates cut each column at the quartiles of missed fraud. One aggregate tries all of them behind the conditions chosen so
+    far; the one with the most ``hit - 25 * noise`` is added if the rule gains by it, ties by column, then operator. Only that
+    aggregate's row and two numbers per column reach the driver. Fewer than ``min_missed`` missed frauds give no rule.
+    """
+    missed = fx.flag((F.col("is_fraud") == 1) & (F.col("score") < cut))
+    rows = durable(scored.select(missed.alias("_missed"), (1 - F.col("is_fraud")).alias("_legit"), *[F.col(c).cast("double").alias(c) for c in columns]))
+    long = long_numeric(rows.where("_missed = 1"), list(columns), []).where("value IS NOT NULL")
+    cuts = exact_quantiles(long, ["column"], "value", [0.25, 0.75]).collect()
+    tried = sorted((r["column"], "<=" if r["p"] == 0.25 else ">=", r["q"]) for r in cuts)
+    fires = lambda c, op, at: F.coalesce(F.col(c) <= at if op == "<=" else F.col(c) >= at, F.lit(False))
+    so_far, found = F.lit(True), []
+    for place in range(1, conditions + 1 if tried else 1):
+        both = [so_far & fires(*t) for t in tried]
+        sums = rows.agg(F.sum("_missed"), F.sum("_legit"), *[F.sum(F.when(b, F.col(side))) for b in both for side in ("_missed", "_legit")]).first()
+        n, legit, counts = sums[0], sums[1], [k or 0 for k in sums[2:]]
+        if n < min_missed:
+            break
+        rates = [(counts[2 * i] / n, counts[2 * i + 1] / max(legit, 1)) for i in range(len(tried))]
+        best = max(range(len(tried)), key=lambda i: (rates[i][0] - 25 * rates[i][1], -i))
+        hit, noise = rates[best]
+        worth = hit - 25 * noise
+        if found and worth <= found[-1][7]:
+            break
+        found.append((place, *tried[best], n, hit, noise, worth, int(noise <= 0.005 and worth > 0)))
+        so_far = so_far & fires(*tried[best])
+    return scored.sparkSession.createDataFrame(found, "place long, column string, op string, value double, missed long, hit double, noise double, worth double, accepted long")
+
+
 def counterfactual_trials(alerts: DataFrame, legitimate: DataFrame, key: str, fields: dict = FIELDS) -> DataFrame:
     """One row per (alert, field, benign value) in the direction that lowers risk.
 

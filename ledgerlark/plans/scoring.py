@@ -8,9 +8,10 @@ from ..functions import scalar as fx
 from ..operators import controls, curve, evaluate, features, models, relate
 from ..operators.ordered import attach_totals
 from ..session import durable
-from ..sources.tables import ledger, table
+from ..sources.tables import LINE_COLUMNS, ledger, table
 from .evaluation import NUMERIC
 from .registry import query
+from .windows import ROW_SQL
 
 #: What the registered fits read: the message columns of the strongest single features, and those a counterfactual may change.
 #: Fits over all message columns take MLlib many minutes on one machine.
@@ -111,6 +112,29 @@ def model_rule_candidates(spark, sf_dir):
     return found.withColumn("value", F.round("value", 6)).withColumn("worth", F.round("worth", 9))
 
 
+_MINED = ["f_log_amount", "f_log_payee_added_minutes", "f_cop_shortfall", "f_coercion_signal_count", "f_keystroke_cv_deviation", "f_no_human_telemetry", "f_auth_weak_for_amount",
+          "f_irrevocable_and_new_payee", "f_amount_near_threshold", "f_payee_added_recently", "f_intent_unverified", "f_intent_amount_drift", "f_agent_untrusted_per_tool_call",
+          "f_agent_unregistered", "f_agent_stale_intent", "f_agent_token_reused", "f_agent_new_merchant", "f_amount_is_round_100", "f_amount_is_round_1000"]
+_MINE = """h{n} AS (SELECT col, op, max(edge) AS value, sum(missed * hits)::BIGINT AS a, sum((1 - is_fraud) * hits)::BIGINT AS b FROM (SELECT *, CASE WHEN (op = '<=' AND v <= edge) OR (op = '>=' AND v >= edge) THEN 1 ELSE 0 END AS hits
+ FROM long JOIN cand USING (col) {behind}) GROUP BY 1, 2),
+w{n} AS (SELECT {n} AS place, col, op, value, n AS missed, a / n::DOUBLE AS hit, b / m::DOUBLE AS noise, a / n::DOUBLE - 25 * (b / m::DOUBLE) AS worth FROM h{n}, size ORDER BY worth DESC, col, op LIMIT 1)"""
+
+
+@query("model_mined_rule", f"""WITH {ROW_SQL}, x AS (SELECT row_f.*, is_fraud, CASE WHEN is_fraud = 1 AND score < 0.88 THEN 1 ELSE 0 END AS missed FROM ledger JOIN row_f USING (txn_id)
+ WHERE ts_s >= (SELECT max(ts_s) FROM ledger) - 900 * 86400 AND ts_s < (SELECT max(ts_s) FROM ledger) - 600 * 86400),
+long AS ({" UNION ALL ".join(f"SELECT txn_id, is_fraud, missed, '{c}' AS col, {c}::DOUBLE AS v FROM x" for c in _MINED)}), size AS (SELECT sum(missed) AS n, sum(1 - is_fraud) AS m FROM x),
+cand AS (SELECT col, '<=' AS op, quantile_cont(v, 0.25) AS edge FROM long WHERE missed = 1 GROUP BY 1 UNION ALL SELECT col, '>=', quantile_cont(v, 0.75) AS edge FROM long WHERE missed = 1 GROUP BY 1),
+{_MINE.format(n=1, behind="")}, kept AS (SELECT txn_id FROM long JOIN w1 USING (col) WHERE (op = '<=' AND v <= value) OR (op = '>=' AND v >= value)),
+{_MINE.format(n=2, behind="WHERE txn_id IN (SELECT txn_id FROM kept)")}
+SELECT place, col AS "column", op, round(value, 6) AS value, missed, hit, noise, round(worth, 9) AS worth, CASE WHEN noise <= 0.005 AND worth > 0 THEN 1 ELSE 0 END AS accepted
+FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 WHERE worth > (SELECT worth FROM w1)) WHERE missed >= 8""", ("ledger",))
+def model_mined_rule(spark, sf_dir):
+    """Two conditions at most, mined on the calibration slice over the row features."""
+    rows = relate.temporal_split(features.row_features(ledger(spark, sf_dir, LINE_COLUMNS)), test_days=600, calibration_days=300).where("split = 'calibration'")
+    found = models.mine_rule(rows, _MINED, 0.88)
+    return found.withColumn("value", F.round("value", 6)).withColumn("worth", F.round("worth", 9))
+
+
 @query("model_counterfactuals")
 def model_counterfactuals(spark, sf_dir):
     train, cal, test = _split(spark, sf_dir, False)
