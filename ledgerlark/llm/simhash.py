@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -12,43 +12,72 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, components, document_key, durable, pieces, text_hash, unused
 
-#: Words in a shingle, hash seed, and differing bits that still link.
-SHINGLE, SEED, RADIUS = 3, 42, 2
+#: op5's contract: words in a shingle, hash seed, differing bits that still link, and blocks that the 64 bits are cut into.
+SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 2, 4
+#: The same of a stage without a contract, and the Jaccard similarity that two documents need.
+NEAR_SHINGLE, NEAR_RADIUS, NEAR_BLOCKS, SIMILARITY = 5, 10, 12, 0.8
 #: Most fingerprints in one tree, and most asked of it in one task.
 TREE = 2048
+#: Most documents, and about the most bytes of text, in one part of a group whose similarities are worked out.
+PART, PART_BYTES = 512, 16 << 20
 
 
-def fingerprint(data: bytes) -> int:
-    """64 bits: a bit is set if it is set in over half of the shingles' hashes. No words: zero."""
+def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """One hash a shingle, in order; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     words = data.lower().split()  # bytes.lower() changes A-Z only
-    if not words:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(words) < SHINGLE:
-        h = [digest(b" ".join(words), SEED)]
+    if len(words) < shingle:
+        h = [digest(b" ".join(words), SEED)] if words else []
     else:
-        h = [digest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(SHINGLE)), strict=False)]
-    packed = np.array(h, "<u8")
+        h = [digest(b" ".join(t), SEED) for t in zip(*(words[i:] for i in range(shingle)), strict=False)]
+    return np.array(h, "<u8")
+
+
+def majority(packed: np.ndarray) -> int:
+    """64 bits: a bit is set if it is set in over half of the hashes. No hashes: zero."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(packed), 1 << 16):
         ones += np.unpackbits(packed[at:at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * ones > len(packed), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(data, shingle))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, t, fp`` for every row of ``docs(doc_id, text)``, with the hash ``t`` of the text; null text counts as empty."""
 
     def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
-                prints = pa.array([fingerprint(d) for d in as_bytes(part.column("text"))], pa.int64())
+                prints = pa.array([fingerprint(d, shingle) for d in as_bytes(part.column("text"))], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("t"), prints], ["doc_id", "t", "fp"])
 
     return docs.select("doc_id", "text", text_hash().alias("t")).mapInArrow(computed, "doc_id long, t long, fp long")
 
 
+def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """``d, t, fp, w, n, size`` for every row: besides the fingerprint a hash ``w`` of the set of shingles, how many it has, and bytes of text."""
+    import xxhash
+
+    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                texts = as_bytes(part.column("text"))
+                rows = []
+                for data in texts:
+                    h = shingle_hashes(data, shingle)
+                    each = np.unique(h)
+                    rows.append((majority(h), xxhash.xxh64_intdigest(each.tobytes(), SEED) - (1 << 63), len(each), len(data)))
+                columns = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
+                yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), *columns], ["d", "t", "fp", "w", "n", "size"])
+
+    return docs.select(document_key().alias("d"), "text", text_hash().alias("t")).mapInArrow(computed, "d long, t long, fp long, w long, n long, size long")
+
+
 class BKTree:
     """Fingerprints, each a child of its parent by their Hamming distance."""
 
@@ -153,6 +182,141 @@ def links(prints: DataFrame) -> DataFrame:
     return units.mapInArrow(_units, "a long, b long")
 
 
+def _pairs(own: np.ndarray, other: np.ndarray | None, radius: int) -> np.ndarray:
+    """Rows ``a, b`` that connect all fingerprints of ``own`` (and ``other``) at most ``radius`` bits apart that meet here."""
+    near = np.bitwise_count(own[:, None] ^ (own if other is None else other)[None, :]) <= radius
+    if other is None:
+        np.fill_diagonal(near, False)
+        other = own
+    i, j = np.nonzero(near)
+    if len(i) > len(own) + len(other):  # a large group: every value with the least one that it reaches, instead of all pairs
+        left, right = np.full(len(own), len(own) + len(other)), np.arange(len(other))
+        while True:
+            np.minimum.at(left, i, right[j])
+            before = right.copy()
+            np.minimum.at(right, j, left[i])
+            if (before == right).all():
+                break
+        met = np.unique(i)
+        return np.concatenate([np.stack([own[met], other[left[met]]], 1), np.stack([other, other[right]], 1)[right != np.arange(len(other))]])
+    return np.stack([own[i], other[j]], 1)
+
+
+def wide_links(prints: DataFrame, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS) -> DataFrame:
+    """Links ``(a, b)`` that connect every two distinct fingerprints at most ``radius`` bits apart.
+
+    Of ``blocks`` blocks at least ``blocks - radius`` are equal in two such fingerprints, so the choices of so many are bucket
+    keys that lose nothing. At a wide radius a BK-tree's edges rule out next to nothing (two fingerprints differ in 32 bits, give
+    or take 4), so a bucket's fingerprints are compared as arrays, ``TREE`` by ``TREE``: a large bucket is many tasks' work. The
+    buckets that are cut are at most as many as there are keys, however large the corpus, and are broadcast.
+    """
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    block = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << hi - lo) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+    width = max(hi - lo for lo, hi in zip(edges, edges[1:], strict=False))
+    keys = []
+    for k, chosen in enumerate(combinations(range(blocks), blocks - radius)):
+        key = F.lit(k).cast("long")
+        for c in chosen:
+            key = F.shiftleft(key, width) + block[c]
+        keys.append(key)
+    keyed = prints.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+    large = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where(f"n > {TREE}").selectExpr("bucket", f"cast(ceil(n / {TREE}) AS int) AS shards")
+    placed = keyed.join(F.broadcast(large), "bucket", "left").withColumn("own", F.coalesce(F.pmod(F.xxhash64("fp"), "shards").cast("int"), F.lit(0)))
+    # unit (i, j) compares shard i with shard j, and (i, i) a shard with itself
+    each = placed.select("bucket", "fp", "own", F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1)).alias("with"))
+    units = each.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") > F.col("with")).alias("right"), "fp")
+    found = units.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "right")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def arrow(rows: np.ndarray) -> pa.RecordBatch:
+            both = np.unique(rows, axis=0).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["a", "b"])
+
+        def solved(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """``rows`` are whole units: bucket, i, j, right, fp."""
+            if not len(rows):
+                return
+            out, starts = [], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(1)) + 1
+            for lo, hi in zip([0, *starts], [*starts, len(rows)], strict=True):
+                unit = rows[lo:hi]
+                fp, split = unit[:, 4].copy().view(np.uint64), int(np.searchsorted(unit[:, 3], 1))
+                if unit[0, 1] == unit[0, 2]:
+                    pairs = _pairs(fp, None, radius) if len(fp) > 1 else []
+                else:
+                    pairs = _pairs(fp[:split], fp[split:], radius)
+                if len(pairs):
+                    out.append(pairs)
+            if out:
+                yield arrow(np.concatenate(out))
+
+        for b in batches:
+            rows = np.stack([np.asarray(b.column(c).cast(pa.int64())) for c in ("bucket", "i", "j", "right", "fp")], 1)
+            held.append(rows)
+            last = rows[-1, :3] if len(rows) else None
+            if last is not None and (held[0][0, :3] != last).any():
+                all_rows = np.concatenate(held)
+                cut = int(np.flatnonzero((all_rows[:, :3] != last).any(1))[-1]) + 1
+                yield from solved(all_rows[:cut])
+                held = [all_rows[cut:]]
+        if held:
+            yield from solved(np.concatenate(held))
+
+    return found.mapInArrow(searched, "a long, b long")
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a forest that connects all sets whose Jaccard similarity is ``similarity`` or more."""
+    parent, out = list(range(len(sets))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
+    for at, y in enumerate(order):
+        for x in reversed(order[:at]):
+            small, large = len(sets[x]), len(sets[y])
+            if small < similarity * large:
+                break
+            if root(x) != root(y):
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if both >= similarity * (small + large - both) - 1e-9:
+                    parent[root(x)] = root(y)
+                    out.append((x, y))
+    return out
+
+
+def similar_sets(docs: DataFrame, shingle: int, radius: int, blocks: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``d, t, w`` for all rows of ``docs``, and ``node, root`` for the shingle sets that are like another.
+
+    Fingerprints at most ``radius`` bits apart make groups of candidates; within one, sets of shingle hashes are compared and
+    only a Jaccard similarity of ``similarity`` or more links. A group is cut into parts of about ``PART`` documents or
+    ``PART_BYTES``, and every two parts meet in a task, so memory does not follow the group.
+    """
+    prints = durable(shingle_sets(docs, shingle))
+    least = int(1 / (1 - similarity) + 1e-9) - 1  # smaller sets are like none but themselves
+    sets = durable(prints.where(F.col("n") >= least).groupBy("w", "fp").agg(F.min(F.struct("d", "t")).alias("first"), F.max("size").alias("size")))
+    found = durable(components(wide_links(sets.select("fp").distinct(), radius, blocks)))
+    groups = durable(sets.join(found, sets.fp == found.node, "left").select("w", "first", "size", F.coalesce("root", "fp").alias("root")))
+    parts = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1").selectExpr(
+        "root", f"cast(ceil(greatest(n / {PART}, size / {PART_BYTES})) AS int) AS parts")
+    asked = groups.join(parts, "root").select("w", F.col("first.d").alias("_d"), F.col("first.t").alias("_t"), "root", F.col("parts"), F.pmod(F.xxhash64("w"), "parts").cast("int").alias("own"))
+    texts = docs.select(document_key().alias("d"), text_hash().alias("t"), "text").join(asked, (F.col("d") == F.col("_d")) & (F.col("t") == F.col("_t"))).dropDuplicates(["w"])
+    each = texts.select("root", "own", "w", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    met = each.select("root", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "w", "text")
+
+    def compared(table: pa.Table) -> pa.Table:
+        sets = [np.unique(shingle_hashes(t, shingle)) for t in as_bytes(table.column("text").combine_chunks())]
+        pairs, w = _similar(sets, similarity), table.column("w").to_pylist()
+        return pa.table({"a": pa.array([w[x] for x, _ in pairs], pa.int64()), "b": pa.array([w[y] for _, y in pairs], pa.int64())})
+
+    return prints, durable(components(met.groupBy("root", "i", "j").applyInArrow(compared, "a long, b long")))
+
+
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of all rows, and ``fp, root``: the component of each distinct one."""
     prints = durable(fingerprints(docs))
@@ -177,15 +341,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, less all but one of each component: that of the smallest id, null last.
+def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each group of near copies: that of the smallest id, null last.
 
-    Of rows that share the id, the one with the smallest text hash stays, and of rows equal in both any one.
+    Two documents are near copies if the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or
+    more and their fingerprints are at most ``radius`` bits apart; equal sets always are. Of rows that share the id, the one with
+    the smallest text hash stays, and of rows equal in both any one.
     """
-    prints, roots = _grouped(docs)
-    d = document_key()
-    first = prints.select(d.alias("d"), "t", "fp").groupBy("fp").agg(F.min(F.struct("d", "t")).alias("first"))
+    prints, roots = similar_sets(docs, shingle, radius, blocks, similarity)
     own = unused(docs, "_d", "_t")
-    kept = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.d").alias(own[0]), F.col("first.t").alias(own[1]))
-    keyed = docs.withColumns(dict(zip(own, (d, text_hash()), strict=True)))
+    first = prints.groupBy("w").agg(F.min(F.struct("d", "t")).alias("first"))
+    joined = first.join(roots, first.w == roots.node, "left").select("first", F.coalesce("root", "w").alias("root"))
+    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.d").alias(own[0]), F.col("first.t").alias(own[1]))
+    keyed = docs.withColumns(dict(zip(own, (document_key(), text_hash()), strict=True)))
     return keyed.join(kept, own, "left_semi").dropDuplicates(own).drop(*own)

@@ -87,6 +87,42 @@ def test_one_document_of_each_group(spark):
     assert [r["text"] for r in kept.where("doc_id IS NULL").collect()] == ["other words stand here"]
 
 
+def test_wide_links_lose_none(spark, monkeypatch):
+    rng = random.Random(6)
+    values = {0, (1 << 64) - 1} | {rng.getrandbits(64) for _ in range(60)}
+    for _ in range(8):
+        centre = rng.getrandbits(64)
+        values |= {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(11))) for _ in range(25)}
+    root = {v: v for v in values}
+    for a, b in combinations(sorted(values), 2):
+        if (a ^ b).bit_count() <= 10 and root[a] != root[b]:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {v: new if r == old else r for v, r in root.items()}
+    want = {frozenset(v for v in root if root[v] == r) for r in root.values()}
+    signed = [(v - (1 << 64) if v >> 63 else v,) for v in values]
+    for most in (2048, 3):
+        monkeypatch.setattr(simhash, "TREE", most)
+        found = {r["node"] % (1 << 64): r["root"] for r in components(simhash.wide_links(spark.createDataFrame(signed, "fp long"))).collect()}
+        assert {frozenset(v for v in found if found[v] == r) for r in found.values()} == {g for g in want if len(g) > 1}
+
+
+def test_copies_with_edited_words_go_and_clean_documents_stay(spark, monkeypatch):
+    rng = random.Random(8)
+    clean = {i: prose(rng, 200, 9000) for i in range(20)}
+    rows = list(clean.items())
+    for i in range(12):
+        words = clean[i].split()
+        for at in rng.sample(range(len(words)), 3):
+            words[at] = "edited"
+        rows.append((100 + i, " ".join(words)))
+    half = clean[15].split()
+    rows.append((200, " ".join(half[:100]) + " " + prose(rng, 100, 9000)))
+    for part in (512, 2):
+        monkeypatch.setattr(simhash, "PART", part)
+        kept = sorted(r["doc_id"] for r in simhash.one_of_each(documents(spark, rows)).collect())
+        assert set(range(20)) | {200} <= set(kept) and len(kept) <= 22
+
+
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(30)], [(0, i) for i in range(1, 40)], [(5, 5)], [(1, 2), (2, 1), (4, 3), (3, 9), (9, 2), (8, 7)], []])
 def test_components(spark, edges):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
