@@ -146,15 +146,19 @@ def model_counterfactuals(spark, sf_dir):
 
 @query("model_text_guard_scores")
 def model_text_guard_scores(spark, sf_dir):
-    """Fitted on the earliest 60% of labelled documents by id; the cut is the score that 1% of the later clean ones exceed."""
+    """Every document's score. Fitted on the earliest 60% of labelled documents by id; the cut is the score that 1% of the later clean ones exceed.
+
+    ``fitted`` marks the documents that the fit has seen.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     known = durable(docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id"))
     edge = known.agg(F.percentile_approx("doc_id", 0.6, 100_000)).first()[0]
-    score = models.fit_text_guard(known.where(F.col("doc_id") <= edge).select("doc_id", "text", "toxic"), "text", "toxic")
-    later = durable(score(docs.where(F.col("doc_id") > edge)))
-    held = later.join(known.select("doc_id", F.col("toxic").alias("is_fraud")), "doc_id")
+    early = known.where(F.col("doc_id") <= edge)
+    scored = durable(models.fit_text_guard(early.select("doc_id", "text", "toxic"), "text", "toxic")(docs).drop("text"))
+    held = scored.join(known.where(F.col("doc_id") > edge).select("doc_id", F.col("toxic").alias("is_fraud")), "doc_id")
     cut = curve.operating_points(curve.score_curve(held, money=None), [0.01]).first()["cut"]
-    return later.select("doc_id", "lang", "score", fx.flag(F.col("score") > cut).alias("flagged"))
+    seen = early.select("doc_id", F.lit(1).alias("seen")).distinct()
+    return scored.join(seen, "doc_id", "left").select("doc_id", "lang", "score", fx.flag(F.col("score") > cut).alias("flagged"), F.coalesce("seen", F.lit(0)).alias("fitted"))
 
 
 @query("text_normalised", r"""SELECT doc_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(text, '[\x{200b}\x{200c}\x{200d}\x{2060}\x{feff}]', '', 'g'), '(?s)<!--(.*?)-->', ' \1 ', 'g'), '\s+', ' ', 'g'))) AS clean FROM documents""")
