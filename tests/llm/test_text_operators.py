@@ -163,3 +163,14 @@ def test_empty_tables(spark):
     none = documents(spark, [])
     for out in (quality.quality_signals(none), quality.passing(none), tokens.token_counts(none, PATH), substrings.removal_digest(none), substrings.without_repeats(none), lm.lm_scores(none)):
         assert out.count() == 0
+
+
+def test_the_registered_language_model_counts_trigrams(spark, tmp_path):
+    from ledgerlark.llm import queries
+
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 80, 12)) for i in range(12)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    key = lambda df: sorted((r.doc_id, round(r.log_score, 9), r.n_found) for r in df.collect())
+    got = key(queries.QUERIES["op10_lm_scoring"](spark, str(tmp_path)))
+    assert got == key(lm.lm_scores(documents(spark, rows), 3)) != key(lm.lm_scores(documents(spark, rows), 2))
