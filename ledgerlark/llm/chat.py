@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]  # role, text
 Template = Callable[[list[Turn]], str]
 
-#: Earlier turns that are rendered again with each new one. Up to so many turns a conversation is rendered whole each time.
+#: Earlier turns that are rendered again with each new one. Up to so many turns a conversation is rendered whole each time; a longer
+#: one is rendered whole at each doubling and at its end.
 CONTEXT = 64
 
 #: Control strings of the instruction template (fixed values).
@@ -68,13 +69,50 @@ def turn_span(template: Template, earlier: list[Turn], turn: Turn) -> tuple[str,
     return out, start, start + len(out) - len(empty)
 
 
+def rendered(template: Template, turns: Iterator[tuple], context: int) -> Iterator[tuple]:
+    """``row, piece, start, stop`` for each of one conversation's ``turns``, rows that end in role and text.
+
+    A turn is rendered behind the ``context`` turns before it. When the turns have doubled, and behind the last one, the whole
+    prefix is rendered and compared with a running digest of the pieces, before those since the last time are given out. Where the
+    two differ, the pieces depend on turns further back: they are taken again, and all later ones, behind the whole prefix, which
+    raises :class:`RewritesHistory` if the template rewrites it.
+    """
+    whole: list[Turn] = []
+    waiting: list[tuple] = []
+    digest, check, exact = hashlib.sha256(_bytes(template([]))), 2 * context, False
+
+    def settled() -> list[tuple]:
+        nonlocal digest, waiting, exact
+        before, out = digest.copy(), waiting
+        for _, piece, *_ in out:
+            digest.update(_bytes(piece))
+        if len(whole) > context and not exact and digest.digest() != hashlib.sha256(_bytes(template(whole))).digest():
+            exact, digest, first = True, before, len(whole) - len(out)
+            out = [(row, *turn_span(template, whole[:first + i], whole[first + i])) for i, (row, *_) in enumerate(out)]
+            for _, piece, *_ in out:
+                digest.update(_bytes(piece))
+        waiting = []
+        return out
+
+    for row in turns:
+        turn = (row[-2], row[-1])
+        waiting.append((row, *turn_span(template, whole if exact else whole[max(0, len(whole) - context):], turn)))
+        whole.append(turn)
+        if len(whole) == check:
+            check *= 2
+            yield from settled()
+    yield from settled()
+
+
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
 def _row(conv_id, turns: Iterator[Turn], template: Template, restore: Callable[[str], str], context: int) -> tuple:
-    """One conversation's digest, all of it read back from the output; at most ``context`` turns are held."""
-    held: list[Turn] = []
+    """One conversation's digest, all of it read back from the output."""
     whole, loss = hashlib.sha256(), hashlib.sha256()
     n = loss_chars = formatted = 0
-    for role, text in turns:
-        out, start, stop = turn_span(template, held, (role, text))
+    for (role, text), out, start, stop in rendered(template, turns, context):
         read_role, read_text = role_of(out), restore(out[start:stop])
         if (read_role, read_text) != (role, text):
             raise ValueError(f"conversation {conv_id}, turn {n}: the output does not give the turn back")
@@ -84,7 +122,6 @@ def _row(conv_id, turns: Iterator[Turn], template: Template, restore: Callable[[
             loss_chars += len(read_text)
         formatted += len(out)
         n += 1
-        held = [*held, (role, text)][-context:]
     return conv_id, n, whole.hexdigest(), loss_chars, loss.hexdigest(), formatted
 
 
@@ -103,11 +140,9 @@ def spans(turns: DataFrame, template: Template = instruction_template, context:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, rows in groupby(_rows(batches), key=lambda r: r[0]):
-            held, out = [], []
-            for _, turn, role, text in rows:
-                part, start, stop = turn_span(template, held, (role, text))
+            out = []
+            for (_, turn, role, _), part, start, stop in rendered(template, rows, context):
                 out.append((key, turn, role, part, start, stop, role == "assistant"))
-                held = [*held, (role, text)][-context:]
                 if len(out) == 1000:
                     yield _batch(out, SPANS)
                     out = []
@@ -141,8 +176,8 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def format_digest(turns: DataFrame, template: Template = instruction_template, restore: Callable[[str], str] = unescape, context: int = CONTEXT) -> DataFrame:
     """One row per conversation of ``turns(conv_id, turn, role, text)``: digests of what the formatted output gives back.
 
-    Conversations meet by id, sorted by turn, then role and text, and stream through a task that holds ``context`` turns of
-    one at a time; a conversation of any length is digested turn by turn. Null roles and texts are empty; a null turn comes
+    Conversations meet by id, sorted by turn, then role and text, and go through a task that holds one at a time; work is linear
+    in its length, see :func:`rendered`. Null roles and texts are empty; a null turn comes
     first; a null id is a conversation of its own; repeated rows are turns of their own. An empty table gives no rows. A text
     that a template does not give back, or a template that rewrites history, raises. Other columns are not looked at.
     """

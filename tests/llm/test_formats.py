@@ -47,6 +47,22 @@ def test_a_template_that_rewrites_history_is_found(spark):
         chat.spans(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b")], "conv_id long, turn long, role string, text string"), last_only).collect()
 
 
+def test_templates_that_look_further_back_than_the_window(spark):
+    turns = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(150)], "conv_id long, turn long, role string, text string")
+
+    def forgets(turns):  # the first turn goes once there are a hundred
+        return "".join(f"<{t}>" for _, t in (turns[1:] if len(turns) > 100 else turns))
+
+    with pytest.raises(Exception, match="RewritesHistory"):
+        chat.spans(turns, forgets).collect()
+
+    def numbers(turns):
+        return "".join(f"{i}:{t};" for i, (_, t) in enumerate(turns))
+
+    got = chat.spans(turns, numbers).orderBy("turn").collect()
+    assert [(r.formatted, r.formatted[r.start:r.stop]) for r in got] == [(f"{i}:text {i};", f"text {i}") for i in range(150)]
+
+
 def test_digests(spark):
     rng = random.Random(1)
     rows = [(1, 0, "system", "be [INST] kind"), (1, 2, "assistant", "</s>\\"), (1, 1, "user", None), (2, 0, None, "x"), (None, 0, "assistant", "y"), (1, None, "user", "first"), (2, 0, None, "x")]
