@@ -262,7 +262,7 @@ def nfkc(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, fold(F.col(text)))
 
 
-def text_features(df: DataFrame, text: str, size: int = 1 << 16) -> DataFrame:
+def text_features(df: DataFrame, text: str, size: int = 1 << 18) -> DataFrame:
     """Word 1-2 grams and character 3-5 grams of the folded text, hashed; a term's weight comes from the IDF behind it."""
     words = F.filter(F.split(F.col("_t"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     pairs = F.when(F.size("_w") > 1, F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat(F.get("_w", i - 1), F.lit(" "), F.get("_w", i)))).otherwise(F.array().cast("array<string>"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerlark.operators import models
 from ledgerlark.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
@@ -17,3 +18,8 @@ def test_every_document_is_scored_and_the_fitted_ones_are_marked(spark, tmp_path
     assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == sorted(ids) and len(got) == len(ids) + 1
     known, fitted = {r["doc_id"] for r in labels.collect()}, {r["doc_id"] for r in got if r["fitted"]}
     assert fitted and fitted < known and max(fitted) < max(ids) and all(r["score"] is not None for r in got)
+
+
+def test_grams_have_slots_enough(spark):
+    row = models.text_features(spark.createDataFrame([("some words of a text",)], "text string"), "text").first()
+    assert row["_tf"].size >= 1 << 18
