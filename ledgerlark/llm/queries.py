@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lm, mixing, quality, simhash, substrings, tokens, urls, warc
+from . import chat, codes, decontaminate, licenses, lm, manifest, mixing, quality, simhash, substrings, tokens, urls, warc
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,111 @@ def _(spark, sf_dir):
 @_query("op10_lm_scoring")
 def _(spark, sf_dir):
     return lm.lm_scores(documents(spark, sf_dir))
+
+
+_NOTICES = ", ".join("('{}', '{}')".format(label, text.replace("'", "''")) for label, text in licenses.NOTICES)
+_WORDS = r"regexp_extract_all(lower({}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLACES = " UNION ALL ".join(
+    "SELECT r, i - 1 AS i, '{}' AS label FROM spots WHERE {}".format(label, " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split())))
+    for phrase, label in licenses.PHRASES.items())
+
+
+@_query("op11_license_scans", f"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.replace("lower({})", _LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+spots AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+places AS ({_PLACES}),
+base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY r),
+notices AS (SELECT row_number() OVER () AS t, label, list_distinct({_WORDS.format("notice")}) AS s, len({_WORDS.format("notice")}) AS n FROM (VALUES {_NOTICES}) v(label, notice)),
+templates AS (SELECT t, label, s, len(s) AS size, CAST(ceil({licenses.THRESHOLD} * len(s) - 1e-9) AS BIGINT) AS needed, (SELECT min(x) FROM unnest({list(licenses.WIDTHS)}) u(x) WHERE x >= n) AS width FROM notices),
+vocabulary AS (SELECT DISTINCT unnest(s) AS word FROM templates),
+hits AS (SELECT DISTINCT r, (i - 1) AS i, word FROM (SELECT r, i, w[i] AS word FROM spots) a SEMI JOIN vocabulary v ON a.word = v.word),
+blocks AS (SELECT DISTINCT r, width, (i // width) - d AS k, word FROM hits, (SELECT DISTINCT width FROM templates) x, (VALUES (0), (1)) y(d) WHERE (i // width) - d >= 0),
+each AS (SELECT t, unnest(s) AS word FROM templates),
+met AS (SELECT b.r, b.width, b.k, p.t, any_value(p.label) AS label, any_value(p.size) AS size, count(*) AS n FROM blocks b JOIN each e ON b.word = e.word JOIN templates p ON p.t = e.t AND p.width = b.width
+  GROUP BY b.r, b.width, b.k, p.t HAVING count(*) >= any_value(p.needed)),
+above AS (SELECT a.t, b.t AS u FROM templates a JOIN templates b ON len(a.s) < len(b.s) AND len(list_intersect(a.s, b.s)) = len(a.s)),
+kept AS (SELECT * FROM met m WHERE NOT EXISTS (SELECT 1 FROM above JOIN met o ON o.t = above.u WHERE above.t = m.t AND o.r = m.r AND o.width = m.width AND o.k = m.k)),
+named AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM kept UNION ALL SELECT r, label FROM places) GROUP BY r),
+scored AS (SELECT r, max(n / size) AS score FROM kept GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(score, 0)::DOUBLE END AS score
+FROM words LEFT JOIN base ON words.r = base.r LEFT JOIN named ON words.r = named.r LEFT JOIN scored ON words.r = scored.r""")
+def _(spark, sf_dir):
+    return licenses.license_scan(documents(spark, sf_dir)).drop("blocks")
+
+
+#: Levels that the SQL of the manifest unrolls: 3 ** 12 documents a source.
+_DEPTH = 12
+_FRAME = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = " || ".join(_FRAME.format(c) for c in manifest.FIELDS)
+_TAMPERED = " || ".join(_FRAME.format("(CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END)" if c == "text" else c) for c in manifest.FIELDS)
+_CRC = ("xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), "
+        "lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)")
+
+
+def _levels(name: str, group: str) -> str:
+    """SQL of ``name0`` to ``nameN``, each level of a tree from the one below, and of the siblings that each leaf meets."""
+    out = []
+    for k in range(1, _DEPTH + 1):
+        out.append(f"{name}{k} AS (SELECT {group}, i // 3 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, "
+                   f"CAST(ceil(any_value(n) / 3) AS BIGINT) AS n FROM {name}{k - 1} GROUP BY {group}, i // 3)")
+        out.append(f"{name}p{k} AS (SELECT a.{group}, a.i, a.n > 1 AS hashed, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS l, "
+                   f"coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS r FROM {name}{k - 1} a JOIN {name}{k - 1} b ON a.{group} = b.{group} AND a.i // 3 = b.i // 3 "
+                   f"GROUP BY a.{group}, a.i, a.n)")
+    return ",\n".join(out)
+
+
+def _fold(name: str, group: str, start: str, from_table: str) -> tuple[str, str]:
+    """SQL that folds ``from_table`` up the levels of ``name``, gathering siblings; and the name of the last step."""
+    out, before = [], from_table
+    for k in range(1, _DEPTH + 1):
+        now = f"{name}f{k}"
+        out.append(f"{now} AS (SELECT f.* EXCLUDE ({start}, i, folded, proof), f.{start}, f.i // 3 AS i, CASE WHEN p.hashed THEN sha256(p.l || f.folded || p.r) ELSE f.folded END AS folded, f.proof || p.l || p.r AS proof "
+                   f"FROM {before} f JOIN {name}p{k} p ON f.{start} = p.{group} AND f.i = p.i)")
+        before = now
+    return ",\n".join(out), before
+
+
+_LOW, _LOW_END = _fold("s", "g", "g", "s00")
+_HIGH, _HIGH_END = _fold("t", "g", "top", "t00")
+
+
+@_query("op12_merkle_manifest", f"""
+WITH given AS (SELECT *, {_CRC} AS crc, coalesce('=' || source, '') AS g FROM documents),
+hashed AS (SELECT doc_id, g, sha256({_LEAF}) AS h, sha256({_TAMPERED}) AS changed FROM given),
+s0 AS (SELECT doc_id, g, changed, h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+{_levels("s", "g")},
+t0 AS (SELECT 0 AS g, g AS source, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM s{_DEPTH}),
+{_levels("t", "g")},
+s00 AS (SELECT doc_id, g, h AS leaf, i, changed AS folded, '' AS proof FROM s0),
+{_LOW},
+t00 AS (SELECT f.doc_id, f.leaf, t.h AS subroot, 0 AS top, t.i, f.folded, f.proof FROM {_LOW_END} f JOIN t0 t ON f.g = t.source),
+{_HIGH}
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified FROM {_HIGH_END} CROSS JOIN (SELECT h FROM t{_DEPTH})""")
+def _(spark, sf_dir):
+    return manifest.proof_digest(documents(spark, sf_dir))
+
+
+_PART = "[p * width + 1 : p * width + width]"
+_ASSIGN = """{0} AS (SELECT i, p, v, e, d FROM (SELECT a.i, a.p, a.v, b.e, list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+  FROM parts a JOIN {1} b ON a.p = b.p) QUALIFY row_number() OVER (PARTITION BY i, p ORDER BY d, e) = 1)"""
+_MEANS = """{1} AS (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM {2} b LEFT JOIN (SELECT p, e, list(mean ORDER BY c) AS v FROM
+  (SELECT p, e, c, floor(sum(v[c]) / count(*))::BIGINT AS mean FROM (SELECT p, e, v, unnest(range(1, len(v) + 1)) AS c FROM {0}) GROUP BY p, e, c) GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)"""
+
+
+@_query("op13_vector_codes", f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS i, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v, len(embedding) // 16 AS width
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS (SELECT i, p, v{_PART} AS v FROM kept, (SELECT unnest(range(16)) AS p)),
+b0 AS (SELECT p, i - 1 AS e, v FROM parts WHERE i <= 64),
+{_ASSIGN.format("a1", "b0")},
+{_MEANS.format("a1", "b1", "b0")},
+{_ASSIGN.format("a2", "b1")},
+{_MEANS.format("a2", "b2", "b1")},
+{_ASSIGN.format("a3", "b2")},
+codes AS (SELECT i, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a3 GROUP BY i),
+said AS (SELECT string_agg(array_to_string(v, ','), ',' ORDER BY p, e) AS text FROM b2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha256(text) AS codebooks_sha256 FROM kept JOIN codes ON kept.i = codes.i CROSS JOIN said""")
+def _(spark, sf_dir):
+    return codes.code_digest(table(spark, sf_dir, "embeddings"))
