@@ -10,16 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, document_key, durable, pieces, text_hash, unused
+from .common import as_bytes, components, durable, pieces, text_hash
 
 #: op5's contract: words in a shingle, hash seed, differing bits that still link, and blocks that the 64 bits are cut into.
 SHINGLE, SEED, RADIUS, BLOCKS = 3, 42, 2, 4
-#: The same of a stage without a contract, and the Jaccard similarity that two documents need.
-NEAR_SHINGLE, NEAR_RADIUS, NEAR_BLOCKS, SIMILARITY = 5, 10, 12, 0.8
+#: The same for wide links.
+NEAR_RADIUS, NEAR_BLOCKS = 10, 12
 #: Most fingerprints in one tree, and most asked of it in one task.
 TREE = 2048
-#: Most documents, and about the most bytes of text, in one part of a group whose similarities are worked out.
-PART, PART_BYTES = 512, 16 << 20
 
 
 def shingle_hashes(data: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -59,25 +57,6 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", "text", text_hash().alias("t")).mapInArrow(computed, "doc_id long, t long, fp long")
 
 
-def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """``d, t, fp, w, n, size`` for every row: besides the fingerprint a hash ``w`` of the set of shingles, how many it has, and bytes of text."""
-    import xxhash
-
-    def computed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in pieces(batch):
-                texts = as_bytes(part.column("text"))
-                rows = []
-                for data in texts:
-                    h = shingle_hashes(data, shingle)
-                    each = np.unique(h)
-                    rows.append((majority(h), xxhash.xxh64_intdigest(each.tobytes(), SEED) - (1 << 63), len(each), len(data)))
-                columns = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4
-                yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), *columns], ["d", "t", "fp", "w", "n", "size"])
-
-    return docs.select(document_key().alias("d"), "text", text_hash().alias("t")).mapInArrow(computed, "d long, t long, fp long, w long, n long, size long")
-
-
 class BKTree:
     """Fingerprints, each a child of its parent by their Hamming distance."""
 
@@ -266,57 +245,6 @@ def wide_links(prints: DataFrame, radius: int = NEAR_RADIUS, blocks: int = NEAR_
     return found.mapInArrow(searched, "a long, b long")
 
 
-def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of a forest that connects all sets whose Jaccard similarity is ``similarity`` or more."""
-    parent, out = list(range(len(sets))), []
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
-    for at, y in enumerate(order):
-        for x in reversed(order[:at]):
-            small, large = len(sets[x]), len(sets[y])
-            if small < similarity * large:
-                break
-            if root(x) != root(y):
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if both >= similarity * (small + large - both) - 1e-9:
-                    parent[root(x)] = root(y)
-                    out.append((x, y))
-    return out
-
-
-def similar_sets(docs: DataFrame, shingle: int, radius: int, blocks: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """``d, t, w`` for all rows of ``docs``, and ``node, root`` for the shingle sets that are like another.
-
-    Fingerprints at most ``radius`` bits apart make groups of candidates; within one, sets of shingle hashes are compared and
-    only a Jaccard similarity of ``similarity`` or more links. A group is cut into parts of about ``PART`` documents or
-    ``PART_BYTES``, and every two parts meet in a task, so memory does not follow the group.
-    """
-    prints = durable(shingle_sets(docs, shingle))
-    least = int(1 / (1 - similarity) + 1e-9) - 1  # smaller sets are like none but themselves
-    sets = durable(prints.where(F.col("n") >= least).groupBy("w", "fp").agg(F.min(F.struct("d", "t")).alias("first"), F.max("size").alias("size")))
-    found = durable(components(wide_links(sets.select("fp").distinct(), radius, blocks)))
-    groups = durable(sets.join(found, sets.fp == found.node, "left").select("w", "first", "size", F.coalesce("root", "fp").alias("root")))
-    parts = groups.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size")).where("n > 1").selectExpr(
-        "root", f"cast(ceil(greatest(n / {PART}, size / {PART_BYTES})) AS int) AS parts")
-    asked = groups.join(parts, "root").select("w", F.col("first.d").alias("_d"), F.col("first.t").alias("_t"), "root", F.col("parts"), F.pmod(F.xxhash64("w"), "parts").cast("int").alias("own"))
-    texts = docs.select(document_key().alias("d"), text_hash().alias("t"), "text").join(asked, (F.col("d") == F.col("_d")) & (F.col("t") == F.col("_t"))).dropDuplicates(["w"])
-    each = texts.select("root", "own", "w", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
-    met = each.select("root", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "w", "text")
-
-    def compared(table: pa.Table) -> pa.Table:
-        sets = [np.unique(shingle_hashes(t, shingle)) for t in as_bytes(table.column("text").combine_chunks())]
-        pairs, w = _similar(sets, similarity), table.column("w").to_pylist()
-        return pa.table({"a": pa.array([w[x] for x, _ in pairs], pa.int64()), "b": pa.array([w[y] for _, y in pairs], pa.int64())})
-
-    return prints, durable(components(met.groupBy("root", "i", "j").applyInArrow(compared, "a long, b long")))
-
-
 def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fingerprints of all rows, and ``fp, root``: the component of each distinct one."""
     prints = durable(fingerprints(docs))
@@ -339,19 +267,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, shingle: int = NEAR_SHINGLE, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, less all but one of each group of near copies: that of the smallest id, null last.
-
-    Two documents are near copies if the sets of their ``shingle``-word shingles have a Jaccard similarity of ``similarity`` or
-    more and their fingerprints are at most ``radius`` bits apart; equal sets always are. Of rows that share the id, the one with
-    the smallest text hash stays, and of rows equal in both any one.
-    """
-    prints, roots = similar_sets(docs, shingle, radius, blocks, similarity)
-    own = unused(docs, "_d", "_t")
-    first = prints.groupBy("w").agg(F.min(F.struct("d", "t")).alias("first"))
-    joined = first.join(roots, first.w == roots.node, "left").select("first", F.coalesce("root", "w").alias("root"))
-    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.d").alias(own[0]), F.col("first.t").alias(own[1]))
-    keyed = docs.withColumns(dict(zip(own, (document_key(), text_hash()), strict=True)))
-    return keyed.join(kept, own, "left_semi").dropDuplicates(own).drop(*own)

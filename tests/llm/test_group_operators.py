@@ -79,14 +79,6 @@ def test_tree_search():
         assert sorted(tree.within(q, 2)) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= 2]
 
 
-def test_one_document_of_each_group(spark):
-    docs = documents(spark, [(3, "a b c d"), (2, "A b\nc d"), (2, "A b\nc d"), (None, "a b c d"), (None, "other words stand here"), (None, "other words stand here"), (9, "not like the rest of them")])
-    kept = simhash.one_of_each(docs)
-    assert kept.columns == docs.columns
-    assert sorted((r["doc_id"], r["text"]) for r in kept.where("doc_id IS NOT NULL").collect()) == [(2, "A b\nc d"), (9, "not like the rest of them")]
-    assert [r["text"] for r in kept.where("doc_id IS NULL").collect()] == ["other words stand here"]
-
-
 def test_wide_links_lose_none(spark, monkeypatch):
     rng = random.Random(6)
     values = {0, (1 << 64) - 1} | {rng.getrandbits(64) for _ in range(60)}
@@ -106,23 +98,6 @@ def test_wide_links_lose_none(spark, monkeypatch):
         assert {frozenset(v for v in found if found[v] == r) for r in found.values()} == {g for g in want if len(g) > 1}
 
 
-def test_copies_with_edited_words_go_and_clean_documents_stay(spark, monkeypatch):
-    rng = random.Random(8)
-    clean = {i: prose(rng, 200, 9000) for i in range(20)}
-    rows = list(clean.items())
-    for i in range(12):
-        words = clean[i].split()
-        for at in rng.sample(range(len(words)), 3):
-            words[at] = "edited"
-        rows.append((100 + i, " ".join(words)))
-    half = clean[15].split()
-    rows.append((200, " ".join(half[:100]) + " " + prose(rng, 100, 9000)))
-    for part in (512, 2):
-        monkeypatch.setattr(simhash, "PART", part)
-        kept = sorted(r["doc_id"] for r in simhash.one_of_each(documents(spark, rows)).collect())
-        assert set(range(20)) | {200} <= set(kept) and len(kept) <= 22
-
-
 @pytest.mark.parametrize("edges", [[(i, i + 1) for i in range(30)], [(0, i) for i in range(1, 40)], [(5, 5)], [(1, 2), (2, 1), (4, 3), (3, 9), (9, 2), (8, 7)], []])
 def test_components(spark, edges):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
