@@ -147,23 +147,46 @@ def verify_settlements(settlements: DataFrame, instructions: DataFrame, key: str
     return j.select(*settlements.columns, fx.join_reasons(reasons).alias("reasons"), fx.flag(F.size(reasons) == 0).alias("allowed"))
 
 
-def verify_agents(requests: DataFrame, registry: DataFrame, key: str) -> DataFrame:
-    """First failing check of an agent's identity; NULL when proved. ``registry`` has one row per agent."""
+def spent_before(df: DataFrame, key: Sequence[str], clean: Column, order: Sequence[str], name: str) -> DataFrame:
+    """Adds ``name``: whether an earlier clean row has spent the row's ``key``, by ``order``.
+
+    The first clean row is the one that is accepted; the clean ones behind it are not, so none of them matters. It is found by a
+    partial minimum per key, which one key of any share of the rows does not slow, and a row is compared with that alone. A key
+    with a null in it is a key of its own.
+    """
+    place, group = F.struct(*order), F.struct(*key)
+    rows = df.withColumns({"_clean": clean, "_place": place, "_group": group})
+    first = rows.where("_clean").groupBy("_group").agg(F.min("_place").alias("_first"))
+    return rows.join(first, "_group", "left").withColumn(name, F.coalesce(F.col("_place") > F.col("_first"), F.lit(False))).drop("_clean", "_place", "_group", "_first")
+
+
+def verify_agents(requests: DataFrame, registry: DataFrame, key: str, signature: str = "signature", order: Sequence[str] = ("now_s",)) -> DataFrame:
+    """First failing check of an agent's identity; NULL when proved. ``registry`` has one row per agent.
+
+    An accepted request spends its (agent, signature) pair: a later one, by ``order``, that fails nothing else is a replay.
+    """
     j = requests.join(registry.select(key, F.lit(1).alias("_known")), key, "left")
     code = F.when(F.col("_known").isNull(), "AGENT_NOT_ENROLLED").when(
         F.abs(F.col("now_s") - F.col("created_s")) > SIGNATURE_WINDOW_S, "AGENT_SIGNATURE_STALE").when(
-        F.col("signature_valid") == 0, "AGENT_SIGNATURE_INVALID").when(F.col("already_seen") == 1, "AGENT_REQUEST_REPLAYED")
-    return j.select(*requests.columns, code.alias("reason"))
+        F.coalesce("signature_valid", F.lit(0)) == 0, "AGENT_SIGNATURE_INVALID")
+    seen = spent_before(j.withColumn("_code", code), [key, signature], F.col("_code").isNull(), order, "_seen")
+    return seen.select(*requests.columns, F.coalesce("_code", F.when(F.col("_seen"), "AGENT_REQUEST_REPLAYED")).alias("reason"))
 
 
-def redeem_tokens(redemptions: DataFrame, tokens: DataFrame, key: str) -> DataFrame:
-    """All reasons a token redemption fails."""
+def redeem_tokens(redemptions: DataFrame, tokens: DataFrame, key: str, order: Sequence[str] = ("now_s",)) -> DataFrame:
+    """All reasons a token redemption fails; a token that was never issued is ``TOKEN_UNKNOWN``.
+
+    An authorised redemption spends a single-use token for all later ones, by ``order``.
+    """
     c = F.col
     codes = {
         "TOKEN_NOT_BOUND_TO_PRESENTER": c("presenter") != c("holder"), "TOKEN_EXPIRED": c("now_s") > c("expires_at"),
-        "TOKEN_ALREADY_SPENT": (c("single_use") == 1) & (c("already_spent") == 1),
+        "TOKEN_ALREADY_SPENT": (c("single_use") == 1) & c("_spent"),
         "TOKEN_CEILING_EXCEEDED": c("redeem_amount") > c("max_amount"), "TOKEN_CURRENCY_MISMATCH": c("redeem_currency") != c("currency"),
         "TOKEN_SCOPE_VIOLATION": F.size(F.array_except("requested_scope", "scope")) > 0,
     }
-    j = redemptions.join(tokens, key)
-    return j.select(*redemptions.columns, fx.join_reasons(fx.reason_list(codes)).alias("reasons"))
+    j = redemptions.join(tokens.withColumn("_issued", F.lit(True)), key, "left")
+    clean = reduce(lambda a, b: a & b, [~F.coalesce(test, F.lit(False)) for code, test in codes.items() if code != "TOKEN_ALREADY_SPENT"], c("_issued").isNotNull())
+    j = spent_before(j, [key], clean, order, "_spent")
+    reasons = F.when(c("_issued").isNull(), F.array(F.lit("TOKEN_UNKNOWN"))).otherwise(fx.reason_list(codes))
+    return j.select(*redemptions.columns, fx.join_reasons(reasons).alias("reasons"))

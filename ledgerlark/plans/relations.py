@@ -105,27 +105,32 @@ def join_settlement_instruction(spark, sf_dir):
     return controls.verify_settlements(s, _instructions(spark, sf_dir), "seq", order).select("txn_id", "reasons", "allowed")
 
 
-@query("join_agent_registry", """SELECT txn_id, CASE WHEN s_acctbal < 0 OR s_suppkey IS NULL THEN 'AGENT_NOT_ENROLLED' WHEN line * 12 > 60 THEN 'AGENT_SIGNATURE_STALE'
- WHEN agent_request_signature_valid = 0 THEN 'AGENT_SIGNATURE_INVALID' WHEN spt_reuse_count >= 2 THEN 'AGENT_REQUEST_REPLAYED' END AS reason FROM ledger LEFT JOIN supplier ON s_suppkey = supp""", ("ledger",))
+@query("join_agent_registry", """WITH j AS (SELECT txn_id, supp, payer, ts_s, seq, line, item, cents, CASE WHEN s_acctbal < 0 OR s_suppkey IS NULL THEN 'AGENT_NOT_ENROLLED' WHEN line * 12 > 60 THEN 'AGENT_SIGNATURE_STALE'
+ WHEN agent_request_signature_valid = 0 THEN 'AGENT_SIGNATURE_INVALID' END AS code, concat(payer, '/', (item % 3)::VARCHAR) AS signature FROM ledger LEFT JOIN supplier ON s_suppkey = supp)
+SELECT txn_id, CASE WHEN code IS NULL AND row_number() OVER (PARTITION BY supp, signature, code ORDER BY ts_s, seq, line, item, cents) > 1 THEN 'AGENT_REQUEST_REPLAYED' ELSE code END AS reason FROM j""", ("ledger",))
 def join_agent_registry(spark, sf_dir):
     reg = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").selectExpr("s_suppkey AS supp")
-    rows = ledger(spark, sf_dir, ["txn_id", "supp", "line", "ts_s", "agent_request_signature_valid", "spt_reuse_count"]).selectExpr(
-        "txn_id", "supp", "ts_s AS now_s", "ts_s - line * 12 AS created_s", "agent_request_signature_valid AS signature_valid", "int(spt_reuse_count >= 2) AS already_seen")
-    return controls.verify_agents(rows, reg, "supp").select("txn_id", "reason")
-
-
-@query("join_token_redemption", """WITH j AS (SELECT l.*, p_retailprice * 40 AS mx, p_size FROM ledger l JOIN part ON p_partkey = item)
-SELECT txn_id, array_to_string(list_filter([CASE WHEN supp % 10 = 3 THEN 'TOKEN_NOT_BOUND_TO_PRESENTER' END, CASE WHEN intent_age_s > p_size * 80 THEN 'TOKEN_EXPIRED' END,
- CASE WHEN p_size > 25 AND spt_reuse_count >= 1 THEN 'TOKEN_ALREADY_SPENT' END, CASE WHEN amount > mx THEN 'TOKEN_CEILING_EXCEEDED' END, CASE WHEN currency <> 'INR' THEN 'TOKEN_CURRENCY_MISMATCH' END,
- CASE WHEN rail = 'upi' THEN 'TOKEN_SCOPE_VIOLATION' END], lambda x: x IS NOT NULL), '|') AS reasons FROM j""", ("ledger",))
+    rows = ledger(spark, sf_dir, ["txn_id", "supp", "payer", "line", "item", "seq", "cents", "ts_s", "agent_request_signature_valid"]).selectExpr(
+        "txn_id", "supp", "seq", "line", "item", "cents", "ts_s AS now_s", "ts_s - line * 12 AS created_s", "agent_request_signature_valid AS signature_valid",
+        "concat(payer, '/', CAST(item % 3 AS STRING)) AS signature")
+    return controls.verify_agents(rows, reg, "supp", order=["now_s", "seq", "line", "item", "cents"]).select("txn_id", "reason")
+
+
+@query("join_token_redemption", """WITH j AS (SELECT l.*, p_partkey IS NOT NULL AS issued, p_retailprice * 40 AS mx, p_size FROM ledger l LEFT JOIN part ON p_partkey = item AND p_partkey % 9 <> 0),
+k AS (SELECT *, issued AND supp % 10 <> 3 AND NOT intent_age_s > p_size * 80 AND NOT amount > mx AND currency = 'INR' AND rail <> 'upi' AS clean FROM j),
+f AS (SELECT *, coalesce(sum(clean::INT) OVER (PARTITION BY item ORDER BY intent_age_s, seq, line, supp, cents ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 0 AS spent FROM k)
+SELECT txn_id, CASE WHEN NOT issued THEN 'TOKEN_UNKNOWN' ELSE array_to_string(list_filter([CASE WHEN supp % 10 = 3 THEN 'TOKEN_NOT_BOUND_TO_PRESENTER' END, CASE WHEN intent_age_s > p_size * 80 THEN 'TOKEN_EXPIRED' END,
+ CASE WHEN p_size > 25 AND spent THEN 'TOKEN_ALREADY_SPENT' END, CASE WHEN amount > mx THEN 'TOKEN_CEILING_EXCEEDED' END, CASE WHEN currency <> 'INR' THEN 'TOKEN_CURRENCY_MISMATCH' END,
+ CASE WHEN rail = 'upi' THEN 'TOKEN_SCOPE_VIOLATION' END], lambda x: x IS NOT NULL), '|') END AS reasons FROM f""", ("ledger",))
 def join_token_redemption(spark, sf_dir):
-    tokens = table(spark, sf_dir, "part").selectExpr(
+    """Redemptions by the age of their intent; every ninth token was never issued."""
+    tokens = table(spark, sf_dir, "part").where("p_partkey % 9 <> 0").selectExpr(
         "p_partkey AS item", "p_retailprice * 40 AS max_amount", "p_size * 80 AS expires_at", "int(p_size > 25) AS single_use", "'INR' AS currency",
         "array('purchase') AS scope", "'holder' AS holder")
-    rows = ledger(spark, sf_dir, ["txn_id", "item", "supp", "intent_age_s", "spt_reuse_count", "amount", "currency", "rail"]).selectExpr(
-        "txn_id", "item", "IF(supp % 10 = 3, 'other', 'holder') AS presenter", "intent_age_s AS now_s", "int(spt_reuse_count >= 1) AS already_spent", "amount AS redeem_amount",
+    rows = ledger(spark, sf_dir, ["txn_id", "item", "supp", "seq", "line", "cents", "intent_age_s", "amount", "currency", "rail"]).selectExpr(
+        "txn_id", "item", "supp", "seq", "line", "cents", "IF(supp % 10 = 3, 'other', 'holder') AS presenter", "intent_age_s AS now_s", "amount AS redeem_amount",
         "currency AS redeem_currency", "IF(rail = 'upi', array('purchase', 'transfer'), array('purchase')) AS requested_scope")
-    return controls.redeem_tokens(rows, tokens, "item").select("txn_id", "reasons")
+    return controls.redeem_tokens(rows, tokens, "item", ["now_s", "seq", "line", "supp", "cents"]).select("txn_id", "reasons")
 
 
 @query("join_document_score", """WITH d AS (SELECT doc_id AS k, CASE WHEN n_chars > 2000 THEN 0.9 ELSE n_chars / 4000.0::DOUBLE END AS s FROM documents WHERE lang <> 'de')

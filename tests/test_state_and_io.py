@@ -48,7 +48,7 @@ def test_rate_limit_ignores_rejected_requests(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([(i, 1, t) for t, i in rows], "seq long, client long, ts_s long").coalesce(1).write.parquet(src)
     stream = spark.readStream.schema("seq long, client long, ts_s long").parquet(src)
-    stateful.drain(stateful.rate_limit(stream, "client", "ts_s", "seq", 5, 60), str(tmp_path / "s"))
+    stateful.rate_limit(stream, str(tmp_path / "s"), "client", "ts_s", "seq", 5, 60)
     got = {x["seq"]: x["admitted"] for x in spark.read.parquet(str(tmp_path / "s/out")).collect()}
     held, want = [], {}
     for t, i in rows:
@@ -65,7 +65,7 @@ def test_replay_guard_answers_late_rows_and_remembers_spent_nonces(spark, tmp_pa
     for b in batches:
         spark.createDataFrame(b, ddl).coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(src)
-    stateful.drain(stateful.replay_guard(stream, "nonce", "ts_s", "seq", "valid", "expires_at"), str(tmp_path / "s"))
+    stateful.replay_guard(stream, str(tmp_path / "s"), ["nonce"], ["ts_s", "seq"], "valid", "expires_at")
     got = {r["seq"]: r["reason"] for r in spark.read.parquet(str(tmp_path / "s/out")).collect()}
     assert got == {1: "", 2: "", 3: "INTENT_SIGNATURE_INVALID", 4: "", 5: "INTENT_REPLAYED", 6: "INTENT_REPLAYED", 7: ""}
 
