@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import EVENT_COLUMNS, LEDGER_COLUMNS
+from ..sources.tables import CAPTURE_COLUMNS, EVENT_COLUMNS, LEDGER_COLUMNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,9 +26,10 @@ def _cte(columns: dict[str, str], words: dict[str, str], source: str) -> str:
     return "SELECT\n" + ",\n".join(lines) + f"\nFROM {source}"
 
 
-#: The two payment views, rebuilt from the given tables.
+#: The payment views, rebuilt from the given tables.
 VIEWS = {
     "ledger": _cte(LEDGER_COLUMNS, _CHECKER_WORDS["ledger"], "lineitem JOIN orders ON l_orderkey = o_orderkey"),
+    "captures": _cte(CAPTURE_COLUMNS, _CHECKER_WORDS["ledger"], "lineitem"),
     "payments": _cte(EVENT_COLUMNS, _CHECKER_WORDS["events"], "events"),
 }
 

@@ -105,6 +105,22 @@ LEDGER_COLUMNS: dict[str, str] = {
 }
 LEDGER_COLUMNS["spt_reuse_count"] = f"CAST(floor({_pct(191, 30)} / 10) AS BIGINT)"
 
+def _capture(salt: int, often: int, low: int, high: int) -> str:
+    """A score of one modality, captured on ``often`` in ten payments: fraud lies lower, a quarter of it as high as genuine payments."""
+    fraud = f"{FRAUD} AND {_pct(salt + 2, 4)} > 0"
+    return (f"CASE WHEN {_pct(salt, 10)} < {often} THEN (CASE WHEN {fraud} THEN {low} + {_pct(salt + 6, 500)} ELSE {high} + {_pct(salt + 6, 1000 - high)} END) / CAST(1000 AS DOUBLE)"
+            " ELSE CAST(0 AS DOUBLE) END")
+
+
+#: Telemetry of biometric captures; 0 where nothing was captured.
+CAPTURE_COLUMNS: dict[str, str] = {
+    **{c: LEDGER_COLUMNS[c] for c in ("txn_id", "ts_s", "is_fraud", "attack_vector_id")},
+    "voice_match_score": _capture(211, 3, 150, 600),
+    "liveness_score": _capture(227, 4, 100, 550),
+    "biometric_match_score": _capture(239, 4, 250, 700),
+    "doc_ocr_confidence": _capture(251, 2, 350, 500),
+}
+
 #: The columns that need no order.
 LINE_COLUMNS = [c for c, text in LEDGER_COLUMNS.items() if not re.search(r"\bo_", text)]
 
@@ -153,6 +169,11 @@ def ledger(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -
     return rows.selectExpr(*_select(chosen, SPARK_WORDS["ledger"]))
 
 
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments with the scores of their biometric captures."""
+    return table(spark, sf_dir, "lineitem").selectExpr(*_select(CAPTURE_COLUMNS, SPARK_WORDS["ledger"]))
+
+
 def payments(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Payments from the event stream, with microsecond clocks floored to seconds."""
     chosen = {c: EVENT_COLUMNS[c] for c in (columns or EVENT_COLUMNS)}
