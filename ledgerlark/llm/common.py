@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -105,28 +106,28 @@ def ngram_hashes(h: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
             width *= 2
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = durable) -> DataFrame:
     """``(node, root)`` for every node of the undirected ``edges(a, b)``; root is the smallest node it reaches.
 
     Large-star and small-star rounds until no edge changes. A centre with many neighbours is reduced by a partial
     minimum before the shuffle, and its edges meet that minimum in a join whose skewed side Spark splits.
-    Each round is cut by a reliable checkpoint.
+    Each round is cut by ``keep``, a reliable checkpoint or a stored table.
     """
 
     def digest(df: DataFrame) -> tuple:
         row = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(row)
 
-    now = durable(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
+    now = keep(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct())
     before = digest(now)
     while before[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = durable(large.distinct())
+        large = keep(large.distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").selectExpr("CASE WHEN b = m THEN a ELSE b END AS a", "m AS b")
-        now = durable(small.where("a <> b").distinct())
+        now = keep(small.where("a <> b").distinct())
         after = digest(now)
         if after == before:
             break
@@ -168,6 +169,17 @@ def running_before(df: DataFrame, group: str, chunk: str, order: list[str], valu
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def shuffles_let_go(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffles of a query are deleted as soon as it has ended, instead of when the driver's garbage is collected."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage with a Parquet table in the shared folder; the shuffles that made it are let go as soon as it is written."""
     import uuid
@@ -175,10 +187,6 @@ def stored(df: DataFrame) -> DataFrame:
     from ..session import shared_folder
 
     spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with shuffles_let_go(spark):
         df.write.parquet(folder)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)

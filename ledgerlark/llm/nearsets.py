@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, document_key, durable, pieces, stored, text_hash, unused
+from .common import as_bytes, components, document_key, pieces, shuffles_let_go, stored, text_hash, unused
 from .simhash import SEED, links, majority, shingle_hashes
 
 #: Words in a shingle, and the Jaccard similarity that two documents need.
@@ -69,8 +70,6 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _whole_order(docs: DataFrame, wanted: DataFrame, heavy: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``s, w, n`` of the prefixes of ``wanted(w, d, t)`` in the order in which shingles of ``heavy(s, c)`` come last, by ``c``."""
-    from pyspark.sql import Window as W
-
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, 1 << 20):
@@ -101,20 +100,25 @@ def prefix_entries(docs: DataFrame, sets: DataFrame, shingle: int, similarity: f
     small = F.broadcast(anew) if anew.count() <= BROADCAST_ROWS else anew
     wanted = sets.join(small, "w", "left_semi").select("w", "d", "t")
     others = sets.join(small, "w", "left_anti").select(F.explode("prefix").alias("s"), "w", "n")
-    both = stored(others.union(_whole_order(docs, wanted, few, shingle, similarity)))
-    again = both.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
-    return stored(both.join(again, "s"))
+    both = others.union(_whole_order(docs, wanted, few, shingle, similarity))
+    return stored(both.withColumn("k", F.count("*").over(W.partitionBy("s"))).where("k > 1"))
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets are similar. The text of ``a`` travels once for every ``SLICE`` partners, that of ``b`` once a pair."""
-    many = pairs.groupBy("a").agg(F.count("*").alias("_n"))
-    sliced = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / SLICE)).alias("part"), "b")
+    """Those of ``pairs(a, b)`` whose sets are similar.
+
+    The set of a pair that has more pairs is the centre: its text travels once for every ``SLICE`` partners, the other's once a pair.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("_e")).groupBy("_e").agg(F.count("*").alias("_n"))
+    known = pairs.join(ends.toDF("a", "_na"), "a").join(ends.toDF("b", "_nb"), "b")
+    turned = known.select(F.when(F.col("_na") >= F.col("_nb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("_na") >= F.col("_nb"), F.col("b")).otherwise(F.col("a")).alias("b"),
+                          F.greatest("_na", "_nb").alias("_n"))
+    sliced = turned.select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("_n") / SLICE)).alias("part"), "b")
     roles = sliced.select("a", "part", F.col("b").alias("w"), F.lit(True).alias("asked")).union(
         sliced.select("a", "part", F.col("a").alias("w"), F.lit(False).alias("asked")).distinct())
-    roles = durable(roles)
+    roles = stored(roles)
     wanted = roles.select("w").distinct().join(sets.select("w", "d", "t"), "w")
-    met = roles.join(_texts(docs, durable(wanted)), "w").repartition("a", "part").sortWithinPartitions("a", "part", "asked")
+    met = roles.join(_texts(docs, stored(wanted)), "w").repartition("a", "part").sortWithinPartitions("a", "part", "asked")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centre, key = np.empty(0, np.uint64), None
@@ -136,21 +140,19 @@ def _compared(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int,
 
 def _by_fingerprint(sets: DataFrame) -> DataFrame:
     """Candidate pairs ``a, b``: sets of one fingerprint with the first of it, and the first ones of fingerprints linked in BK-trees."""
-    first = durable(sets.groupBy("fp").agg(F.min("w").alias("a")))
+    first = stored(sets.groupBy("fp").agg(F.min("w").alias("a")))
     same = sets.join(first, "fp").where("w <> a").select("a", F.col("w").alias("b"))
     linked = links(first.select("fp")).toDF("x", "y").distinct()
     named = linked.join(first.toDF("x", "a"), "x").join(first.toDF("y", "b"), "y")
     return same.union(named.select("a", "b"))
 
 
-def _grouped(entries: DataFrame, found: DataFrame | None) -> DataFrame:
+def _grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
     """``s, w, n, k, root`` of the shingles that still have sets of several groups."""
-    if found is None:
-        placed = entries.withColumn("root", F.col("w"))
-    else:
-        placed = entries.join(found, entries.w == found.node, "left").select("s", "w", "n", "k", F.coalesce("root", "w").alias("root"))
-    apart = placed.groupBy("s").agg(F.min("root").alias("_x"), F.max("root").alias("_y")).where("_x < _y").select("s")
-    return stored(placed.join(apart, "s"))
+    placed = entries.join(found, entries.w == found.node, "left").select("s", "w", "n", "k", F.coalesce("root", "w").alias("root"))
+    bucket = W.partitionBy("s")
+    ends = placed.withColumns({"_x": F.min("root").over(bucket), "_y": F.max("root").over(bucket)})
+    return stored(ends.where("_x < _y").drop("_x", "_y"))
 
 
 def _near_in_size(a: str, b: str, similarity: float):
@@ -193,18 +195,19 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     pairs are never listed, and the shingles of a passage that many documents share come last in the order and hardly ever
     stand in a prefix.
     """
-    prints = stored(shingle_sets(docs, shingle, similarity))
-    least = int(1 / (1 - similarity) + 1e-9) - 1  # smaller sets are like none but themselves
-    first = F.min(F.struct("d", "t", "n", "fp", "prefix")).alias("first")
-    sets = stored(prints.where(F.col("n") >= least).groupBy("w").agg(first).select("w", "first.*"))
-    entries = prefix_entries(docs, sets, shingle, similarity, HEAVY if heavy_from is None else heavy_from)
-    known = _compared(durable(_by_fingerprint(sets)), docs, sets, shingle, similarity)
-    found = durable(components(known))
-    for turn in range(ROUNDS + 1):
-        placed = _grouped(entries, found)
-        pairs = durable(_starred(placed, turn, similarity) if turn < ROUNDS else _all_apart(placed, similarity))
-        known = known.union(_compared(pairs, docs, sets, shingle, similarity))
-        found = durable(components(known))
+    with shuffles_let_go(docs.sparkSession):
+        prints = stored(shingle_sets(docs, shingle, similarity))
+        least = int(1 / (1 - similarity) + 1e-9) - 1  # smaller sets are like none but themselves
+        first = F.min(F.struct("d", "t", "n", "fp", "prefix")).alias("first")
+        sets = stored(prints.where(F.col("n") >= least).groupBy("w").agg(first).select("w", "first.*"))
+        entries = prefix_entries(docs, sets, shingle, similarity, HEAVY if heavy_from is None else heavy_from)
+        known = _compared(stored(_by_fingerprint(sets)), docs, sets, shingle, similarity)
+        found = stored(components(known, stored))
+        for turn in range(ROUNDS + 1):
+            placed = _grouped(entries, found)
+            pairs = stored(_starred(placed, turn, similarity) if turn < ROUNDS else _all_apart(placed, similarity))
+            known = known.union(_compared(pairs, docs, sets, shingle, similarity))
+            found = stored(components(known, stored))
     return prints, found
 
 
