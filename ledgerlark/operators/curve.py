@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -209,53 +211,136 @@ def decile_lift(df: DataFrame, score: str, key: str, bins: int = 10) -> DataFram
     return total.select("decile", "rows", "fraud", rate.alias("fraud_rate"), F.try_divide(rate, F.col("p") / F.col("n")).alias("lift"), (F.col("c") / F.lit(100.0)).alias("fraud_value"))
 
 
-#: Replicas of a resampled metric, and the counts up to which a draw comes from the exact distribution.
-REPLICAS, EXACT_DRAW = 1000, 30
+#: Replicas of a resampled metric, most ranges of scores that are summed apart, and cells whose replicas are laid out at once.
+REPLICAS, RANGES, CELLS = 1000, 256, 1024
 
 
-def _uniform(rep: str, salt: int, seed: int):
-    return (F.pmod(F.xxhash64("cell", rep, F.lit(salt), F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+def draws(cell: int, k: int, replicas: int, seed: int) -> np.ndarray:
+    """Of a cell of ``k`` rows: ``k`` itself, then a Poisson draw around it for every replica, the same wherever it is drawn."""
+    rng = np.random.Generator(np.random.Philox(key=(cell ^ seed * 0x9E3779B97F4A7C15) & (1 << 64) - 1))
+    return np.concatenate([[k], rng.poisson(k, replicas)])
 
 
-def poisson(mean, u, v):
-    """A Poisson draw for a whole mean: by the inverse distribution up to ``EXACT_DRAW``, beyond it a rounded normal."""
-    def cumulated(n):
-        return [sum(math.exp(-n) * n**j / math.factorial(j) for j in range(k + 1)) for k in range(n + 8 * math.isqrt(n) + 12)]
+def _steps(batches: Iterator[pa.RecordBatch], replicas: int, seed: int) -> Iterator[tuple[str, int, np.ndarray, np.ndarray]]:
+    """``model, chunk, scores, sums[3, score, replica]`` of frauds, genuine rows and cents of fraud, in falling order of score.
 
-    one = F.lit(len(cumulated(1)))  # nearly all cells hold one row
-    for k, top in reversed(list(enumerate(cumulated(1)))):
-        one = F.when(u < top, k).otherwise(one)
-    table = F.array(*[F.array(*map(F.lit, cumulated(n))) for n in range(1, EXACT_DRAW + 1)])
-    few = F.size(F.filter(table[(mean - 1).cast("int")], lambda c: c < u))
-    many = F.greatest(F.lit(0.0), F.rint(mean + F.sqrt(mean.cast("double")) * F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * v)))
-    return F.when(mean == 1, one).when(mean == 0, 0).when(mean <= EXACT_DRAW, few).otherwise(many).cast("long")
+    Scores come whole: one whose cells go on in the next piece is held back until it ends.
+    """
+    at, scores, sums = None, np.empty(0), np.zeros((3, 0, replicas + 1))
+    for batch in batches:
+        names = batch.column("model").to_pylist()
+        rows = list(zip(names, *(batch.column(c).to_pylist() for c in ("chunk", "score", "label", "each", "k", "cell")), strict=True))
+        start = 0
+        while start < len(rows):
+            key, stop = rows[start][:2], start
+            while stop < len(rows) and stop - start < CELLS and rows[stop][:2] == key:
+                stop += 1
+            part = rows[start:stop]
+            start = stop
+            drawn = np.stack([draws(r[6], r[5], replicas, seed) for r in part]).astype(np.float64)
+            label = np.array([r[3] for r in part], np.float64)[:, None]
+            cents = np.array([r[4] or 0 for r in part], np.float64)[:, None]
+            value = np.array([r[2] for r in part])
+            first = np.flatnonzero(np.append(True, value[1:] != value[:-1]))
+            new = np.stack([np.add.reduceat(x, first, axis=0) for x in (drawn * label, drawn * (1 - label), drawn * label * cents)])
+            value = value[first]
+            if at == key and len(scores) and scores[-1] == value[0]:
+                new[:, 0] += sums[:, -1]
+                scores, sums = scores[:-1], sums[:, :-1]
+            if at is not None and len(scores):
+                yield (*at, scores, sums)
+            at = key
+            if len(value) > 1:
+                yield (*key, value[:-1], new[:, :-1])
+            scores, sums = value[-1:], new[:, -1:]
+    if at is not None and len(scores):
+        yield (*at, scores, sums)
 
 
 def bootstrap(df: DataFrame, scores: Sequence[str], target_fpr: float, replicas: int = REPLICAS, seed: int = 7, money: str = "cents") -> DataFrame:
     """Per replica and score column: ``model, rep, recall, precision, value_recall, average_precision, roc_auc``; replica 0 is what was observed.
 
     Class-stratified resampling by cells: a cell is one combination of all scores, label and money per row, and its resampled
-    count is a Poisson draw around its own count, made once per replica and used by every score, so that the scores are
-    compared on the same resamples. The cut is found anew in each replica.
+    count is a Poisson draw around its own count, the same for every score, so that scores are compared on the same resamples.
+    The cut is found anew in each replica.
+
+    Cells are sorted by score into ranges, which is the only shuffle: a cell is one row in it, however many replicas there are.
+    A first pass sums each range to one vector of all replicas; a second walks each range from the totals above it. A range
+    sends a few vectors of ``replicas`` numbers a model, ``RANGES`` of them at most. Rows without a score or a label are left out.
     """
-    cells = df.groupBy(*[F.col(s).cast("double").alias(s) for s in scores], F.col("is_fraud").alias("label"), F.col(money).alias("each")).agg(F.count(F.lit(1)).alias("k"))
-    cells = durable(cells.withColumn("cell", F.xxhash64(*scores, "label", "each")))
-    drawn = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicas))).alias("rep"))
-    many = F.when(F.col("rep") == 0, F.col("k")).otherwise(poisson(F.col("k"), _uniform("rep", 11, seed), _uniform("rep", 23, seed)))
-    drawn = drawn.withColumn("k", many).where("k > 0")
+    spark = df.sparkSession
+    known = df.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in (*scores, "is_fraud")]))
+    cells = known.groupBy(*[F.col(s).cast("double").alias(s) for s in scores], F.col("is_fraud").cast("int").alias("label"), F.col(money).alias("each")).agg(F.count(F.lit(1)).alias("k"))
     models = F.explode(F.array(*[F.struct(F.lit(s).alias("model"), F.col(s).alias("score")) for s in scores]))
-    fraud = F.col("label") == 1
-    counts = drawn.select("rep", "label", "each", "k", models.alias("m")).groupBy("m.model", "rep", "m.score").agg(
-        F.sum(F.when(fraud, F.col("k")).otherwise(0)).alias("pos"), F.sum(F.when(fraud, 0).otherwise(F.col("k"))).alias("neg"),
-        F.sum(F.when(fraud, F.col("k") * F.col("each")).otherwise(0)).alias("pos_cents"))
-    part = ["model", "rep"]
-    counts = durable(counts)
-    scan = durable(_with_totals(value_scan(counts, part, "score", SUMS, descending=True), counts, part))
-    at = operating_points(scan, [target_fpr], part)
-    alerts = F.coalesce("tp", F.lit(0)) + F.coalesce("fp", F.lit(0))
-    found = at.select(*part, F.try_divide(F.coalesce("tp", F.lit(0)), F.col("p")).alias("recall"), F.coalesce(F.try_divide(F.col("tp"), alerts), F.lit(0.0)).alias("precision"),
-                      F.try_divide(F.coalesce("tp_cents", F.lit(0)), F.col("p_cents")).alias("value_recall"))
-    return found.join(average_precision(scan, part), part).join(roc_auc(scan, part).withColumnRenamed("auc", "roc_auc"), part)
+    long = cells.withColumn("cell", F.xxhash64(*scores, "label", "each")).select(models.alias("m"), "label", "each", "k", "cell").select("m.*", "label", "each", "k", "cell")
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), RANGES)
+    order = [F.asc("model"), F.desc("score")]
+    placed = durable(long.repartitionByRange(parts, *order).sortWithinPartitions(*order, "label", "each", "cell").withColumn("chunk", F.spark_partition_id()))
+
+    def totals_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        for model, chunk, _, sums in _steps(batches, replicas, seed):
+            held[model, chunk] = held.get((model, chunk), 0) + sums.sum(1)
+        yield _vectors(held)
+
+    found = {(r["model"], r["chunk"]): np.frombuffer(r["v"]).reshape(3, -1) for r in placed.mapInArrow(totals_of, _VECTORS).collect()}
+    whole = {m: sum(v for (name, _), v in found.items() if name == m) for m in {m for m, _ in found}}
+    above, so_far = {}, {m: np.zeros_like(v) for m, v in whole.items()}
+    for model, chunk in sorted(found):
+        above[model, chunk] = so_far[model].copy()
+        so_far[model] += found[model, chunk]
+    sent = spark.sparkContext.broadcast((above, whole))
+
+    def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above, whole = sent.value
+        held: dict[tuple[str, int], np.ndarray] = {}
+        now: dict[tuple[str, int], np.ndarray] = {}
+        for model, chunk, value, sums in _steps(batches, replicas, seed):
+            key = (model, chunk)
+            if key not in held:
+                # area, average precision, and at the cut: score, frauds, genuine rows and cents above it
+                held[key], now[key] = np.concatenate([np.zeros((2, replicas + 1)), np.full((1, replicas + 1), -np.inf), np.zeros((3, replicas + 1))]), above[key].copy()
+            upto = now[key][:, None] + np.cumsum(sums, axis=1)
+            before = upto - sums
+            out = held[key]
+            out[0] += (sums[1] * (before[0] + sums[0] / 2)).sum(0)
+            out[1] += np.divide(sums[0] * upto[0], upto[0] + upto[1], out=np.zeros_like(sums[0]), where=upto[0] + upto[1] > 0).sum(0)
+            over = upto[1] > np.floor(target_fpr * whole[model][1])
+            first, rep = over.argmax(0), np.arange(replicas + 1)
+            new = over.any(0) & np.isinf(out[2])
+            out[2][new] = value[first[new]]
+            for row, source in ((3, 0), (4, 1), (5, 2)):
+                out[row][new] = before[source][first[new], rep[new]]
+            now[key] = upto[:, -1].copy()
+        yield _vectors(held)
+
+    rows: dict[str, np.ndarray] = {}
+    for r in sorted(placed.mapInArrow(walked, _VECTORS).collect(), key=lambda r: (r["model"], r["chunk"])):
+        v = np.frombuffer(r["v"]).reshape(6, -1)
+        if r["model"] not in rows:
+            rows[r["model"]] = v.copy()
+        else:
+            mine = rows[r["model"]]
+            mine[:2] += v[:2]
+            new = np.isinf(mine[2]) & ~np.isinf(v[2])
+            mine[2:, new] = v[2:, new]
+    out = []
+    for model, v in sorted(rows.items()):
+        p, n, cents = whole[model]
+        none = np.isinf(v[2])  # a replica without genuine rows has no cut, and no alert
+        tp, fp, tc = np.where(none, 0, v[3]), np.where(none, 0, v[4]), np.where(none, 0, v[5])
+        ratio = lambda a, b, other: [float(x / y) if y > 0 else other for x, y in zip(a, b, strict=True)]
+        out += zip([model] * (replicas + 1), range(replicas + 1), ratio(tp, p, None), ratio(tp, tp + fp, 0.0), ratio(tc, cents, None), ratio(v[1], p, None),
+                   ratio(v[0], p * n, 0.5), strict=True)
+    return spark.createDataFrame(out, "model string, rep int, recall double, precision double, value_recall double, average_precision double, roc_auc double")
+
+
+_VECTORS = "model string, chunk int, v binary"
+
+
+def _vectors(held: dict[tuple[str, int], np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([m for m, _ in held], pa.string()), pa.array([c for _, c in held], pa.int32()),
+                                       pa.array([np.ascontiguousarray(v, np.float64).tobytes() for v in held.values()], pa.binary())], ["model", "chunk", "v"])
 
 
 METRICS = ["recall", "precision", "value_recall", "average_precision", "roc_auc"]

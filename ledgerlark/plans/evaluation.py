@@ -306,5 +306,16 @@ def bootstrap_paired_difference(spark, sf_dir):
     return curve.paired_difference(_replicas(spark, sf_dir), "score", "score_b")
 
 
+@query("bootstrap_points", CURVE_SQL + """,
+k AS (SELECT min(tp - pos) AS tp, min(fp - neg) AS fp, min(tc - pc) AS tc, max(p) AS p, max(pt) AS pt FROM d WHERE fp > floor(0.005::DOUBLE * n)),
+m AS (SELECT tp / p AS recall, tp / (tp + fp) AS precision, tc / pt AS value_recall, (SELECT sum(pos * (tp / (tp + fp))) / max(p) FROM d) AS average_precision,
+ (SELECT sum(neg * (tp - pos + pos / 2.0::DOUBLE)) / (max(p)::DOUBLE * max(n)) FROM d) AS roc_auc FROM k)
+SELECT metric, round(point, 9) AS point, 1000 AS resamples, 1 AS ordered FROM m UNPIVOT (point FOR metric IN (recall, precision, value_recall, average_precision, roc_auc))""", ("ledger",))
+def bootstrap_points(spark, sf_dir):
+    """What does not depend on the draws: the observed values, how many resamples there are, and that each interval is in order."""
+    rows = curve.bootstrap(ledger(spark, sf_dir, CORE), ["score"], 0.005)
+    return curve.intervals(rows).select("metric", F.round("point", 9).alias("point"), "resamples", fx.flag(F.col("lo95") <= F.col("hi95")).alias("ordered"))
+
+
 def _replicas(spark, sf_dir):
     return curve.bootstrap(ledger(spark, sf_dir, ["score", "score_b", "is_fraud", "cents"]), ["score", "score_b"], 0.005)

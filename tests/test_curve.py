@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import audit, curve, evaluate
@@ -62,12 +63,28 @@ def test_the_same_ranking_differs_by_nothing(spark):
         assert (d["difference"], d["lo95"], d["hi95"], d["p_two_sided"]) == (0.0, 0.0, 0.0, 1.0)
 
 
-def test_poisson_draws_have_their_mean_and_spread(spark):
-    for n in (1, 2, 7, 30, 400):
-        u, v = (F.rand(s) for s in (1, 2))
-        d = spark.range(20000).select(F.lit(n).alias("n"), u.alias("u"), v.alias("v")).select(curve.poisson(F.col("n"), F.col("u"), F.col("v")).alias("k"))
-        m = d.agg(F.avg("k").alias("m"), F.var_samp("k").alias("s")).first()
-        assert abs(m["m"] - n) < 5 * (n / 20000) ** 0.5 and abs(m["s"] / n - 1) < 0.06
+def test_poisson_draws_have_their_mean_and_spread():
+    for n in (1, 2, 7, 30, 400, 100_000):
+        d = curve.draws(12345 + n, n, 20_000, 7)
+        assert d[0] == n and len(d) == 20_001 and (d == curve.draws(12345 + n, n, 20_000, 7)).all()
+        assert abs(d[1:].mean() - n) < 5 * (n / 20000) ** 0.5 and abs(d[1:].var() / n - 1) < 0.06
+
+
+def test_every_replica_is_what_its_counts_give(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(round(r.random(), 2), round(r.random(), 1), int(r.random() < 0.2), r.randrange(1, 5) * 100) for _ in range(700)]
+    df = spark.createDataFrame(rows, "score double, other double, is_fraud int, cents long").repartition(3)
+    monkeypatch.setattr(curve, "CELLS", 5)
+    got = {(x["model"], x["rep"]): x for x in curve.bootstrap(df, ["score", "other"], 0.05, 6).collect()}
+    cells = df.groupBy("score", "other", F.col("is_fraud").alias("label"), F.col("cents").alias("each")).count().withColumn("cell", F.xxhash64("score", "other", "label", "each")).collect()
+    for rep in range(7):
+        drawn = [(c["score"], c["other"], c["label"], c["each"], int(curve.draws(c["cell"], c["count"], 6, 7)[rep])) for c in cells]
+        for k, model in enumerate(("score", "other")):
+            many = spark.createDataFrame([(d[k], d[2], d[3]) for d in drawn for _ in range(d[4])], "score double, is_fraud int, cents long")
+            c = curve.score_curve(many).cache()
+            at, x = curve.operating_points(c, [0.05]).first(), got[model, rep]
+            assert x["recall"] == pytest.approx(at["tp"] / at["p"]) and x["value_recall"] == pytest.approx(at["tp_cents"] / at["p_cents"])
+            assert x["average_precision"] == pytest.approx(curve.average_precision(c).first()[0]) and x["roc_auc"] == pytest.approx(curve.roc_auc(c).first()[0])
 
 
 def test_windows_of_one_class_or_none(spark):
