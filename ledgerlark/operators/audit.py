@@ -6,8 +6,10 @@ Each check returns rows of ``check, measure, value``; ``report`` turns them into
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,14 +129,75 @@ def fraud_overlap(df: DataFrame) -> DataFrame:
                                                 "score": sum((c.cast("double") for c in ok.values()), F.lit(0.0)) / 5.0})
 
 
+def pair_sums(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``i, j, n, x, y, xx, yy, xy`` of every pair of columns over the rows where both are known: products of matrices, one partial row a pair and task."""
+    size = len(columns)
+    upper = np.triu_indices(size)
+    shift = [r if r is not None else 0.0 for r in df.agg(*[F.avg(F.col(c).cast("double")) for c in columns]).first()]  # sums around the means lose no digits
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((6, size, size))
+        for batch in batches:
+            v = np.asarray(batch.column("v").flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, size) - np.array(shift)
+            m = (~np.isnan(v)).astype(np.float64)
+            x = np.where(m > 0, v, 0.0)
+            held += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array(upper[0]), pa.array(upper[1]), *[pa.array(h[upper]) for h in held]], ["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    values = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("v"))
+    sums = values.mapInArrow(summed, "i long, j long, n double, x double, y double, xx double, yy double, xy double")
+    return sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+
+
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``i, j, r`` of every pair of columns; NULL where one of them does not vary."""
+    c = F.col
+    vx, vy, cov = c("xx") - c("x") * c("x") / c("n"), c("yy") - c("y") * c("y") / c("n"), c("xy") - c("x") * c("y") / c("n")
+    varies = (c("n") > 0) & (vx > 1e-12 * (1 + c("xx"))) & (vy > 1e-12 * (1 + c("yy")))
+    return pair_sums(df, columns).select("i", "j", F.when(varies, cov / F.sqrt(vx * vy)).alias("r"))
+
+
 def correlation_drift(a: DataFrame, b: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Mean absolute difference of two correlation matrices, each pair over rows where both are known."""
-    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i:]]
-    one = lambda d: d.agg(*[F.corr(x, y).alias(f"c{i}") for i, (x, y) in enumerate(pairs)]).select(
-        F.posexplode(F.array(*[f"c{i}" for i in range(len(pairs))])).alias("i", "r"))
-    weights = F.get(F.array(*[F.lit(1 if x == y else 2) for x, y in pairs]), F.col("i"))
-    both = one(a).withColumnRenamed("r", "ra").join(one(b).withColumnRenamed("r", "rb"), "i").where("NOT isnan(ra) AND NOT isnan(rb)")
-    return both.agg((F.sum(F.abs(F.col("ra") - F.col("rb")) * weights) / F.sum(weights)).alias("drift"))
+    both = correlations(a, columns).withColumnRenamed("r", "ra").join(correlations(b, columns).withColumnRenamed("r", "rb"), ["i", "j"]).where("ra IS NOT NULL AND rb IS NOT NULL")
+    weight = F.when(F.col("i") == F.col("j"), 1).otherwise(2)
+    return both.agg((F.sum(F.abs(F.col("ra") - F.col("rb")) * weight) / F.sum(weight)).alias("drift"))
+
+
+#: AUC that no single column, and recall at the review budget that no combination, may pass (fixed values); a reference's mean KS that scores zero.
+AUC_CEILING, RECALL_CEILING, KS_SPAN = 0.93, 0.92, 0.2
+
+
+def single_feature_check(aucs: DataFrame) -> DataFrame:
+    """Check rows of ``column, auc``: the clearest single column, how many pass the ceiling, and a flag if any does."""
+    top = F.greatest(F.col("auc"), 1 - F.col("auc"))
+    row = aucs.agg(F.coalesce(F.max(top), F.lit(0.5)).alias("a"), F.count_if(top > AUC_CEILING).alias("n"))
+    return _measures("single_feature", row, {"worst_auc": F.col("a"), "above_ceiling": F.col("n"), "score": _clip((AUC_CEILING - F.col("a")) / (AUC_CEILING - 0.5)),
+                                             "flag": fx.flag(F.col("n") > 0)})
+
+
+def separability_check(name: str, found: DataFrame) -> DataFrame:
+    """Check rows of what ``stack.separability`` found: a flag on the lower bound, else a warning on the point."""
+    c = F.col
+    return _measures(name, found, {"recall": c("recall"), "lo95": c("lo95"), "hi95": c("hi95"), "refit_spread": c("spread"),
+                                   "score": _clip((RECALL_CEILING - c("recall")) / (RECALL_CEILING - 0.5)), "flag": c("flag"),
+                                   "warning": fx.flag((c("flag") == 0) & (c("warning") == 1))})
+
+
+def reference_check(ks: DataFrame) -> DataFrame:
+    """Check rows of ``column, ks``: how far a table is from a reference on the mean of its columns."""
+    row = ks.agg(F.avg("ks").alias("m"), F.max("ks").alias("w"), F.count("*").alias("n")).where("n > 0")
+    return _measures("reference_agreement", row, {"mean_ks": F.col("m"), "worst_ks": F.col("w"), "columns": F.col("n"), "score": _clip(1 - F.col("m") / KS_SPAN)})
+
+
+def drift_check(drift: DataFrame) -> DataFrame:
+    """Check rows of the correlation drift; it has no score of its own."""
+    return _measures("correlation_drift", drift, {"drift": F.col("drift")})
+
+
+def artefact_check(found: DataFrame) -> DataFrame:
+    """Check rows of what ``find_artefacts`` found: values that only fraud has, and a flag if there are any."""
+    return _measures("label_only_values", found.agg(F.count("*").alias("n")), {"found": F.col("n"), "score": (F.col("n") == 0).cast("double"), "flag": fx.flag(F.col("n") > 0)})
 
 
 def label_only_levels(df: DataFrame, columns: Sequence[str], prefixes: Sequence[str] = ()) -> DataFrame:
@@ -183,9 +246,10 @@ def find_artefacts(df: DataFrame, texts: Sequence[str], ids: Sequence[str], numb
 
 
 def report(checks: DataFrame) -> DataFrame:
-    """Mean score, number of flags and of checks at zero."""
-    score, flag = F.col("measure") == "score", F.col("measure") == "flag"
+    """Mean score, checks with a score, flags, warnings, and the checks that score zero, by name."""
+    score = F.col("measure") == "score"
+    told = lambda m: F.sum(F.when(F.col("measure") == m, F.col("value")).otherwise(0.0))
     return checks.agg(
-        F.avg(F.when(score, F.col("value"))).alias("overall"), F.count(F.when(score, 1)).alias("checks"),
-        F.sum(F.when(flag, F.col("value")).otherwise(0.0)).alias("flags"),
-        F.count(F.when(score & (F.col("value") <= 0), 1)).alias("zeroed"))
+        F.avg(F.when(score, F.col("value"))).alias("overall"), F.count(F.when(score, 1)).alias("checks"), told("flag").alias("flags"), told("warning").alias("warnings"),
+        F.count(F.when(score & (F.col("value") <= 0), 1)).alias("zeroed"),
+        F.array_join(F.array_sort(F.collect_set(F.when(score & (F.col("value") <= 0), F.col("check")))), "|").alias("zeroed_checks"))

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import audit, evaluate
+from ..session import durable
 from ..sources.tables import ledger, payments
 from .evaluation import NUMERIC, _auc_long
 from .registry import query
+from .scoring import audit_derived_separability, audit_joint_separability
 
 LEGIT = "(SELECT * FROM ledger WHERE is_fraud = 0)"
 _CLIP = "least(greatest({}, 0.0::DOUBLE), 1.0::DOUBLE)"
@@ -99,22 +102,49 @@ def audit_fraud_overlap(spark, sf_dir):
         "amount", "is_fraud", "rail", "screen_share_active", "remote_access_app_detected", "call_in_progress", "device_is_emulator", "payee_is_first_time"])))
 
 
-@query("audit_two_sample_ks", f"""WITH long AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v, CASE WHEN day < 10500 THEN 0 ELSE 1 END AS side FROM ledger" for c in NUMERIC)}), {_KS}
-SELECT col AS "column", round(max(g), 10) AS ks FROM gaps GROUP BY col""", ("ledger",))
-def audit_two_sample_ks(spark, sf_dir):
+_SIDES = f"""long AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, {c}::DOUBLE AS v, CASE WHEN day < 10500 THEN 0 ELSE 1 END AS side FROM ledger" for c in NUMERIC)}), {_KS},
+ks AS (SELECT col, max(g) AS ks FROM gaps GROUP BY col)"""
+
+
+def _ks(spark, sf_dir):
     rows = ledger(spark, sf_dir, ["day", *NUMERIC]).withColumn("side", (F.col("day") >= 10500).cast("int"))
-    return audit.two_sample_ks(evaluate.long_numeric(rows, NUMERIC, ["side"])).select("column", F.round("ks", 10).alias("ks"))
+    return audit.two_sample_ks(evaluate.long_numeric(rows, NUMERIC, ["side"]))
+
+
+@query("audit_two_sample_ks", f"""WITH {_SIDES} SELECT col AS "column", round(ks, 10) AS ks, row_number() OVER (ORDER BY round(ks, 10) DESC, col) AS place FROM ks""", ("ledger",))
+def audit_two_sample_ks(spark, sf_dir):
+    """Every column's distance between two halves, the worst first by ``place``."""
+    found = _ks(spark, sf_dir).select("column", F.round("ks", 10).alias("ks"))
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("ks"), "column")))  # one row a column
+
+
+@query("audit_reference_agreement", f"""WITH {_SIDES}, a AS (SELECT avg(ks) AS m, max(ks) AS w, count(*) AS n FROM ks)
+{_rows("reference_agreement", {"mean_ks": "m", "worst_ks": "w", "columns": "n", "score": _CLIP.format(f"1 - m / {audit.KS_SPAN}::DOUBLE")}, "a")}""", ("ledger",))
+def audit_reference_agreement(spark, sf_dir):
+    return _rounded(audit.reference_check(_ks(spark, sf_dir)))
 
 
-_CORR = ["amount", "payee_added_minutes_ago", "call_in_progress", "score"]
-_PAIRS = [(x, y) for i, x in enumerate(_CORR) for y in _CORR[i:]]
+@query("audit_single_feature_check", f"""WITH {_auc_long(NUMERIC)}, t AS (SELECT greatest(auc, 1 - auc) AS auc FROM aucs WHERE lv > 1),
+a AS (SELECT max(auc) AS a, count(*) FILTER (auc > {audit.AUC_CEILING}) AS n FROM t)
+{_rows("single_feature", {"worst_auc": "a", "above_ceiling": "n", "score": _CLIP.format(f"({audit.AUC_CEILING}::DOUBLE - a) / {audit.AUC_CEILING - 0.5}::DOUBLE"), "flag": "CASE WHEN n > 0 THEN 1 ELSE 0 END"}, "a")}""", ("ledger",))
+def audit_single_feature_check(spark, sf_dir):
+    """The ceiling on what one column may separate alone."""
+    return _rounded(audit.single_feature_check(evaluate.column_auc(ledger(spark, sf_dir, ["is_fraud", *NUMERIC]), NUMERIC)))
 
 
-@query("audit_correlation_drift", "SELECT round((" + " + ".join(f"{1 if x == y else 2} * abs(corr({x}, {y}) FILTER (day < 10500) - corr({x}, {y}) FILTER (day >= 10500))" for x, y in _PAIRS)
-       + f") / {len(_CORR) ** 2}, 8) AS drift FROM ledger", ("ledger",))
+_PAIRS = [(x, y) for i, x in enumerate(NUMERIC) for y in NUMERIC[i:]]
+
+
+@query("audit_correlation_drift", "WITH c AS (SELECT " + ", ".join(f"corr({x}, {y}) FILTER (day < 10500) AS a{i}, corr({x}, {y}) FILTER (day >= 10500) AS b{i}" for i, (x, y) in enumerate(_PAIRS))
+       + " FROM ledger), p AS (" + " UNION ALL ".join(f"SELECT {1 if x == y else 2} AS w, a{i} AS a, b{i} AS b FROM c" for i, (x, y) in enumerate(_PAIRS))
+       + ") SELECT round(sum(w * abs(a - b)) / sum(w), 8) AS drift FROM p WHERE NOT isnan(a) AND NOT isnan(b)", ("ledger",))
 def audit_correlation_drift(spark, sf_dir):
-    rows = ledger(spark, sf_dir, ["day", *_CORR])
-    return audit.correlation_drift(rows.where("day < 10500"), rows.where("day >= 10500"), _CORR).select(F.round("drift", 8).alias("drift"))
+    return _drift(spark, sf_dir).select(F.round("drift", 8).alias("drift"))
+
+
+def _drift(spark, sf_dir):
+    rows = ledger(spark, sf_dir, ["day", *NUMERIC])
+    return audit.correlation_drift(rows.where("day < 10500"), rows.where("day >= 10500"), NUMERIC)
 
 
 _TEXTS, _IDS = ["rail", "channel", "fraud_type", "auth_method"], ["payer", "payee", "merchant_id", "campaign_id"]
@@ -149,10 +179,18 @@ def audit_find_artefacts(spark, sf_dir):
     return audit.find_artefacts(ledger(spark, sf_dir, ["is_fraud", *_TEXTS, *_IDS, *NUMERIC]), _TEXTS, _IDS, NUMERIC)
 
 
+def _all_checks(spark, sf_dir):
+    """Rows of the fourteen checks, stored once."""
+    rows = durable(ledger(spark, sf_dir, ["txn_id", "ts_s", "day", "amount", "is_fraud", "payer", *_TEXTS, *_IDS[1:], *[c for c in NUMERIC if c != "amount"]]))
+    legit = rows.where("is_fraud = 0")
+    checks = [f(legit) for f in (audit.benford, audit.round_numbers, audit.diurnal, audit.weekly, audit.amount_tail, audit.entity_consistency, audit.payee_concentration)]
+    checks += [audit.fraud_overlap(rows), audit.single_feature_check(evaluate.column_auc(rows, NUMERIC)), audit.separability_check("joint_separability", audit_joint_separability(spark, sf_dir)),
+               audit.separability_check("derived_separability", audit_derived_separability(spark, sf_dir)), audit.reference_check(_ks(spark, sf_dir)),
+               audit.drift_check(_drift(spark, sf_dir)), audit.artefact_check(audit.find_artefacts(rows, _TEXTS, _IDS, NUMERIC))]
+    return durable(reduce(lambda a, b: a.unionByName(b), checks))
+
+
 @query("audit_report")
 def audit_report(spark, sf_dir):
-    rows = ledger(spark, sf_dir)
-    legit = rows.where("is_fraud = 0")
-    checks = [f(legit) for f in (audit.benford, audit.round_numbers, audit.diurnal, audit.weekly, audit.amount_tail,
-                                 audit.entity_consistency, audit.payee_concentration)] + [audit.fraud_overlap(rows)]
-    return audit.report(reduce(lambda a, b: a.unionByName(b), checks))
+    """Fourteen checks: mean score, flags, warnings, and the checks that score zero."""
+    return audit.report(_all_checks(spark, sf_dir))

@@ -2,44 +2,98 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
-from ..operators import controls, curve, evaluate, features, models, relate
-from ..operators.ordered import attach_totals
-from ..session import durable
-from ..sources.tables import LINE_COLUMNS, ledger, table
+from ..operators import curve, evaluate, features, job, media, models, relate, stack
+from ..session import durable, shared_folder
+from ..sources import schema
+from ..sources.tables import LINE_COLUMNS, captures, ledger, table
 from .evaluation import NUMERIC
 from .registry import query
-from .windows import ROW_SQL
+from .windows import ORD, ROW_SQL
+
+#: Feature tables and fitted scorers of this session, by application and input: one fit serves all queries that read it.
+_KEPT: dict[tuple, object] = {}
+VECTORS = [f"V{i}" for i in range(12)]
+#: Columns that a refit tries behind the message columns, one at a time.
+CANDIDATES = ["f_coercion_signal_count", "f_cop_shortfall", "f_auth_weak_for_amount", "f_amount_to_payer_mean", "f_payee_unique_payers_1h", "g_payee_in_degree"]
+
+
+def _once(spark, sf_dir, name, make):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def _featured(spark, sf_dir):
+    """Payments with every derived, graph and guard column, worked out once a session."""
+    def make():
+        guarded = media.MediaGuard()
+        given = ledger(spark, sf_dir).drop("score", "score_b")
+        seen = captures(spark, sf_dir).select("txn_id", *media.SCORES)
+        raw = durable(given.join(seen, "txn_id"))
+        early = relate.temporal_split(raw, test_days=600, calibration_days=300).where("split = 'train'")
+        return durable(guarded.fit(early).transform(job.full_rebuild(raw, ORD)))
+    return _once(spark, sf_dir, "features", make)
+
+
+def _split(spark, sf_dir):
+    rows = relate.temporal_split(_featured(spark, sf_dir), test_days=600, calibration_days=300)
+    return [rows.where(F.col("split") == s).drop("split") for s in ("train", "calibration", "test")]
+
 
-#: What the registered fits read: the message columns of the strongest single features, and those a counterfactual may change.
-#: Fits over all message columns take MLlib many minutes on one machine.
-FITTED = ["amount", "payee_account_age_days", "payee_added_minutes_ago", "payee_name_match_score", "sim_swap_recency_days", "keystroke_flight_cv",
-          "account_balance_ratio", "auth_attempts", "call_in_progress", "payee_is_first_time", "screen_share_active", "remote_access_app_detected", "device_is_new"]
-CATEGORIES = ["rail", "channel"]
-EXTRA = ["f_coercion_signal_count", "f_cop_shortfall", "f_auth_weak_for_amount", "f_no_human_telemetry"]
+def _inputs(df):
+    """Numeric and categorical model inputs of a table, by role."""
+    inputs = schema.input_columns(df)
+    text = [c for c in inputs if c in schema.CATEGORICAL]
+    return [c for c in inputs if c not in text], text
 
 
-def _split(spark, sf_dir, extra=True):
-    rows = ledger(spark, sf_dir).drop("score", "score_b")
-    if extra:
-        rows = features.row_features(rows)
-    rows = durable(relate.temporal_split(rows, test_days=600, calibration_days=300).select(
-        "txn_id", "split", "is_fraud", "attack_vector_id", "amount", "cents", *[c for c in FITTED if c != "amount"], *CATEGORIES, *(EXTRA if extra else [])))
-    return [rows.where(F.col("split") == s) for s in ("train", "calibration", "test")]
+def _scorer(spark, sf_dir):
+    """The scorer that decides, at full effort on all columns."""
+    def make():
+        train, cal, _ = _split(spark, sf_dir)
+        return stack.Stack(*_inputs(train)).fit(train, cal)
+    return _once(spark, sf_dir, "scorer", make)
 
 
-def _summary(spark, found):
-    return spark.createDataFrame(found, "name string, recall double, cut double")
+def _refits(spark, sf_dir):
+    """Layers, left-out vectors and candidates, all grown in one pass at the effort of refits."""
+    def make():
+        train, cal, _ = _split(spark, sf_dir)
+        layers, raw = schema.column_layers(train), schema.column_layers(train)["raw"]
+        variants = [stack.Variant(n, cols) for n, cols in layers.items()]
+        variants += [stack.Variant(v, None, F.col("attack_vector_id") != v) for v in VECTORS]
+        variants += [stack.Variant(c, [*raw, c]) for c in CANDIDATES if c in train.columns]
+        return layers, stack.Stack(*_inputs(train), stack.LEAN).fit(train, cal, variants)
+    return _once(spark, sf_dir, "refits", make)
+
+
+def _refit_scores(spark, sf_dir):
+    """The test window under every refit."""
+    def make():
+        _, fitted = _refits(spark, sf_dir)
+        return durable(fitted.score_all(_split(spark, sf_dir)[2]).select("txn_id", "is_fraud", "attack_vector_id", "cents", "variant", "score", "alert", "z"))
+    return _once(spark, sf_dir, "refit scores", make)
 
 
 @query("model_stacked_scores")
 def model_stacked_scores(spark, sf_dir):
-    train, cal, test = _split(spark, sf_dir)
-    m = models.StackedScorer([*FITTED, *EXTRA], CATEGORIES).fit(train, cal)
-    return m.transform(test).select("txn_id", "is_fraud", "score", F.round("logit_gbt", 4).alias("logit_gbt"), F.round("logit_rf", 4).alias("logit_rf"),
-                                    fx.flag(F.col("score") > m.cut).alias("model_alert"))
+    """Boosting, forest and novelty on all columns, stacked and cut on the calibration window: scores, alerts and each channel's share."""
+    found = _scorer(spark, sf_dir).transform(_split(spark, sf_dir)[2])
+    return found.select("txn_id", "is_fraud", "score", "logit_gbt", "logit_rf", "novelty", "model_alert")
+
+
+@query("model_scored_decisions")
+def model_scored_decisions(spark, sf_dir):
+    """The test window from features to decisions: fitted scores, both controls, outcome and reasons."""
+    model = _scorer(spark, sf_dir)
+    done = job.decisions(model.transform(_split(spark, sf_dir)[2]).drop("model_alert"), model.cuts["all"])
+    return done.select("txn_id", "score", "logit_gbt", "logit_rf", "novelty", "model_alert", "decision", "outcome", "reasons")
 
 
 _TAIL = ("coalesce(list_min([" + ", ".join(f"CASE WHEN {{0}} {'<' if p <= 0.5 else '>'} q_{{0}}[{i}] THEN {min(p, 1 - p):.2f} END" for i, p in enumerate(models.Novelty.PROBS, 1))
@@ -55,46 +109,40 @@ def model_novelty_scores(spark, sf_dir):
 
 @query("model_logistic_baseline")
 def model_logistic_baseline(spark, sf_dir):
-    train, _, test = _split(spark, sf_dir, False)
-    scored = models.logistic_baseline(train, test.withColumn("score", F.lit(0.0)), FITTED)
+    train, _, test = _split(spark, sf_dir)
+    numeric = [c for c in schema.column_layers(train)["raw"] if c not in schema.CATEGORICAL]
+    scored = models.logistic_baseline(train, test.withColumn("score", F.lit(0.0)), numeric)
     return curve.operating_curve(curve.operating_points(curve.score_curve(scored)))
 
 
 @query("model_permutation_importance")
 def model_permutation_importance(spark, sf_dir):
-    train, cal, test = _split(spark, sf_dir, False)
-    m = models.StackedScorer(FITTED, CATEGORIES, trees=5).fit(train, cal)
-    return models.permutation_importance(m, durable(test), FITTED, "txn_id")
+    """Three shuffles of every column of the deciding scorer's, on a stratified sample of the calibration window."""
+    cal = _split(spark, sf_dir)[1]
+    numeric, text = _inputs(cal)
+    sample = durable(relate.stratified_sample(cal.select("txn_id", "is_fraud", *numeric, *text), 6000, "txn_id"))
+    return stack.permutation_importance(_scorer(spark, sf_dir), sample, [*numeric, *text])
 
 
 @query("model_layer_ablation")
 def model_layer_ablation(spark, sf_dir):
-    train, cal, test = _split(spark, sf_dir)
-    found = []
-    for name, cols in (("raw", FITTED), ("raw+derived", [*FITTED, *EXTRA])):
-        m = models.StackedScorer(cols, CATEGORIES, trees=5).fit(train, cal)
-        found.append((name, models.recall_at_budget(m.transform(test)), float(m.cut)))
-    return _summary(spark, found)
+    layers, _ = _refits(spark, sf_dir)
+    scored = _refit_scores(spark, sf_dir).where(F.col("variant").isin(list(layers)))
+    return stack.layer_table(scored, layers)
 
 
 @query("model_leave_one_vector_out")
 def model_leave_one_vector_out(spark, sf_dir):
-    train, cal, test = _split(spark, sf_dir, False)
-    found = []
-    for v in [f"V{i}" for i in range(12)]:
-        keep = F.col("attack_vector_id") != v
-        m = models.StackedScorer(FITTED, CATEGORIES, trees=5).fit(train.where(keep), cal.where(keep))
-        scored = m.transform(test.where((F.col("is_fraud") == 0) | ~keep))
-        s = scored.where("is_fraud = 1").agg(F.avg((F.col("score") > m.cut).cast("double"))).first()[0]
-        found.append((v, float(s or 0), float(m.cut)))
-    return _summary(spark, found)
+    return stack.left_out_table(_refit_scores(spark, sf_dir).where(F.col("variant").isin(VECTORS)))
 
 
 @query("model_label_shuffle_control")
 def model_label_shuffle_control(spark, sf_dir):
-    train, cal, test = [models.shuffled(d, "is_fraud", "txn_id", 3) for d in _split(spark, sf_dir, False)]
-    m = models.StackedScorer(FITTED, CATEGORIES, trees=5).fit(durable(train), durable(cal))
-    return curve.roc_auc(curve.score_curve(m.transform(durable(test)), money=None))
+    """The AUC of a scorer fitted on shuffled labels: near a half."""
+    numeric, text = _inputs(_featured(spark, sf_dir))
+    train, cal, test = [durable(models.shuffled(d.select("txn_id", "is_fraud", *numeric, *text), "is_fraud", "txn_id", 3)) for d in _split(spark, sf_dir)]
+    m = stack.Stack(numeric, text, stack.LEAN).fit(train, cal)
+    return curve.roc_auc(curve.score_curve(m.transform(test), money=None))
 
 
 @query("model_rule_candidates", """
@@ -137,11 +185,11 @@ def model_mined_rule(spark, sf_dir):
 
 @query("model_counterfactuals")
 def model_counterfactuals(spark, sf_dir):
-    train, cal, test = _split(spark, sf_dir, False)
-    m = models.StackedScorer(FITTED, CATEGORIES, trees=5).fit(train, cal)
-    alerts = durable(m.transform(test).where(F.col("score") > m.cut).select("txn_id", "is_fraud", *FITTED, *CATEGORIES))
-    trials = models.counterfactual_trials(alerts, train, "txn_id")
-    return models.counterfactuals(alerts, m.transform(trials), m.cut, "txn_id")
+    train, _, test = _split(spark, sf_dir)
+    m, inputs = _scorer(spark, sf_dir), schema.input_columns(test)
+    alerts = durable(m.transform(test).where("model_alert = 1").select("txn_id", "is_fraud", *inputs))
+    trials = durable(models.counterfactual_trials(alerts, train, "txn_id"))
+    return models.counterfactuals(alerts, m.transform(trials), m.cuts["all"], "txn_id")
 
 
 @query("model_text_guard_scores")
@@ -166,21 +214,43 @@ def text_normalised(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", models.normalise_text(F.col("text")).alias("clean"))
 
 
+@query("score_saved_requests")
+def score_saved_requests(spark, sf_dir):
+    """Sparse requests scored by the saved scorer: message columns that a request lacks read their defaults, derived ones stay NULL.
+
+    A third of the requests come without the derived columns and a quarter without an amount.
+    """
+    model, folder = _scorer(spark, sf_dir), f"{shared_folder(spark)}/scorer-{uuid.uuid4().hex}"
+    model.save(spark, folder)
+    loaded = stack.Stack.load(spark, folder)
+    rows = _split(spark, sf_dir)[2]
+    inputs = schema.input_columns(rows)
+    derived = [c for c in inputs if c.startswith(("f_", "g_"))]
+    bare, no_amount = F.col("item") % 3 == 0, F.col("supp") % 4 == 0
+    asked = rows.select("txn_id", *[F.when(~bare, F.col(c)).alias(c) if c in derived else F.when(~no_amount, F.col(c)).alias(c) if c == "amount" else c for c in inputs])
+    filled = schema.align_request(asked, ["txn_id", *inputs])
+    scored = loaded.transform(filled.withColumn("completeness", fx.completeness(derived)))
+    declined = (F.col("model_alert") == 1) | (F.coalesce("intent_guard_blocked", F.lit(0)) == 1) | (F.coalesce("agent_control_blocked", F.lit(0)) == 1)
+    return scored.select("txn_id", "amount", "score", "model_alert", F.when(declined, "decline").otherwise("approve").alias("decision"), "completeness")
+
+
 @query("score_partial_requests", """SELECT txn_id, coalesce(CASE WHEN supp % 4 <> 0 THEN amount END, 0)::DOUBLE AS amount_used, (CASE WHEN supp % 4 <> 0 THEN 1 ELSE 0 END + CASE WHEN item % 3 <> 0 THEN 1 ELSE 0 END) / 2.0::DOUBLE AS completeness FROM ledger""", ("ledger",))
 def score_partial_requests(spark, sf_dir):
+    """What a sparse request is taken to say, and how much of it was said."""
     sparse = ledger(spark, sf_dir, ["txn_id", "supp", "item", "amount", "score"]).selectExpr("txn_id", "IF(supp % 4 <> 0, amount, NULL) AS amount", "IF(item % 3 <> 0, score, NULL) AS f_given")
-    return sparse.select("txn_id", F.coalesce("amount", F.lit(0.0)).alias("amount_used"), fx.completeness(["amount", "f_given"]).alias("completeness"))
+    told = schema.align_request(sparse.select("amount", "f_given", "txn_id"), ["txn_id", "amount", "f_given"])
+    return told.select("txn_id", F.col("amount").alias("amount_used")).join(sparse.select("txn_id", fx.completeness(["amount", "f_given"]).alias("completeness")), "txn_id")
 
 
 @query("audit_joint_separability")
 def audit_joint_separability(spark, sf_dir):
-    return models.separability(durable(ledger(spark, sf_dir, ["txn_id", "ts_s", "is_fraud", *FITTED])), FITTED, "ts_s")
+    return stack.separability(durable(ledger(spark, sf_dir, ["txn_id", "ts_s", "is_fraud", *NUMERIC])), NUMERIC)
 
 
 @query("audit_derived_separability")
 def audit_derived_separability(spark, sf_dir):
-    rows = features.row_features(ledger(spark, sf_dir)).select("txn_id", "ts_s", "is_fraud", *FITTED, *EXTRA)
-    return models.separability(durable(rows), [*FITTED, *EXTRA], "ts_s")
+    rows = _featured(spark, sf_dir)
+    return stack.separability(rows, _inputs(rows)[0])
 
 
 @query("model_indicative_terms")
@@ -212,8 +282,9 @@ def model_legit_stats(spark, sf_dir):
 
 @query("model_candidate_gain")
 def model_candidate_gain(spark, sf_dir):
-    train, cal, test = _split(spark, sf_dir)
-    return models.candidate_gain(train, cal, test, FITTED, "f_coercion_signal_count", CATEGORIES, trees=5)
+    """Refits on the message columns with one more column each."""
+    scored = _refit_scores(spark, sf_dir).where(F.col("variant").isin(["raw", *CANDIDATES]))
+    return stack.gains(scored, "raw", models.ACCEPT_GAIN)
 
 
 @query("select_export_slice", """WITH k AS (SELECT *, CASE WHEN is_fraud = 1 THEN 'f' WHEN score >= 0.88 THEN 'x' ELSE 'a' END AS kind FROM ledger),
