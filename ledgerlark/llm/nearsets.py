@@ -22,6 +22,8 @@ HEAVY = 64
 ROUNDS = 2
 #: Sets compared with one centre, and sets of a bucket joined with others of it, in one row group.
 SLICE = 64
+#: Words of 64 bits in a set's sketch of parities.
+SKETCH = 16
 #: Rows that a broadcast side may have; a larger one is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -36,9 +38,10 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``d, t, fp, w, n, prefix`` for every row: fingerprint, a hash ``w`` of the set of shingles, its size, and its least shingle hashes.
+    """``d, t, fp, w, n, prefix, sk`` for every row: fingerprint, a hash ``w`` of the set of shingles, its size, its least shingle hashes, a sketch.
 
-    The prefix holds one shingle more than the set may miss; two sets as similar as ``similarity`` share one of each other's.
+    A bit of the sketch is the parity of how many shingles fall on it. Two sketches differ in no more bits than their sets in
+    shingles, so a pair that is further apart than similar sets can be is known without its texts. The prefix holds one shingle more than the set may miss; two sets as similar as ``similarity`` share one of each other's.
     """
     import xxhash
 
@@ -49,15 +52,17 @@ def shingle_sets(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
                 for data in as_bytes(part.column("text")):
                     h = shingle_hashes(data, shingle)
                     each = np.unique(h)
-                    rows.append((majority(h), xxhash.xxh64_intdigest(each.tobytes(), SEED) - (1 << 63), len(each), each[:prefix_length(len(each), similarity)].view("<i8")))
-                fp, w, n, prefix = zip(*rows, strict=True) if rows else ((), (), (), ())
+                    rows.append((majority(h), xxhash.xxh64_intdigest(each.tobytes(), SEED) - (1 << 63), len(each), each[:prefix_length(len(each), similarity)].view("<i8"),
+                                 np.packbits(np.bincount((each & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH).astype(np.uint8) & 1).view("<i8")))
+                fp, w, n, prefix, sketch = zip(*rows, strict=True) if rows else ((), (), (), (), ())
                 ends = pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32())
                 flat = pa.array(np.concatenate([*prefix, np.empty(0, np.int64)]).astype(np.int64))
                 columns = [pa.array(c, pa.int64()) for c in (fp, w, n)]
-                yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), *columns, pa.ListArray.from_arrays(ends, flat)], ["d", "t", "fp", "w", "n", "prefix"])
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * SKETCH, pa.int32()), pa.array(np.concatenate([*sketch, np.empty(0, np.int64)]).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("d"), part.column("t"), *columns, pa.ListArray.from_arrays(ends, flat), bits], ["d", "t", "fp", "w", "n", "prefix", "sk"])
 
     named = docs.select(document_key().alias("d"), "text", text_hash().alias("t"))
-    return named.mapInArrow(computed, "d long, t long, fp long, w long, n long, prefix array<long>")
+    return named.mapInArrow(computed, "d long, t long, fp long, w long, n long, prefix array<long>, sk array<long>")
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -147,38 +152,39 @@ def _by_fingerprint(sets: DataFrame) -> DataFrame:
     return same.union(named.select("a", "b"))
 
 
-def _grouped(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """``s, w, n, k, root`` of the shingles that still have sets of several groups."""
+def _grouped(entries: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
+    """``s, w, n, k, root, sk`` of the shingles that still have sets of several groups."""
     placed = entries.join(found, entries.w == found.node, "left").select("s", "w", "n", "k", F.coalesce("root", "w").alias("root"))
     bucket = W.partitionBy("s")
     ends = placed.withColumns({"_x": F.min("root").over(bucket), "_y": F.max("root").over(bucket)})
-    return stored(ends.where("_x < _y").drop("_x", "_y"))
+    return stored(ends.where("_x < _y").drop("_x", "_y").join(sets.select("w", "sk"), "w"))
 
 
-def _near_in_size(a: str, b: str, similarity: float):
-    return F.least(a, b) >= F.greatest(a, b) * similarity - 1e-9
+def _may_be_similar(similarity: float):
+    """Whether sets of ``n`` and ``m`` shingles with sketches ``sk`` and ``_sk`` may be: by size, and by how many shingles they differ in at least."""
+    apart = F.expr(" + ".join(f"bit_count(sk[{i}] ^ _sk[{i}])" for i in range(SKETCH)))
+    return (F.least("n", "m") >= F.greatest("n", "m") * similarity - 1e-9) & (apart <= (F.col("n") + F.col("m")) * (1 - similarity) / (1 + similarity) + 1e-9)
 
 
 def _starred(placed: DataFrame, turn: int, similarity: float) -> DataFrame:
     """Pairs of each set with the one first set of a shingle that it shares most of: the order of sets is the same in all buckets."""
     order = F.xxhash64("w", F.lit(turn))
-    centre = placed.groupBy("s").agg(F.min(F.struct(order.alias("o"), F.col("w").alias("a"), F.col("n").alias("m"), F.col("root").alias("_r"))).alias("c")).select("s", "c.*")
-    pairs = placed.join(centre, "s").where((F.col("root") != F.col("_r")) & _near_in_size("n", "m", similarity))
-    shared = pairs.groupBy("a", F.col("w").alias("b")).agg(F.count("*").alias("k"), F.any_value("n").alias("n"))
-    # sets this similar share most of their prefixes, as a rule; those that do not are compared in the last round
-    likely = shared.where(F.col("k") * 3 >= F.col("n") * (1 - similarity))
-    return likely.groupBy("b").agg(F.max(F.struct("k", "a")).alias("c")).select("c.a", "b")
+    first = F.struct(order.alias("o"), F.col("w").alias("a"), F.col("n").alias("m"), F.col("root").alias("_r"), F.col("sk").alias("_sk"))
+    centre = placed.groupBy("s").agg(F.min(first).alias("c")).select("s", "c.*")
+    pairs = placed.join(centre, "s").where((F.col("root") != F.col("_r")) & _may_be_similar(similarity))
+    shared = pairs.groupBy("a", F.col("w").alias("b")).agg(F.count("*").alias("k"))
+    return shared.groupBy("b").agg(F.max(F.struct("k", "a")).alias("c")).select("c.a", "b")
 
 
 def _all_apart(placed: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of sets in different groups that share a shingle of their prefixes and, by how many they share, may be similar.
+    """All pairs of sets in different groups that share a shingle of their prefixes and, by sketch and by how many they share, may be similar.
 
     A bucket of many sets is cut: each set has a part of its own on one side and meets every part on the other.
     """
     parts = F.ceil(F.col("k") / (4 * SLICE))
-    left = placed.select("s", F.pmod(F.xxhash64("w"), parts).alias("part"), F.col("w").alias("a"), F.col("n").alias("m"), F.col("root").alias("_r"))
-    right = placed.select("s", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("w").alias("b"), "n", "root")
-    met = left.join(right, ["s", "part"]).where((F.col("a") < F.col("b")) & (F.col("_r") != F.col("root")) & _near_in_size("n", "m", similarity))
+    left = placed.select("s", F.pmod(F.xxhash64("w"), parts).alias("part"), F.col("w").alias("a"), F.col("n").alias("m"), F.col("root").alias("_r"), F.col("sk").alias("_sk"))
+    right = placed.select("s", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.col("w").alias("b"), "n", "root", "sk")
+    met = left.join(right, ["s", "part"]).where((F.col("a") < F.col("b")) & (F.col("_r") != F.col("root")) & _may_be_similar(similarity))
     shared = met.groupBy("a", "b").agg(F.count("*").alias("k"), F.any_value("n").alias("n"), F.any_value("m").alias("m"))
     total = F.ceil((F.col("n") + F.col("m")) * similarity / (1 + similarity) - 1e-9)
     rest = F.ceil(F.greatest("n", "m") * similarity - 1e-9) - 1  # shingles behind the prefix
@@ -198,13 +204,13 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     with shuffles_let_go(docs.sparkSession):
         prints = stored(shingle_sets(docs, shingle, similarity))
         least = int(1 / (1 - similarity) + 1e-9) - 1  # smaller sets are like none but themselves
-        first = F.min(F.struct("d", "t", "n", "fp", "prefix")).alias("first")
+        first = F.min(F.struct("d", "t", "n", "fp", "prefix", "sk")).alias("first")
         sets = stored(prints.where(F.col("n") >= least).groupBy("w").agg(first).select("w", "first.*"))
         entries = prefix_entries(docs, sets, shingle, similarity, HEAVY if heavy_from is None else heavy_from)
         known = _compared(stored(_by_fingerprint(sets)), docs, sets, shingle, similarity)
         found = stored(components(known, stored))
         for turn in range(ROUNDS + 1):
-            placed = _grouped(entries, found)
+            placed = _grouped(entries, found, sets)
             pairs = stored(_starred(placed, turn, similarity) if turn < ROUNDS else _all_apart(placed, similarity))
             known = known.union(_compared(pairs, docs, sets, shingle, similarity))
             found = stored(components(known, stored))

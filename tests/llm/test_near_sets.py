@@ -53,7 +53,7 @@ def corpus(rng):
     return list(enumerate(rows + chain + shared + group + small + [rows[3].upper(), centre]))
 
 
-@pytest.mark.parametrize("heavy_from", [2, 16, 64])
+@pytest.mark.parametrize("heavy_from", [2, 64])
 def test_no_pair_is_lost(spark, monkeypatch, heavy_from):
     rng = random.Random(heavy_from)
     rows = corpus(rng)
@@ -70,6 +70,17 @@ def test_the_last_round_alone_loses_none(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got.collect()) == kept_ids(rows, 0.6)
 
 
+def test_sketches_differ_in_no_more_bits_than_their_sets(spark):
+    rng = random.Random(3)
+    base = prose(rng, 150, 9000)
+    rows = [(i, edited(rng, base, 1 + 3 * i)) for i in range(8)] + [(20, prose(rng, 900, 40)), (21, "a b")]
+    got = {r["d"]: r["sk"] for r in nearsets.shingle_sets(documents(spark, rows), 5, 0.8).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    for i, j in combinations(got, 2):
+        bits = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(got[i], got[j], strict=True))
+        assert bits <= len(sets[i] ^ sets[j])
+
+
 def test_awkward_rows(spark):
     rows = [(i, t) for i, t in awkward() if i is not None]
     assert sorted(r["doc_id"] for r in nearsets.one_of_each(documents(spark, rows)).collect()) == kept_ids(rows)
