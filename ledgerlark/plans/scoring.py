@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
-from ..operators import curve, evaluate, features, job, media, models, relate, stack
+from ..operators import curve, evaluate, features, graph, job, media, models, relate, stack
 from ..session import durable, shared_folder
 from ..sources import schema
 from ..sources.tables import LINE_COLUMNS, captures, ledger, table
@@ -30,14 +30,14 @@ def _once(spark, sf_dir, name, make):
 
 
 def _featured(spark, sf_dir):
-    """Payments with every derived, graph and guard column, worked out once a session."""
+    """Payments with every derived and guard column and the degrees of the account graph, worked out once a session."""
     def make():
         guarded = media.MediaGuard()
         given = ledger(spark, sf_dir).drop("score", "score_b")
         seen = captures(spark, sf_dir).select("txn_id", *media.SCORES)
         raw = durable(given.join(seen, "txn_id"))
         early = relate.temporal_split(raw, test_days=600, calibration_days=300).where("split = 'train'")
-        return durable(guarded.fit(early).transform(job.full_rebuild(raw, ORD)))
+        return durable(guarded.fit(early).transform(job.full_rebuild(raw, ORD, metrics=graph.degrees)))
     return _once(spark, sf_dir, "features", make)
 
 
@@ -259,11 +259,38 @@ def model_indicative_terms(spark, sf_dir):
     return models.indicative_terms(docs.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id"), "text", "toxic")
 
 
+def _labelled(spark, sf_dir):
+    known = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(known, "doc_id")
+
+
 @query("model_text_group_holdout")
 def model_text_group_holdout(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").join(
-        table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
-    return models.group_holdout(docs, "text", "toxic", "lang", ["en", "de", "fr", "es"])
+    return models.group_holdout(_labelled(spark, sf_dir), "text", "toxic", "lang", ["en", "de", "fr", "es"])
+
+
+@query("model_text_phrasing_holdout")
+def model_text_phrasing_holdout(spark, sf_dir):
+    """Recall by language on the half of the phrasings that the guard has not seen."""
+    return models.phrasing_holdout(_labelled(spark, sf_dir), "text", "toxic", "lang")
+
+
+@query("model_text_unseen_wording")
+def model_text_unseen_wording(spark, sf_dir):
+    """A guard of the earlier documents on a table of other wording: the later ones, their words in reverse order."""
+    docs = durable(_labelled(spark, sf_dir))
+    edge = docs.agg(F.percentile_approx("doc_id", 0.6, 100_000)).first()[0]
+    other = docs.where(F.col("doc_id") > edge).withColumn("text", F.array_join(F.reverse(F.split("text", r"\s+")), " "))
+    return models.unseen_wording(models.fit_text_guard(docs.where(F.col("doc_id") <= edge), "text", "toxic"), other, "toxic", "lang")
+
+
+@query("model_text_guard_recall")
+def model_text_guard_recall(spark, sf_dir):
+    """Recall by language on the later labelled documents, at the cut that 1% of their clean ones exceed."""
+    docs = durable(_labelled(spark, sf_dir))
+    edge = docs.agg(F.percentile_approx("doc_id", 0.6, 100_000)).first()[0]
+    guard = models.fit_text_guard(docs.where(F.col("doc_id") <= edge), "text", "toxic")
+    return models.unseen_wording(guard, docs.where(F.col("doc_id") > edge), "toxic", "lang")
 
 
 @query("response_prices")
