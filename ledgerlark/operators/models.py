@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, Imputer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.regression import IsotonicRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fx
@@ -262,7 +266,7 @@ def nfkc(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, fold(F.col(text)))
 
 
-def text_features(df: DataFrame, text: str, size: int = 1 << 18) -> DataFrame:
+def text_features(df: DataFrame, text: str, size: int = 1 << 18, keep_terms: bool = False) -> DataFrame:
     """Word 1-2 grams and character 3-5 grams of the folded text, hashed; a term's weight comes from the IDF behind it."""
     words = F.filter(F.split(F.col("_t"), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     pairs = F.when(F.size("_w") > 1, F.transform(F.sequence(F.lit(1), F.size("_w") - 1), lambda i: F.concat(F.get("_w", i - 1), F.lit(" "), F.get("_w", i)))).otherwise(F.array().cast("array<string>"))
@@ -275,32 +279,125 @@ def text_features(df: DataFrame, text: str, size: int = 1 << 18) -> DataFrame:
 
     prepared = nfkc(df.withColumn("_t", F.col(text)), "_t").withColumn("_t", normalise_text(F.col("_t"))).withColumn("_w", words)
     prepared = prepared.withColumn("_terms", F.concat("_w", pairs, grams(3), grams(4), grams(5)))
-    return HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=size).transform(prepared).drop("_t", "_w", "_terms")
+    return HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=size).transform(prepared).drop("_t", "_w", *([] if keep_terms else ["_terms"]))
+
+
+#: Folds of a calibrated guard, and its false-positive budget (fixed values).
+FOLDS, TEXT_FPR = 3, 0.01
+
+
+def dampened(df: DataFrame, column: str) -> DataFrame:
+    """Sparse counts of ``column`` as ``1 + ln(count)``."""
+    @F.udf(VectorUDT())
+    def logs(v):
+        return Vectors.sparse(v.size, v.indices, [1.0 + math.log(x) for x in v.values])
+
+    return df.withColumn(column, logs(column))
+
+
+class TextGuard:
+    """Hashed grams with sublinear weights under a balanced linear model, calibrated by isotonic regression on held-out folds.
+
+    Each fold's model is fitted on the other folds, and its scores of the fold are pooled into a rising step curve; a score is
+    the mean of the folds' calibrated ones. Folds go by the hash of the text, so equal texts never stand on both sides.
+    """
+
+    def __init__(self, text: str, label: str, folds: int = FOLDS) -> None:
+        self.text, self.label, self.folds = text, label, folds
+
+    def fit(self, train: DataFrame) -> TextGuard:
+        """Too few positives is an error."""
+        if train.where(F.col(self.label) == 1).limit(MIN_POSITIVES).count() < MIN_POSITIVES:
+            raise ValueError(f"a text guard needs at least {MIN_POSITIVES} positive documents")
+        fold = F.pmod(F.xxhash64(F.coalesce(self.text, F.lit(""))), F.lit(self.folds))
+        counts = dampened(durable(text_features(train.select(F.coalesce(self.text, F.lit("")).alias(self.text), self.label), self.text)), "_tf")
+        self.idf = IDF(inputCol="_tf", outputCol="features").fit(counts)
+        ready = durable(self.idf.transform(counts).withColumn("_fold", fold).select(self.label, "features", "_fold"))
+        self.parts = []
+        for k in range(self.folds):
+            rest, held = ready.where(F.col("_fold") != k), ready.where(F.col("_fold") == k)
+            if rest.agg(F.count_distinct(self.label)).first()[0] < 2 or held.limit(1).count() == 0:
+                continue
+            model = LogisticRegression(labelCol=self.label, weightCol="_w", maxIter=30, regParam=0.02).fit(balance(rest, self.label))
+            told = model.transform(held).select(F.col(self.label).cast("double").alias("y"), vector_to_array("probability")[1].alias("p"))
+            curve_ = IsotonicRegression(featuresCol="p", labelCol="y", predictionCol="c").fit(told)
+            steps = (list(curve_.boundaries), list(curve_.predictions))
+            self.parts.append((model, steps))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``score``, a calibrated chance."""
+        out = df.withColumn("_text", F.coalesce(self.text, F.lit("")))
+        out = self.idf.transform(dampened(durable(text_features(out, "_text")), "_tf"))
+        means = []
+        for i, (model, steps) in enumerate(self.parts):
+            out = model.transform(out).withColumn(f"_p{i}", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
+            means.append(stepped(F.col(f"_p{i}"), *steps))
+        score = reduce(lambda a, b: a + b, means) / len(means)
+        return out.withColumn("score", F.round(score, 6)).select(*df.columns, "score")
+
+
+def stepped(value: Column, boundaries: Sequence[float], predictions: Sequence[float]) -> Column:
+    """A rising curve through ``boundaries`` and ``predictions``, straight between them and level beyond."""
+    if len(boundaries) == 1:
+        return F.lit(float(predictions[0]))
+    b, p = F.array(*[F.lit(float(x)) for x in boundaries]), F.array(*[F.lit(float(x)) for x in predictions])
+    k = F.least(F.greatest(F.size(F.filter(b, lambda x: x <= value)), F.lit(1)), F.lit(len(boundaries) - 1))
+    x0, x1, y0, y1 = F.get(b, k - 1), F.get(b, k), F.get(p, k - 1), F.get(p, k)
+    inside = F.when(x1 > x0, y0 + (y1 - y0) * (value - x0) / (x1 - x0)).otherwise(y1)
+    return F.when(value <= boundaries[0], float(predictions[0])).when(value >= boundaries[-1], float(predictions[-1])).otherwise(inside)
 
 
 def fit_text_guard(train: DataFrame, text: str, label: str):
-    """Hashed grams to tf-idf to a balanced logistic model; too few positives is an error."""
-    if train.where(F.col(label) == 1).limit(MIN_POSITIVES).count() < MIN_POSITIVES:
-        raise ValueError(f"a text guard needs at least {MIN_POSITIVES} positive documents")
-    tf = text_features(train, text).persist()
-    idf = IDF(inputCol="_tf", outputCol="features").fit(tf)
-    model = LogisticRegression(labelCol=label, weightCol="_w", maxIter=30, regParam=0.02).fit(balance(idf.transform(tf), label))
-    tf.unpersist()
-    return lambda d: model.transform(idf.transform(text_features(d, text))).withColumn("score", F.round(vector_to_array("probability")[1], 6)).select(*d.columns, "score")
+    """A fitted :class:`TextGuard` as a function that adds ``score``."""
+    return TextGuard(text, label).fit(train).transform
+
+
+def recall_by_group(scored: DataFrame, group: str, cut: float, label: str = "is_fraud") -> DataFrame:
+    """``group, positives, caught, recall`` with bounds of each group's positives, and those of all as ``*``."""
+    hit = fx.flag(F.col("score") > cut)
+    each = scored.where(F.col(label) == 1).select(F.explode(F.array(F.coalesce(F.col(group).cast("string"), F.lit("")), F.lit("*"))).alias("group"), hit.alias("_hit"))
+    out = each.groupBy("group").agg(F.count("*").alias("positives"), F.sum("_hit").alias("caught"))
+    return fx.with_wilson(out.withColumn("recall", F.col("caught") / F.col("positives")), "recall", "positives")
+
+
+def _at_budget(scored: DataFrame):
+    return curve.operating_points(curve.score_curve(scored, money=None), [TEXT_FPR]).first()
 
 
 def group_holdout(df: DataFrame, text: str, label: str, group: str, groups: Sequence[str]) -> DataFrame:
-    """Leave one group's positives out, refit, and measure recall on them at 1% of unseen negatives."""
+    """Leave one group's rows out, refit, and measure recall on its positives at 1% of its negatives."""
     rows = []
     for g in groups:
         out = (F.col(group) == g)
         score = fit_text_guard(df.where(~out), text, label)
-        seen = score(df.where(out)).withColumnRenamed(label, "is_fraud")
-        p = curve.operating_points(curve.score_curve(seen, money=None), [0.01]).first()
+        p = _at_budget(score(df.where(out)).withColumnRenamed(label, "is_fraud"))
         rows.append((str(g), int(p["p"]), float(p["tp"] or 0) / max(p["p"], 1)))
     return fx.with_wilson(df.sparkSession.createDataFrame(rows, "held_out string, positives long, recall double"), "recall", "positives")
 
 
+def phrasing(text: Column) -> Column:
+    """Which phrasing a text is of: its least hash of five consecutive words, so that copies with other ends share it as a rule."""
+    words = F.filter(F.split(normalise_text(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    grams = F.when(F.size(words) >= 5, F.transform(F.sequence(F.lit(0), F.size(words) - 5), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(5)])))
+    return F.coalesce(F.array_min(grams), F.xxhash64(F.array_join(words, " ")))
+
+
+def phrasing_holdout(df: DataFrame, text: str, label: str, group: str) -> DataFrame:
+    """Recall by ``group`` on the half of the phrasings that the guard has not seen, at 1% of their negatives."""
+    side = F.pmod(F.xxhash64(phrasing(F.coalesce(text, F.lit("")))), F.lit(2))
+    split = durable(df.withColumn("_side", side))
+    score = fit_text_guard(split.where("_side = 0"), text, label)
+    seen = durable(score(split.where("_side = 1")).withColumnRenamed(label, "is_fraud"))
+    return recall_by_group(seen, group, _at_budget(seen)["cut"])
+
+
+def unseen_wording(guard, table: DataFrame, label: str, group: str) -> DataFrame:
+    """Recall by ``group`` on a supplied table of other wording, with the cut taken anew on its own negatives."""
+    told = durable(guard(table).withColumnRenamed(label, "is_fraud"))
+    return recall_by_group(told, group, _at_budget(told)["cut"])
+
+
 def legit_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, mean, std`` of each numeric column over legitimate payments: population deviation plus 1e-9."""
     long = long_numeric(df.where("is_fraud = 0"), list(columns), []).where("value IS NOT NULL")
@@ -341,14 +438,25 @@ def separability(df: DataFrame, numeric: Sequence[str], ts: str, repeats: int =
     return out.select("*", fx.flag(F.col("lo95") > 0.92).alias("flag"), fx.flag(F.col("recall") > 0.92).alias("warning"))
 
 
-def indicative_terms(df: DataFrame, text: str, label: str, top: int = 20, vocabulary: int = 60_000) -> DataFrame:
-    """Words with the largest weights either way; a vocabulary keeps the names that hashing loses."""
-    from pyspark.ml.feature import CountVectorizer
-    words = df.withColumn("_words", F.filter(F.split(normalise_text(F.col(text)), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    vectors = CountVectorizer(inputCol="_words", outputCol="_tf", vocabSize=vocabulary, minDF=2.0).fit(words)
-    counts = vectors.transform(words)
-    idf = IDF(inputCol="_tf", outputCol="features").fit(counts)
-    model = LogisticRegression(labelCol=label, weightCol="_w8", maxIter=30, regParam=0.05).fit(
-        balance(idf.transform(counts), label).withColumnRenamed("_w", "_w8"))
-    rows = sorted(zip(vectors.vocabulary, [float(c) for c in model.coefficients]), key=lambda p: (-p[1], p[0]))
-    return df.sparkSession.createDataFrame(rows[:top] + rows[-top:], "term string, weight double")
+def indicative_terms(df: DataFrame, text: str, label: str, top: int = 20, size: int = 1 << 18) -> DataFrame:
+    """``kind, term, weight`` of the words, word pairs and character grams with the largest weights either way.
+
+    Grams are hashed, so no vocabulary limits them. The slots with the largest weights, a few times ``top``, are joined back to
+    the grams of the texts; of the grams that share a slot the one in most documents names it. A gram of one document names none.
+    """
+    tf = durable(text_features(df.select(F.coalesce(text, F.lit("")).alias(text), label), text, size, keep_terms=True))
+    counts = dampened(tf, "_tf")
+    ready = IDF(inputCol="_tf", outputCol="features", minDocFreq=2).fit(counts).transform(counts)
+    model = LogisticRegression(labelCol=label, weightCol="_w", maxIter=30, regParam=0.05).fit(balance(ready, label))
+    weights = model.coefficients.toArray()
+    chosen = np.argsort(-np.abs(weights), kind="stable")[:40 * top]  # model-sized
+    slots = df.sparkSession.createDataFrame([(int(i), float(weights[i])) for i in chosen if weights[i]], "slot long, weight double")
+    # the hash of the feature step: Murmur3 of the term's bytes, seed 42, into ``size`` slots
+    terms = tf.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(F.count("*").alias("docs")).where("docs > 1")
+    named = terms.withColumn("slot", F.pmod(F.hash("term"), F.lit(size)).cast("long")).join(F.broadcast(slots), "slot")
+    best = named.groupBy("slot").agg(F.max(F.struct("docs", "term")).alias("b"), F.max("weight").alias("weight")).select(F.col("b.term").alias("t"), "weight")
+    kind = F.when(F.col("t").startswith("#"), "characters").when(F.col("t").contains(" "), "pair").otherwise("word")
+    rows = best.select(kind.alias("kind"), F.regexp_replace("t", "^#", "").alias("term"), "weight")
+    high, low = (Window.partitionBy("kind").orderBy(o, "term") for o in (F.desc("weight"), F.asc("weight")))
+    placed = rows.withColumns({"_h": F.row_number().over(high), "_l": F.row_number().over(low)})
+    return placed.where((F.col("_h") <= top) & (F.col("weight") > 0) | (F.col("_l") <= top) & (F.col("weight") < 0)).drop("_h", "_l")
