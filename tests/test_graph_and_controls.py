@@ -106,3 +106,15 @@ def test_stratified_sample_keeps_all_fraud(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("t"), (F.col("id") < 40).cast("int").alias("is_fraud"))
     s = relate.stratified_sample(df, 900, "t")
     assert s.where("is_fraud = 1").count() == 40 and s.count() == 900
+
+
+def test_node_tables_are_never_broadcast(spark, monkeypatch):
+    """Labels compress so well that adaptive execution takes large node tables for small ones."""
+    plans, cut = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: plans.append(df) or cut(df))
+    pay = spark.createDataFrame([(1 + i % 3, f"a{i % 20}", f"a{(i * 7 + 1) % 20}", 100) for i in range(90)], "day long, payer string, payee string, cents long")
+    edges = cut(graph.snapshot_edges(pay))
+    plans.append(graph.components(edges))
+    graph.communities(pay)
+    lines = [x for df in plans for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert len(lines) > 6 and all("strategy=merge" in x for x in lines), [x for x in lines if "strategy=merge" not in x]
