@@ -118,3 +118,23 @@ def test_planted_leaks_are_found(spark):
     found = {(a["column"], a["kind"]) for a in audit.find_artefacts(df, ["kind"], ["payer"], ["leak"]).collect()}
     assert ("leak", "band") in found and ("payer", "id prefix") in found and ("kind", "level") not in found
     assert evaluate.column_auc(df, ["leak"]).first()["auc"] == 1.0
+
+
+def test_draws_of_many_cells_are_those_of_each():
+    cells, k = np.arange(-40, 160, dtype=np.int64) * 0x1234567, np.arange(200) % 12 + 1
+    many = curve.draw_all(cells, k, 501, 7)
+    assert all((many[i] == curve.draws(int(cells[i]), int(k[i]), 501, 7)).all() for i in range(200))
+    ones = curve.draw_all(np.arange(4000, dtype=np.int64), np.ones(4000, np.int64), 500, 3)[:, 1:]
+    share = np.bincount(ones.astype(int).ravel(), minlength=6)[:6] / ones.size
+    assert np.abs(share - np.array([1, 1, 1 / 2, 1 / 6, 1 / 24, 1 / 120]) / np.e).max() < 1e-3
+    assert abs(np.corrcoef(ones[:, 0], ones[:, 1])[0, 1]) < 0.06 and abs(np.corrcoef(ones[0], ones[1])[0, 1]) < 0.2
+
+
+def test_kept_sums_tell_the_same_as_drawing_twice(spark, monkeypatch):
+    r = random.Random(12)
+    df = spark.createDataFrame([(round(r.random(), 1), int(r.random() < 0.2), r.randrange(1, 999)) for _ in range(900)], "score double, is_fraud int, cents long").repartition(3)
+    found = []
+    for few in (10**9, 1):
+        monkeypatch.setattr(curve, "KEPT_CELLS", few)
+        found.append(sorted(curve.bootstrap(df, ["score"], 0.05, 20).collect(), key=lambda x: x["rep"]))
+    assert len(found[0]) == 21 and all(a[i] == pytest.approx(b[i]) for a, b in zip(*found, strict=True) for i in range(2, 7))
