@@ -138,3 +138,16 @@ def test_kept_sums_tell_the_same_as_drawing_twice(spark, monkeypatch):
         monkeypatch.setattr(curve, "KEPT_CELLS", few)
         found.append(sorted(curve.bootstrap(df, ["score"], 0.05, 20).collect(), key=lambda x: x["rep"]))
     assert len(found[0]) == 21 and all(a[i] == pytest.approx(b[i]) for a, b in zip(*found, strict=True) for i in range(2, 7))
+
+
+def test_ranges_change_no_bit_of_a_replica(spark):
+    r = random.Random(13)
+    pairs = [(round(r.betavariate(4, 2), 3), 1) for _ in range(200)] + [(round(r.betavariate(2, 4), 3), 0) for _ in range(1500)]
+    df, found, parts = _scored(spark, pairs), [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("1", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(tuple(x) for x in curve.bootstrap(df, ["score"], 0.02, 40).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert found[0] == found[1]
