@@ -267,3 +267,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("first")).join(roots, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
     named = roots.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of near copies; see :func:`ledgerlark.llm.nearsets.one_of_each`."""
+    from .nearsets import one_of_each as exact  # which builds on this module
+
+    return exact(docs, **options)
