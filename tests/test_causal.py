@@ -65,3 +65,45 @@ def test_cross_entity_window_is_strictly_earlier(spark):
     q = spark.createDataFrame([("a", 200), ("a", 201), ("b", 200)], "q string, ts_s long")
     out = causal.cross_window_sum(src, "k", q, "q", value="v", window=W).collect()
     assert {(r["q"], r["ts_s"]): r["cross_sum"] for r in out} == {("a", 200): 12, ("a", 201): 16, ("b", 200): 0}
+
+
+def test_windows_reach_across_stretches_and_partners_may_be_null(spark):
+    r, w = random.Random(8), 6 * 86_400
+    rows = [(i, r.choice(["hot", "hot", "k1", "k2", None]), r.choice(["p0", "p1", "p2", None]), 1_777_000_000 + 3_600 * r.randrange(24 * 70), r.random()) for i in range(500)]
+    df = spark.createDataFrame(rows, "seq long, k string, p string, ts_s long, v double").repartition(7)
+    h = causal.entity_history(df, "k", sums=["v"], windows=[3_600, w], distinct={"p": [w]}, last=["p", "v"], totals=["n"])
+    assert "v_before" not in h.columns and h.count() == len(rows)
+    for g in h.collect():
+        if g["k"] is None:
+            assert g["n_before"] is g[f"n_{w}"] is g[f"uniq_p_{w}"] is g["prev_v"] is None
+            continue
+        prior = sorted((x for x in rows if x[1] == g["k"] and (x[3], x[0]) < (g["ts_s"], g["seq"])), key=lambda x: (x[3], x[0]))
+        inside = [x for x in prior if x[3] >= g["ts_s"] - w]
+        assert (g["n_before"], g[f"n_{w}"], g["n_3600"]) == (len(prior), len(inside), sum(x[3] >= g["ts_s"] - 3_600 for x in prior))
+        assert g[f"uniq_p_{w}"] == len({x[2] for x in inside} - {None}) and abs(g[f"v_{w}"] - sum(x[4] for x in inside)) < 1e-9
+        assert (g["prev_p"], g["prev_v"]) == ((prior[-1][2], prior[-1][4]) if prior else (None, None))
+
+
+def test_entities_cut_anywhere_by_batches_stay_whole(spark):
+    rows = [(i, f"k{i // 900}", f"p{i % 7}", 1_777_000_000 + i % 900, 1) for i in range(2_700)]
+    df = spark.createDataFrame(rows, "seq long, k string, p string, ts_s long, v long").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        h = causal.entity_history(df, "k", sums=["v"], windows=[W], distinct={"p": [W]}).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert all((g["n_before"], g[f"v_{W}"], g[f"uniq_p_{W}"]) == (g["seq"] % 900, min(W, g["seq"] % 900), min(7, g["seq"] % 900)) for g in h)
+
+
+def test_a_number_that_is_none_stays_with_its_key(spark):
+    rows = [(1, "a", 100, float("nan")), (2, "a", 101, 1.0), (3, "b", 100, 2.0), (4, "b", 101, 1.0)]
+    h = causal.entity_history(spark.createDataFrame(rows, "seq long, k string, ts_s long, v double"), "k", sums=["v"], windows=[W]).coalesce(1)
+    got = {r["seq"]: r["v_before"] for r in h.collect()}
+    assert got[2] != got[2] and (got[1], got[3], got[4]) == (0.0, 0.0, 2.0)
+
+
+def test_windows_without_totals_shuffle_rows_once(spark):
+    df = spark.range(100).selectExpr("id AS seq", "concat('k', id % 3) AS k", "concat('p', id % 5) AS p", "id AS ts_s", "id AS v")
+    h = causal.entity_history(df, "k", sums=["v"], windows=[W], distinct={"p": [W]}, totals=[])
+    assert h._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
