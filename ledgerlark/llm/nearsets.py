@@ -192,7 +192,7 @@ def _all_apart(placed: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, heavy_from: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """``d, t, w, ...`` for all rows of ``docs(doc_id, text)``, and ``node, root`` for the shingle sets that are like another.
+    """``d, t, w`` for all rows of ``docs(doc_id, text)``, and ``node, root`` for the shingle sets that are like another.
 
     Equal sets are one. Sets whose SimHash fingerprints BK-trees link at two bits are compared first. Then every set is compared
     with one per shingle of its prefix, twice, and the sets found alike make groups; last, every two sets of different groups
@@ -202,10 +202,12 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
     stand in a prefix.
     """
     with shuffles_let_go(docs.sparkSession):
-        prints = stored(shingle_sets(docs, shingle, similarity))
+        prints = shingle_sets(docs, shingle, similarity)
         least = int(1 / (1 - similarity) + 1e-9) - 1  # smaller sets are like none but themselves
         first = F.min(F.struct("d", "t", "n", "fp", "prefix", "sk")).alias("first")
         sets = stored(prints.where(F.col("n") >= least).groupBy("w").agg(first).select("w", "first.*"))
+        # prefixes and sketches are on disk once: the rows' own table does without and takes another pass over the texts
+        named = stored(prints.select("d", "t", "w"))
         entries = prefix_entries(docs, sets, shingle, similarity, HEAVY if heavy_from is None else heavy_from)
         known = _compared(stored(_by_fingerprint(sets)), docs, sets, shingle, similarity)
         found = stored(components(known, stored))
@@ -214,7 +216,7 @@ def similar_sets(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SI
             pairs = stored(_starred(placed, turn, similarity) if turn < ROUNDS else _all_apart(placed, similarity))
             known = known.union(_compared(pairs, docs, sets, shingle, similarity))
             found = stored(components(known, stored))
-    return prints, found
+    return named, found
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:

@@ -108,3 +108,11 @@ def test_copies_with_edited_words_go_and_clean_documents_stay(spark):
     rows.append((200, " ".join(half[:100]) + " " + prose(rng, 100, 9000)))
     kept = sorted(r["doc_id"] for r in nearsets.one_of_each(documents(spark, rows)).collect())
     assert kept == [*range(20), 200]
+
+
+def test_the_table_of_all_rows_holds_no_prefixes(spark):
+    """Prefixes and sketches are stored once a set, not again with every row."""
+    r = random.Random(4)
+    same = prose(r, 60)
+    named, _ = nearsets.similar_sets(documents(spark, [(1, same), (2, same), (3, prose(r, 60))]))
+    assert sorted(named.columns) == ["d", "t", "w"] and named.count() == 3 and named.select("w").distinct().count() == 2
