@@ -1,7 +1,10 @@
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import controls, graph, relate
+from ledgerlark.session import settled
 
 
 def test_pagerank_with_dangling_node_and_self_loop(spark):
@@ -118,3 +121,23 @@ def test_node_tables_are_never_broadcast(spark, monkeypatch):
     graph.communities(pay)
     lines = [x for df in plans for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
     assert len(lines) > 6 and all("strategy=merge" in x for x in lines), [x for x in lines if "strategy=merge" not in x]
+
+
+def test_the_state_of_a_loop_is_estimated_at_its_true_size(spark, capsys):
+    state = spark.range(50).selectExpr("id AS node", "id % 5 AS label")
+    for _ in range(6):
+        other = state.select(F.col("node").alias("b"), F.col("label").alias("l"))
+        state = settled(state.join(other, F.col("node") == F.col("b")).select("node", F.least("label", "l").alias("label")))
+    state.explain(mode="cost")
+    size, unit = re.search(r"sizeInBytes=([\d.E+]+) (\w+)", capsys.readouterr().out).groups()
+    assert unit in ("B", "KiB") and float(size) < 1 << 12  # at the product of both sides it has some hundred digits by now
+    assert state.count() == 50
+
+
+def test_ranks_of_ranks_read_their_table_a_few_times(spark, capsys):
+    t = spark.createDataFrame([(i, i % 3, float(i % 4), i % 5) for i in range(40)], "community_id int, a int, b double, c int")
+    for name in "abc":
+        t = graph.average_rank(t, name, f"_rank_{name}")
+    t.explain(mode="simple")
+    assert capsys.readouterr().out.count("Scan ExistingRDD") < 30  # each rank once read all those before it seven times
+    assert t.agg(F.min("_rank_a"), F.max("_rank_a")).first() == (7.5 / 40, 34.0 / 40)
