@@ -1,5 +1,7 @@
 """The text guard scores the whole table."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ledgerlark.operators import models
@@ -23,3 +25,25 @@ def test_every_document_is_scored_and_the_fitted_ones_are_marked(spark, tmp_path
 def test_grams_have_slots_enough(spark):
     row = models.text_features(spark.createDataFrame([("some words of a text",)], "text string"), "text").first()
     assert row["_tf"].size >= 1 << 18
+
+
+def test_grams_are_damped_without_python(spark, capsys):
+    df = spark.createDataFrame([("ab ab ab c",), ("",), ("𠀀𠀁 x_é",)], "text string")
+    rows = models.dampened(models.text_features(df, "text", keep_terms=True), "_tf")
+    rows.explain()
+    assert "EvalPython" not in capsys.readouterr().out
+    terms = {r["text"]: sorted(r["_terms"]) for r in rows.collect()}
+    assert terms[""] == []
+    assert terms["ab ab ab c"] == sorted(["ab"] * 3 + ["c", "ab ab", "ab ab", "ab c", "# c "] + ["# ab"] * 3 + ["#ab "] * 3 + ["# ab "] * 3)
+    assert terms["𠀀𠀁 x_é"] == sorted(["𠀀𠀁", "x_é", "𠀀𠀁 x_é", "# 𠀀𠀁", "#𠀀𠀁 ", "# 𠀀𠀁 ", "# x_", "#x_é", "#_é ", "# x_é", "#x_é ", "# x_é "])
+    values = {r["text"]: sorted(set(r["_tf"].values.round(9))) for r in rows.collect()}
+    assert values == {"": [], "ab ab ab c": [1.0, round(1 + math.log(2), 9), round(1 + math.log(3), 9)], "𠀀𠀁 x_é": [1.0]}
+
+
+def test_a_phrasing_cuts_its_words_once(spark, capsys):
+    words = [f"w{i % 700}" for i in range(20_000)]
+    df = spark.createDataFrame([(" ".join(words),), (" ".join(words) + " end",), ("Two  words",), ("two words",)], "text string").select(models.phrasing(F.col("text")).alias("p"))
+    df.explain()
+    assert capsys.readouterr().out.count("split(") == 1
+    long, same, short, folded = [r["p"] for r in df.collect()]
+    assert long == same and short == folded != long
