@@ -151,3 +151,17 @@ def test_ranges_change_no_bit_of_a_replica(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", parts)
     assert found[0] == found[1]
+
+
+def test_quantiles_read_the_order_once_and_meet_few_ranks(spark):
+    rng = np.random.default_rng(4)
+    values = {"a": np.round(rng.gamma(2, 3, 4000), 2), "b": np.where(rng.random(3000) < 0.9, 1.0, rng.normal(size=3000)), None: np.array([5.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs]
+    probs = [0.0, *(i / 150 for i in range(1, 150)), 1.0, 0.5]
+    for column in ("g", "column"):  # groups of data, and those that the code names
+        found = exact_quantiles(spark.createDataFrame(rows, f"{column} string, v double"), [column], "v", probs)
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("explode(filter(") == 1
+        told = [(r[column], r["p"], r["q"], r["n"]) for r in found.collect()]
+        assert len(told) == len(probs) * len(values)
+        for g, p, q, n in told:
+            assert n == len(values[g]) and q == pytest.approx(np.quantile(values[g], p), abs=1e-9)
